@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe
-from lakeops.llm.common import table
+from lakeops.llm import bpe, quality, secrets, token_files, toxicity, warc
+from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,61 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, least=1000)
+    return warc.resolved(warc.read(spark, path)).select(
+        F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID, VOCABULARY)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, lexicon = toxicity.model_of(docs, labels.where(trained_on(F.col("doc_id"))))
+    return toxicity.score(docs, model, lexicon).select(
+        "doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    spans = F.col("secret_spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    kinds = [rule.kind for rule in secrets.RULES]
+    base = secrets.listed(F.filter(spans, lambda s: s["kind"].isin(kinds)))
+    return found.select("doc_id", *map(count, kinds), F.sha2(base, 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(trained_on(F.col("doc_id"))))
+    return quality.score(docs, model).select(
+        "doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_warc": op5_warc,
+    "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h FROM p),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS original FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
+        FROM o""",
+}
