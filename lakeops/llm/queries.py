@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, quality, secrets, token_files, toxicity, warc
+from lakeops.llm import bpe, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_warc": op5_warc,
@@ -70,6 +74,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
