@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, quality, repeats, secrets, token_files, toxicity, warc
+from lakeops.llm import bpe, jaccard, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf_dir, "documents"), jaccard.Similarity(words=4, percent=85))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(TIKTOKEN_RANKS), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -68,6 +72,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,

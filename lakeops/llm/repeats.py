@@ -110,7 +110,9 @@ def first_owner(source: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[
         owners = np.concatenate([owners[later], np.frombuffer(b"".join(o for _, o in settled), np.int64)])
         order = np.argsort(owners, kind="stable")
         hashes, owners = hashes[order], owners[order]
-        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]][: len(owners)])
+        if not len(owners):
+            return
+        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
         for a, b in zip(cuts, np.r_[cuts[1:], len(owners)], strict=True):
             yield int(owners[a]), hashes[a:b].tobytes()
 
