@@ -56,7 +56,7 @@ class ChunkedEncoder:
     begin a match there, so chunks can be encoded apart; any other text is encoded whole.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 240_000):
         self.encode = encode
         self.head, self.rest = Memo(encode, most // 4), Memo(lambda chunk: encode(" " + chunk), most)
 
@@ -85,7 +85,7 @@ class BytePairEncoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         reachable = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
-        self.pieces = Memo(self.piece, 200_000)
+        self.pieces = Memo(self.piece, 120_000)
         self.automaton = ahocorasick.Automaton()
         for token, rank in reachable.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
@@ -108,7 +108,7 @@ class BytePairEncoder:
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave these two side by side; memoised by the callers in `compatible`."""
         known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        if len(self.compatible) >= 1_000_000:
+        if len(self.compatible) >= 500_000:
             self.compatible.clear()
         self.compatible[left, right] = known
         return known

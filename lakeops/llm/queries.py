@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, jaccard, quality, repeats, secrets, token_files, toxicity, warc
+from lakeops.llm import bpe, decontaminate, hnsw, jaccard, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("item_ids"))
+
+
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path, least=1000)
@@ -74,6 +85,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op4_hnsw": op4_hnsw,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,

@@ -13,8 +13,9 @@ a number of ids, so a very long text has a shard of its own; an empty table give
 
 from __future__ import annotations
 
+import os
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeops.llm.bpe import ChunkedEncoder
+from lakeops.llm.bpe import ChunkedEncoder, irregular
 from lakeops.llm.common import mixed, partitions, text_or_empty
 
 #: Ids after which a shard is cut.
@@ -78,18 +79,53 @@ class PerfectHash:
         return np.where(d < 0, -d - 1, placed)
 
 
-@lru_cache(maxsize=2)
-def _library_encoder(path: str) -> ChunkedEncoder:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkedEncoder(lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+#: Marks that end a chunk most often.
+_MARKS = ".,;:!?"
+
+
+class LibraryEncoder(ChunkedEncoder):
+    """Packed ids by the tokenizers library. Chunks that a batch of texts needs and the memo hasn't got are encoded in one call, one after the other; each begins with a space and holds no other, so a token that begins with a space begins a chunk."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.many = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        super().__init__(lambda text: array("I", self.ids_of(text)).tobytes())
+        self.begins = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")  # stands for the space in byte-level vocabularies
+
+    def pack_all(self, texts: list[str]) -> Iterator[bytes]:
+        rest = self.rest
+        if len(rest) > rest.most // 2:
+            rest.clear()
+        missing: set[str] = set()
+        for text in texts:
+            if not irregular(text):
+                for line in text.split("\n"):
+                    missing.update(w for w in line.split(" ")[1:] if w not in rest)
+        missing.discard("")
+        marked = {w for w in missing if w[-1] in _MARKS and w[-2:-1].isalnum()}  # a mark after a letter or digit begins a match
+        chunks = sorted((missing - marked) | {w[:-1] for w in marked if w[:-1] not in rest})
+        groups = [chunks[k : k + 100] for k in range(0, len(chunks), 100)]
+        for group, found in zip(groups, self.many([" " + " ".join(g) for g in groups]), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.r_[np.flatnonzero(self.begins[ids]), len(ids)].tolist()
+            packed = ids.tobytes()
+            for chunk, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
+                rest[chunk] = packed[4 * a : 4 * b]
+        for w in marked:
+            rest[w] = rest[w[:-1]] + self.head[w[-1]]
+        return map(self.pack, texts)
 
 
-def library_encoder(path: str) -> Callable[[str], bytes]:
-    """Packed ids by the tokenizers library, each distinct chunk of a text encoded once."""
-    return lambda text: _library_encoder(path).pack(text)
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary_size: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -115,7 +151,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = library_encoder(tokenizer_path)
+        encoder = library_encoder(tokenizer_path)
         number = TaskContext.get().partitionId() << 32
         keys: list = []
         docs: list[bytes] = []
@@ -125,14 +161,14 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(shard(number, keys, docs), types, strict=True)], names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = pack(text.as_py()) + end
-                if keys and size + len(packed) // 4 > SHARD_IDS:
+            for key, packed in zip(batch.column(0).to_pylist(), (p + end for k in range(0, batch.num_rows, 1000) for p in encoder.pack_all(batch.column(1).slice(k, 1000).to_pylist())), strict=True):
+                size_of = len(packed) // 4
+                if keys and size + size_of > SHARD_IDS:
                     yield made()
                     number, keys, docs, size = number + 1, [], [], 0
                 keys.append(key)
                 docs.append(packed)
-                size += len(packed) // 4
+                size += size_of
         if keys:
             yield made()
 

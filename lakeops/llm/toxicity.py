@@ -313,3 +313,19 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, id_col: str = "d
 
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double")
+
+
+def accepted(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns; rows don't leave their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model, frozenset(w for w in lexicon.weights if not w.endswith("*")))
+        weights = TokenWeights(lexicon, restorer)
+        for batch in batches:
+            rows = []
+            for text in batch.column(batch.schema.get_field_index(text_col)):
+                tokens = restorer.tokens(text.as_py() or "")
+                rows.append(lexicon.numbers([v for hit in map(weights.__getitem__, tokens) if hit for v in hit], len(tokens)))
+            yield batch.filter(pa.array(lexicon.score(np.array(rows).reshape(-1, 4)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

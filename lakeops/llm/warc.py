@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.llm.common import written
+
 #: Parts of the format.
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -78,7 +80,8 @@ def write(pages: DataFrame, path: str, least: int = 1000, key: str = "page_id",
     """
     heads = headers(pages, key, url, payload)
     total = heads.agg(F.sum("bytes")).first()[0] or 0
-    revisits = decided(heads, least).where(F.col("refers_to").isNotNull()).groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.max("refers_to").alias("refers_to"))
+    found = decided(heads, least).where(F.col("refers_to").isNotNull()).groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.max("refers_to").alias("refers_to"))
+    revisits = written(found, "revisits")  # of known size: joined to the payloads by broadcast below the session's bound only
     joined = heads.join(revisits, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
     text = joined.select(F.xxhash64("key", "url").alias("at"), record(F.col("key"), F.col("url"), F.col("digest"), F.col("refers_to"), F.col("body")).alias("value"))
     files = max(1, -(-total // ARCHIVE_BYTES))
