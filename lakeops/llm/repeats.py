@@ -76,26 +76,28 @@ def _rows(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
 
-def first_owner(source: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """(owner, hashes): those of an owner's hashes that an owner with a smaller number has, too; an owner may have several rows.
+#: Gives, for the documents of a batch, (owner, distinct hashes, routes). Equal hashes have equal routes; hashes with one
+#: route are exchanged together, so neighbouring windows, which share an anchor, come back in one row.
+Windows = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
-    windows gives (owner, distinct hashes) for the documents of a batch of `source`.
-    """
+
+def first_owner(source: DataFrame, windows: Windows) -> DataFrame:
+    """(owner, hashes): those of an owner's hashes that an owner with a smaller number has, too; an owner may have several rows."""
     parts = 4 * partitions(source.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(owner, h) for owner, h in windows(batch) if len(h)]
+            found = [x for x in windows(batch) if len(x[1])]
             if not found:
                 continue
-            hashes = np.concatenate([h for _, h in found])
-            owners = np.repeat(np.array([o for o, _ in found], np.int64), [len(h) for _, h in found])
+            hashes, routes = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+            owners = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
             order = np.lexsort((owners, hashes))
-            hashes, owners = hashes[order], owners[order]
+            hashes, owners, routes = hashes[order], owners[order], routes[order]
             new = np.r_[True, hashes[1:] != hashes[:-1]]
             group = np.cumsum(new) - 1
             later = owners > owners[new][group]
-            rows = [(p, False, h, o) for p, h, o in packed(parts, hashes[new], hashes[new], owners[new])]
+            rows = [(p, False, h, o) for p, h, o in packed(parts, mixed(routes[new]), hashes[new], owners[new])]
             rows += [(p, True, h, o) for p, h, o in packed(parts, mixed(owners[later].view(np.uint64)), hashes[later], owners[later])]
             yield _rows(rows, _TYPES, _PACKED)
 
@@ -173,9 +175,10 @@ def remove(docs: DataFrame, length: int = 50, first: int = 25, id_col: str = "do
     judged = written(described.join(earliest, "sha", "left").select("id", "n_words", "sha", F.coalesce("earliest", "id").alias("earliest"), "anchors"), "judged")
     standing = judged.where((F.col("n_words") >= length) & (F.col("id") == F.col("earliest")))
 
-    def given(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def given(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield i, np.frombuffer(h.as_py(), np.uint64)
+            found = np.frombuffer(h.as_py(), np.uint64)
+            yield i, found, found
 
     if len(steps) > 1:
         live = shared(standing.select("id", "anchors"), given)
@@ -222,7 +225,7 @@ def wanted(source: DataFrame, live: DataFrame) -> DataFrame:
     return texts.join(live.hint("shuffle_hash"), F.col("id") == F.col("_owner")).select("id", "text", F.unhex("_hex").alias("hashes"))
 
 
-def shared(source: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+def shared(source: DataFrame, windows: Windows) -> DataFrame:
     """(owner, hashes): an owner's hashes that any other owner has, too."""
     later = written(first_owner(source, windows), "later")
 
@@ -235,9 +238,9 @@ def shared(source: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(o, h) for o, h in windows(batch) if len(h)]
-            owners = np.repeat(np.array([o for o, _ in found], np.int64), [len(h) for _, h in found])
-            hashes = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
+            found = [x for x in windows(batch) if len(x[1])]
+            owners = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
+            hashes = np.concatenate([*(x[1] for x in found), np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(hashes.view(np.int64))], ["owner", "h"])
 
     pairs = source.mapInArrow(mine, "owner long, h long").join(repeated, "h", "left_semi")
@@ -251,27 +254,31 @@ def shared(source: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple
     return grouped.mapInArrow(pack, "owner long, hashes binary")
 
 
-def _anchor_windows(steps: list[int], k: int, length: int) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
+def _anchor_windows(steps: list[int], k: int, length: int) -> Windows:
     """Anchors of level k of the windows whose anchor of the level before is still in question."""
 
-    def windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i, text, blob in zip(*(batch.column(c) for c in range(3)), strict=True):
             h = word_hashes(split_words(text.as_py()))
             live = np.isin(anchors(h, steps[k - 1], length)[0], np.frombuffer(blob.as_py(), np.uint64))
-            yield i.as_py(), anchors(h, steps[k], length, live)[1]
+            found = anchors(h, steps[k], length, live)[1]
+            yield i.as_py(), found, found
 
     return windows
 
 
-def _full_windows(steps: list[int], length: int) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
+def _full_windows(steps: list[int], length: int) -> Windows:
     """Windows of the wanted length whose anchor of the level before is still in question."""
 
-    def windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i, text, blob in zip(*(batch.column(c) for c in range(3)), strict=True):
             h = word_hashes(split_words(text.as_py()))
-            full = window_hashes(h, length)
+            full = route = window_hashes(h, length)
             if len(steps) > 1:
-                full = full[np.isin(anchors(h, steps[-2], length)[0], np.frombuffer(blob.as_py(), np.uint64))]
-            yield i.as_py(), np.unique(full)
+                route = anchors(h, steps[-2], length)[0]
+                live = np.isin(route, np.frombuffer(blob.as_py(), np.uint64))
+                full, route = full[live], route[live]
+            found, at = np.unique(full, return_index=True)
+            yield i.as_py(), found, route[at]
 
     return windows
