@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import text_or_empty
+from lakeops.llm.common import sliced, text_or_empty
 
 #: White space other than the space and the line feed.
 _OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -168,7 +168,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _loaded(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encoder.pack(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
 
@@ -181,7 +181,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = _loaded(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"".join(map(vocabulary.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [id_col, "ids", "decoded"])
 

@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import mixed, partitions, window_hashes, word_hashes, written
+from lakeops.llm.common import mixed, partitions, sliced, window_hashes, word_hashes, written
 from lakeops.llm.components import components
 from lakeops.llm.repeats import _rows, only, packed
 
 #: Sets that have a token from which on it is frequent.
 FREQUENT = 16
+#: Parts of an exchange, at least: about as many as a set has entries, so that replies grow with the sets alone.
+LEAST_PARTS = 512
 #: Tokens of a frequent class in a prefix, about.
 CLASS_TOKENS = 5
 
@@ -125,7 +127,7 @@ def described(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> Dat
     schema = "id long, n long, print binary, sample binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = shingles(text.as_py(), s.words)
@@ -135,6 +137,13 @@ def described(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return a[new], b[new]
+
+
 def _grouped(owners: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(owner, bytes of its part of each column)."""
     order = np.argsort(owners, kind="stable")
@@ -171,10 +180,10 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
 
     A batch in which a token is frequent settles it for its own sets and sends word of it once.
     """
-    parts, spark = 4 * partitions(sets.sparkSession), sets.sparkSession
+    parts, spark = max(LEAST_PARTS, 4 * partitions(sets.sparkSession)), sets.sparkSession
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4000):
             samples = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
             tokens = np.concatenate([*samples, np.zeros(0, np.uint64)])
             owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in samples])
@@ -209,7 +218,7 @@ def indexed(shared: DataFrame, s: Similarity) -> DataFrame:
     """(id, entries) of the sets that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for i, n, tokens, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t, d = np.frombuffer(tokens, np.uint64), np.frombuffer(df, np.uint8)
@@ -223,31 +232,30 @@ def indexed(shared: DataFrame, s: Similarity) -> DataFrame:
 
 def stars(index: DataFrame) -> DataFrame:
     """Distinct (a, b): every set of an entry with the smallest of its batch, and those with the smallest of all."""
-    parts = 4 * partitions(index.sparkSession)
+    parts = max(LEAST_PARTS, 4 * partitions(index.sparkSession))
 
-    def edges(entries: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def edges(entries: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         order = np.lexsort((owners, entries))
         entries, owners = entries[order], owners[order]
         new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
         first = owners[new][np.cumsum(new) - 1] if len(owners) else owners
-        pairs = np.unique(np.c_[owners, first][owners != first], axis=0)
-        return entries[new], owners[new], pairs
+        return entries[new], owners[new], distinct_pairs(owners[owners != first], first[owners != first])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
             owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
             entries, first, pairs = edges(np.concatenate([*lists, np.zeros(0, np.uint64)]), owners)
             rows = [(p, False, h, o) for p, h, o in packed(parts, entries, entries, first)]
-            rows += [(p, True, h, o) for p, h, o in packed(parts, mixed(pairs[:, 0].copy().view(np.uint64)), pairs[:, 0].copy(), pairs[:, 1].copy())]
+            rows += [(p, True, h, o) for p, h, o in packed(parts, mixed(pairs[0].view(np.uint64)), pairs[0], pairs[1])]
             yield _rows(rows, _PACKED_TYPES, _PACKED)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
             asked, told = [r for r in rows if not r[1]], [r for r in rows if r[1]]
             pairs = edges(_joined(asked, 2, np.uint64), _joined(asked, 3, np.int64))[2]
-            pairs = np.unique(np.r_[pairs, np.c_[_joined(told, 2, np.int64), _joined(told, 3, np.int64)]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = distinct_pairs(np.r_[pairs[0], _joined(told, 2, np.int64)], np.r_[pairs[1], _joined(told, 3, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
 
     dealt = index.mapInArrow(send, _PACKED).repartition(partitions(index.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(receive, "a long, b long").distinct()
@@ -271,7 +279,7 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
                 hit = kept[i] = (text, shingles(text, s.words))
             return hit[1]
 
-        for batch in batches:
+        for batch in sliced(batches):
             linked = []
             for a, b, ta, tb in zip(*batch.columns, strict=True):
                 x, y = of(a.as_py(), ta.as_py()), of(b.as_py(), tb.as_py())
@@ -297,7 +305,7 @@ def open_pairs(index: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64))], ["entry"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
             owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], ["id", "entry"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import mixed, partitions, split_words, window_hashes, word_hashes, written
+from lakeops.llm.common import mixed, partitions, sliced, split_words, window_hashes, word_hashes, written
 
 #: Bits of the filter that spares the shuffle most texts that aren't wanted; its size is fixed, whatever the input.
 FILTER_BITS = 1 << 25
@@ -86,7 +86,7 @@ def first_owner(source: DataFrame, windows: Windows) -> DataFrame:
     parts = 4 * partitions(source.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4000):
             found = [x for x in windows(batch) if len(x[1])]
             if not found:
                 continue
@@ -161,7 +161,7 @@ def remove(docs: DataFrame, length: int = 50, first: int = 25, id_col: str = "do
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = split_words(text.as_py())
@@ -191,7 +191,7 @@ def remove(docs: DataFrame, length: int = 50, first: int = 25, id_col: str = "do
     repeated = written(first_owner(candidates, _full_windows(steps, length)), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for i, text, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = split_words(text.as_py())
