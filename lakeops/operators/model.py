@@ -71,7 +71,7 @@ def junk_dimension(df: DataFrame, flags: Sequence[str], name: str = "junk_key")
 
 def cardinality_profile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Most rows per key of both sides and the class: 1:1, 1:M, M:1 or M:N."""
-    most = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("k")).agg(F.max("k").alias(n))
+    most = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n").alias(n))
     both = most(a, "left_most").crossJoin(most(b, "right_most"))
     side = lambda n, many: F.when(F.col(n) > 1, many).otherwise("1")
     kind = F.when((F.col("left_most") > 1) & (F.col("right_most") > 1), "M:N").otherwise(F.concat(side("left_most", "M"), F.lit(":"), side("right_most", "M")))

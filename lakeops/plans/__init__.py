@@ -1,6 +1,6 @@
 """Registered queries of the warehouse operators."""
 
-from lakeops.plans import changes, relational  # noqa: F401
+from lakeops.plans import changes, relational, warehouse  # noqa: F401
 from lakeops.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

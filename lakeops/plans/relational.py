@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lakeops.functions import scalar as fn
@@ -264,14 +264,17 @@ def a18(s: SparkSession, d: str) -> DataFrame:
     return joins.star_join(f, dims).where("r_name = 'ASIA'").groupBy("o_orderdate").agg(F.count("*").alias("n"), F.sum("net").cast(D28).alias("revenue"))
 
 
-W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def by_customer() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 W_SQL = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
 
 @query("W01_row_number", f"SELECT o_orderkey, row_number() {W_SQL}) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dr FROM orders")
 def w01(s: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("o_custkey").orderBy("o_orderstatus")
-    return table(s, d, "orders").select("o_orderkey", *(f().over(w).cast("long").alias(n) for f, w, n in ((F.row_number, W, "rn"), (F.rank, by, "rk"), (F.dense_rank, by, "dr"))))
+    return table(s, d, "orders").select("o_orderkey", *(f().over(w).cast("long").alias(n) for f, w, n in ((F.row_number, by_customer(), "rn"), (F.rank, by, "rk"), (F.dense_rank, by, "dr"))))
 
 
 @query("W02_latest_per_key", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -286,12 +289,12 @@ def w03(s: SparkSession, d: str) -> DataFrame:
 
 @query("W04_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {W_SQL}) AS before, lead(o_orderkey) {W_SQL}) AS after FROM orders")
 def w04(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(W).alias("before"), F.lead("o_orderkey").over(W).alias("after"))
+    return table(s, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(by_customer()).alias("before"), F.lead("o_orderkey").over(by_customer()).alias("after"))
 
 
 @query("W05_moving_avg", f"SELECT o_orderkey, round(avg(CAST(o_orderkey AS DOUBLE)) {W_SQL} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 3) AS mean FROM orders")
 def w05(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").select("o_orderkey", F.round(F.avg(F.col("o_orderkey").cast("double")).over(W.rowsBetween(-2, 0)), 3).alias("mean"))
+    return table(s, d, "orders").select("o_orderkey", F.round(F.avg(F.col("o_orderkey").cast("double")).over(by_customer().rowsBetween(-2, 0)), 3).alias("mean"))
 
 
 @query("W06_window_over_aggregate", "SELECT o_orderpriority, o_orderstatus, n, CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS of_priority FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)")
@@ -301,7 +304,7 @@ def w06(s: SparkSession, d: str) -> DataFrame:
 
 @query("W07_running_total", f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) {W_SQL} ROWS UNBOUNDED PRECEDING) AS DECIMAL(28,2)) AS running FROM orders")
 def w07(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").select("o_orderkey", F.sum(money("o_totalprice")).over(W.rowsBetween(Window.unboundedPreceding, 0)).cast(D28).alias("running"))
+    return table(s, d, "orders").select("o_orderkey", F.sum(money("o_totalprice")).over(by_customer().rowsBetween(Window.unboundedPreceding, 0)).cast(D28).alias("running"))
 
 
 @query("T02_top_n", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders ORDER BY price DESC, o_orderkey LIMIT 25")
