@@ -245,18 +245,28 @@ def fitted(words: list[list[str]], labels: np.ndarray, least: int = 3, odds: flo
         return out
 
     x = np.zeros((len(words), 4))
+    side = np.random.default_rng(1).permutation(len(words)) % 2
     for half in (0, 1):  # a row's numbers come from a lexicon learnt without it
-        model.weights = learn(np.flatnonzero(np.arange(len(words)) % 2 != half))
-        memo = {w: v for row in words[half::2] for w in set(row) if (v := model.weight(w))}
-        for r in range(half, len(words), 2):
+        model.weights = learn(np.flatnonzero(side != half))
+        mine = np.flatnonzero(side == half).tolist()
+        memo = {w: v for r in mine for w in set(words[r]) if (v := model.weight(w))}
+        for r in mine:
             x[r] = model.numbers([memo[w] for w in words[r] if w in memo], len(words[r]))
     model.centre, model.spread = x.mean(0), x.std(0) + 1e-9
-    z, y, w, b = (x - model.centre) / model.spread, labels.astype(float), np.zeros(4), 0.0
-    for _ in range(25):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
-        a, h = np.c_[z, np.ones(len(z))], p * (1 - p) + 1e-6
-        step = np.linalg.solve(a.T @ (a * h[:, None]) + 0.5 * np.eye(5), a.T @ (y - p) - 0.5 * np.r_[w, 0])
-        w, b = w + step[:4], b + step[4]
+    z, y = (x - model.centre) / model.spread, labels.astype(float)
+    use = np.ones(4, bool)
+    while True:  # more evidence never lowers a score: the number with the most negative coefficient is left out
+        a, wb = np.c_[z[:, use], np.ones(len(z))], np.zeros(int(use.sum()) + 1)
+        ridge = np.diag(np.r_[np.full(len(wb) - 1, 0.5), 1e-6])
+        for _ in range(25):  # Newton's method
+            p = 1 / (1 + np.exp(-np.clip(a @ wb, -30, 30)))
+            h = p * (1 - p) + 1e-6
+            wb = wb + np.linalg.solve(a.T @ (a * h[:, None]) + ridge, a.T @ (y - p) - ridge @ wb)
+        w, b = np.zeros(4), wb[-1]
+        w[use] = wb[:-1]
+        if (w >= 0).all():
+            break
+        use[int(w.argmin())] = False
     model.coefficients, model.intercept = w, float(b)
     model.weights = learn(np.arange(len(words)))
     return model

@@ -1,0 +1,19 @@
+"""The stages one after the other on the smallest tables."""
+
+import corpus_pipeline
+from lakeops.llm import secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/{stage.__name__}"
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns and 0 < docs.count() <= before
+        before = docs.count()
+    assert secrets.find(docs).where("exists(secret_spans, s -> s.kind = 'access')").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == before
