@@ -1,9 +1,10 @@
 """Similarity join of texts on the Jaccard similarity of their word shingles, exact.
 
 Method: prefixes of token combinations. Of each set, a sample of its smallest hashes is compared first: two sets that
-are similar enough must share a known number of sampled tokens, so a set with fewer shared ones has no partner. In the
-rest, tokens are ordered by how many sets have them. A set may miss at most m of its sampled tokens in a partner, so
-a prefix of that order in which more than m tokens count must share something. Rare tokens are indexed singly and
+are similar enough must share a known number of sampled tokens, so a set with fewer shared ones has no partner. The
+whole sets of the rest are compared in the same way: a set with too few tokens that others of the rest have is left
+out, too. In what then stays, tokens are ordered by how many sets have them. A set may miss at most m of its tokens in
+a partner, so a prefix of that order in which more than m tokens count must share something. Rare tokens are indexed singly and
 count one each. Frequent tokens are dealt into classes and indexed by pairs within a class; such a class counts one
 less than it has tokens, so the prefix is extended accordingly. Sets that share an index entry are then verified.
 
@@ -21,12 +22,12 @@ are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import mixed, partitions, sliced, window_hashes, word_hashes, written
@@ -43,10 +44,11 @@ CLASS_TOKENS = 5
 
 @dataclass(frozen=True)
 class Similarity:
-    """words in a shingle; percent: links have 100 * intersection >= percent * union."""
+    """words in a shingle; percent: links have 100 * intersection >= percent * union. whole: compare whole sets instead of samples."""
 
     words: int = 5
     percent: int = 80
+    whole: bool = False
 
     def least_overlap(self, n: int) -> int:
         """Shared tokens that any partner of a set of n must have."""
@@ -56,12 +58,12 @@ class Similarity:
         return n - self.least_overlap(n)
 
     def sampled(self, n: int) -> int:
-        return min(n, 2 * self.misses(n) + 2)
+        return n if self.whole else min(n, 2 * self.misses(n) + 2)
 
     def shared(self, n: int) -> int:
         """Sampled tokens that a set of n shares with any partner: the fewest that a partner of the smallest size vouches for."""
         small = self.least_overlap(n)
-        return self.sampled(small) - self.misses(small)
+        return small if self.whole else self.sampled(small) - self.misses(small)
 
     def quota(self, n: int) -> int:
         """How much a prefix of the sample must count."""
@@ -144,6 +146,24 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[new], b[new]
 
 
+def enough(s: Similarity) -> Column:
+    """Least number of shared sampled tokens of a set of n: what Similarity.shared() gives, as a column."""
+    least = lambda n: F.ceil(n * s.percent / 100 - 1e-9)
+    small = least(F.col("n"))
+    return F.least(small, small - least(small) + 2, least(small))
+
+
+def whole_sets(texts: DataFrame, s: Similarity) -> DataFrame:
+    """(id, n, sample) with all tokens of the sets of some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingles(t.as_py(), s.words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["id", "n", "sample"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, sample binary").where("n > 0")
+
+
 def _grouped(owners: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(owner, bytes of its part of each column)."""
     order = np.argsort(owners, kind="stable")
@@ -325,7 +345,8 @@ def linked_components(docs: DataFrame, s: Similarity = Similarity(), id_col: str
     rows = written(sets.select("id", "n", "print").join(first, ["n", "print"], "left").select("id", "n", "node"), "nodes")
     nodes = rows.where(F.col("id") == F.col("node")).select("id", "n").distinct()
     standing = sets.join(nodes, ["id", "n"], "left_semi")
-    index = written(indexed(shared_tokens(standing), s), "index")
+    likely = shared_tokens(standing).where(F.octet_length("tokens") / 8 >= enough(s)).select("id").distinct()
+    index = written(indexed(shared_tokens(whole_sets(only(texts, written(likely, "likely"), "id"), s)), replace(s, whole=True)), "index")
     tried = written(verified(stars(index), texts, s), "tried")
     links = tried.where("linked")
     labels = written(components(links), "components")
