@@ -84,3 +84,9 @@ def task_graph_run_order(edges: DataFrame, most_levels: int = 1000) -> DataFrame
 def object_touches(history: DataFrame, objects: str, n: int) -> DataFrame:
     """Last n touches of objects: one row per object of each access."""
     return history.select("query_id", "user_id", "ts", F.explode(objects).alias("object_name")).orderBy(F.desc("ts"), "query_id", "object_name").limit(n)
+
+
+def operator_breakdown(ops: DataFrame, stats: str = "stats") -> DataFrame:
+    """Shares of the time of each operator, from a JSON column: overall, processing, io."""
+    v = F.try_parse_json(stats)
+    return ops.select("query_id", "operator", *(F.round(F.try_variant_get(v, f"$.{n}", "double") * 100, 2).alias(f"{n}_pct") for n in ("overall", "processing", "io")))

@@ -258,3 +258,22 @@ def s08(s: SparkSession, d: str) -> DataFrame:
 def s10(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.row_index").alias("row_number"))
 
+
+
+@query("H05_operator_breakdown", "SELECT event_id AS query_id, event_type AS operator, round((event_id % 100) / 100.0 * 100, 2) AS overall_pct, CAST(75.0 AS DOUBLE) AS processing_pct, CAST(NULL AS DOUBLE) AS io_pct FROM events")
+def h05(s: SparkSession, d: str) -> DataFrame:
+    share = ((F.col("event_id") % 100) / 100).alias("overall")
+    ops = table(s, d, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("operator"), F.to_json(F.struct(share, F.lit(0.75).alias("processing"))).alias("stats"))
+    return history.operator_breakdown(ops)
+
+
+@query("H15_task_graph_run_order", "SELECT CAST(p_size AS BIGINT) AS task, CAST(floor(log2(p_size)) AS BIGINT) AS level FROM (SELECT DISTINCT p_size FROM part)")
+def h15(s: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    edges = table(s, d, "part").select(size.alias("task"), F.when(size > 1, F.floor(size / 2)).alias("after")).distinct()
+    return history.task_graph_run_order(edges).select("task", F.col("level").cast("long").alias("level"))
+
+
+@query("S18_directory_table")
+def s18(s: SparkSession, d: str) -> DataFrame:
+    return io.listing(s, f"{d}/orders.parquet")
