@@ -94,7 +94,7 @@ class LibraryEncoder(ChunkedEncoder):
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.many = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        super().__init__(lambda text: array("I", self.ids_of(text)).tobytes())
+        super().__init__(lambda text: array("I", self.ids_of(text)).tobytes(), most=1_500_000)
         self.begins = np.zeros(tokenizer.get_vocab_size() + 1, bool)
         for token, i in tokenizer.get_vocab().items():
             self.begins[i] = token.startswith("\u0120")  # stands for the space in byte-level vocabularies
