@@ -6,9 +6,11 @@ anew and samples a few places as a key; windows and items with an equal key are
 are made as the wanted recall takes. Candidates are verified exactly, by the smallest edit distance between the item
 and any part of the window and its surroundings.
 
-Texts are compared as words in lower case joined by single spaces. Only windows that hold enough runs of three
-words of the benchmark are embedded: an item with a fifth of its words changed keeps half of them, while almost no
-other window has that many.
+Texts are compared as words in lower case joined by single spaces. The walks are a quick first pass over the windows
+that hold enough runs of three words of the benchmark; they decide nothing on their own. Every text that they leave is
+then scanned for every item without any gate: one bit per place of the text, one step per character of the item, which
+gives the smallest edit distance between the item and any part of the text exactly. So all passages within the allowed
+edits are found, misspelt or of common words only.
 
 The benchmark is taken in blocks of a bounded number of items; each block is sent to all tasks.
 
@@ -114,6 +116,43 @@ def closest(item: str, text: str, enough: int = 0) -> int:
     return best
 
 
+#: Characters of the texts that are scanned together; a longer text is scanned whole.
+SCANNED = 1 << 17
+
+
+def scanned(texts: list[str], items: dict[int, str], edits: float) -> list[set[int]]:
+    """Items within the allowed edits of any part of each text, by bit-parallel rows over all texts put together; more marks than any item may have edits keep them apart."""
+    found: list[set[int]] = [set() for _ in texts]
+    most = {item: int(edits * len(wanted)) for item, wanted in items.items()}
+    apart = np.zeros(max(most.values(), default=0) + 1, np.uint32)
+    used = {ch for wanted in items.values() for ch in wanted}
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= SCANNED):
+            size += len(texts[last]) + len(apart)
+            last += 1
+        parts = [np.r_[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") + 1, apart] for t in texts[first:last]]
+        codes, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        masks = {ch: int.from_bytes(np.packbits(codes == ord(ch) + 1, bitorder="little").tobytes(), "little") for ch in used}
+        full, n_bytes = (1 << len(codes)) - 1, -(-len(codes) // 8)
+        for item, wanted in items.items():
+            up = down = 0  # a part may begin anywhere: no cost on top
+            for ch in wanted:
+                eq = masks[ch]
+                d0 = (((eq & up) + up) ^ up) | eq | down
+                hp = ((down | ((d0 | up) ^ full)) << 1) | 1
+                hn = (up & d0) << 1
+                up = hn | ((d0 | hp) ^ full)
+                down = hp & d0  # bits past the end never reach those before it
+            rise, fall = (np.unpackbits(np.frombuffer((x & full).to_bytes(n_bytes, "little"), np.uint8), count=len(codes), bitorder="little").view(np.int8) for x in (up, down))
+            at = np.flatnonzero(np.cumsum(rise - fall, dtype=np.int32) <= most[item] - len(wanted))
+            for t in np.unique(np.searchsorted(ends, at, "right")).tolist():
+                found[first + t].add(item)
+        first = last
+    return found
+
+
 class Benchmark:
     """Items in classes of about equal word counts, their keys, and the runs of words that they hold."""
 
@@ -186,8 +225,16 @@ class Benchmark:
             out += [(c, int(s)) for s in good[first]]
         return out
 
-    def matches(self, texts: list[str | None]) -> list[set[int]]:
-        """Items found in each text."""
+    def matches(self, texts: list[str | None], first_only: bool = False) -> list[set[int]]:
+        """Items found in each text; with first_only, at least one of them where there are any."""
+        found = self.walked(texts)
+        rest = [t for t, text in enumerate(texts) if text and not (first_only and found[t])]
+        for t, more in zip(rest, scanned([" ".join(words_of(texts[t])) for t in rest], self.texts, self.settings.edits), strict=True):
+            found[t] |= more
+        return found
+
+    def walked(self, texts: list[str | None]) -> list[set[int]]:
+        """Items that the walks find in each text."""
         settings = self.settings
         found: list[set[int]] = [set() for _ in texts]
         split: dict[int, tuple[list[str], np.ndarray]] = {}
@@ -270,7 +317,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
             if not made:
                 made.append(Benchmark(rows, settings))
             for batch in batches:
-                matches = made[0].matches(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+                matches = made[0].matches(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), first_only=True)
                 yield batch.filter(pa.array([not m for m in matches], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)

@@ -345,3 +345,24 @@ def test_training_rows_by_crc(spark):
 
     rows = spark.range(200).select("id", trained_on(F.col("id")).alias("t")).collect()
     assert all(r.t == (zlib.crc32(str(r.id).encode()) % 5 != 0) for r in rows)
+
+
+def edited(seed, text, share):
+    """The text with int(share * length) characters replaced, put in or left out."""
+    r, out = random.Random(seed), list(text)
+    for _ in range(int(share * len(text))):
+        k, kind = r.randrange(len(out)), r.randrange(3)
+        out[k : k + (kind != 0)] = [] if kind == 1 else [r.choice("abcdefghijklmnopqrstuvwxyz")]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_misspelt_benchmark_passages_are_found(spark, share):
+    texts = {i: " ".join(decontaminate.words_of(prose(500 + i, 20 + i % 20))) for i in range(40)}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rows = [(i, prose(i, 60) + " " + edited(i, texts[i], share) + " " + prose(i + 1000, 60)) for i in range(40)] + [(100 + i, prose(3000 + i, 100)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.contaminated(docs, items).collect()}
+    want = {d: {i for i, w in texts.items() if decontaminate.closest(w, " ".join(decontaminate.words_of(t)), -1) <= int(0.2 * len(w))} for d, t in rows}
+    assert got == want and all(i in want[i] for i in range(40)) and not any(want[100 + i] for i in range(20))
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == set(range(100, 120))
