@@ -366,3 +366,16 @@ def test_misspelt_benchmark_passages_are_found(spark, share):
     want = {d: {i for i, w in texts.items() if decontaminate.closest(w, " ".join(decontaminate.words_of(t)), -1) <= int(0.2 * len(w))} for d, t in rows}
     assert got == want and all(i in want[i] for i in range(40)) and not any(want[100 + i] for i in range(20))
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == set(range(100, 120))
+
+
+def test_benchmark_of_templates_is_found(spark):
+    template = "which of the following numbers is the result when you add the two given values and then take {} away from the sum of them"
+    texts = {i: template.format(w) for i, w in enumerate(WORDS)}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rows = [(i, prose(i, 40) + " " + t + " " + prose(i + 50, 40)) for i, t in texts.items()] + [(100 + i, prose(i, 90)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for block_items in (20_000, 5):
+        got = decontaminate.contaminated(docs, items, decontaminate.Settings(block_items=block_items)).collect()
+        results.append({r.doc_id: set(r["items"]) for r in got})
+    assert results[0] == results[1] and all(i in results[0][i] for i in texts) and not any(results[0][100 + i] for i in range(10))
