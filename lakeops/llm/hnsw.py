@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's graph is built in one task, whose size is bounded by the
-size of a shard, and stored as one row of flat arrays: levels, neighbours and vectors. Every query goes to every shard,
+Equal vectors are one node, which keeps the smallest ids of its copies, as many as a query may need. Nodes are dealt to
+shards by a hash of their smallest id. A shard's graph is built in one task, whose size is bounded by the
+size of a shard, and stored as one row of flat arrays: levels, neighbours, vectors and ids. Every query goes to every shard,
 streams past the graph there, and the shards' results are merged. To find largest inner products by distance, each
 vector gets one more component that makes all of them equally long. Scores are computed again from the original
 vectors in double precision.
@@ -171,22 +172,33 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
-_INDEX = "shard int, ids binary, vectors binary, levels binary, links binary, entry int"
+#: Parts that the copies of a vector are dealt to before their smallest ids are taken.
+PARTS = 64
+
+
+def distinct(vectors: DataFrame, most: int) -> DataFrame:
+    """(id, v, ids) of each distinct vector: its smallest id and its `most` smallest ids in order."""
+    for keys in (["v", F.pmod(F.xxhash64("id"), F.lit(PARTS))], ["v"]):
+        vectors = vectors.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("n") <= most).drop("n")
+    return vectors.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids")
+
+
+_INDEX = "shard int, ids binary, copies binary, vectors binary, levels binary, links binary, entry int"
 
 
 def index(vectors: DataFrame, shards: int, longest: float, settings: Settings = Settings()) -> DataFrame:
-    """One row per shard. longest: the largest squared length of any vector."""
+    """One row per shard of distinct(). copies: the number of ids of each node. longest: the largest squared length of any vector."""
     names = [x.split()[0] for x in _INDEX.split(", ")]
-    types = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
+    types = [pa.int32(), *[pa.binary()] * 5, pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows = None, [], []
+        at, ids, copies, rows = None, [], [], []
 
         def made() -> pa.RecordBatch:
             x = np.concatenate(rows)
             graph = built(lifted(x, longest), settings)
             arrays = flat(graph)
-            row = [at, np.concatenate(ids).astype("<i8").tobytes(), x.astype("<f8").tobytes(), arrays["levels"], arrays["links"], graph.entry]
+            row = [at, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(copies).astype("<i4").tobytes(), x.astype("<f8").tobytes(), arrays["levels"], arrays["links"], graph.entry]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
@@ -195,14 +207,15 @@ def index(vectors: DataFrame, shards: int, longest: float, settings: Settings =
                 part = batch.filter(pa.array(shard == s))
                 if s != at and rows:
                     yield made()
-                    ids, rows = [], []
+                    ids, copies, rows = [], [], []
                 at = int(s)
-                ids.append(part.column(1).to_numpy())
+                ids.append(part.column(3).flatten().to_numpy())
+                copies.append(part.column(3).value_lengths().to_numpy())
                 rows.append(part.column(2).values.slice(part.column(2).offsets[0].as_py(), part.column(2).offsets[-1].as_py() - part.column(2).offsets[0].as_py()).to_numpy().reshape(part.num_rows, -1))
         if rows:
             yield made()
 
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "id")
     return dealt.mapInArrow(run, _INDEX)
 
 
@@ -213,35 +226,40 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, settings: Settings = Settings(), slices: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): k nearest of all shards to each query, without the query's own id.
+    """(query_id, rank, vec_id, score): k nearest of all shards to each query, without the query's own id. The index holds k + 1 ids of a vector, where it has as many.
 
     A task meets a shard's row first and then the queries, which stream past it in batches. slices: tasks that share
     the queries of one shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, ids, x = None, np.zeros(0, np.int64), np.zeros((0, 1))
+        graph, ids, copies, starts, x = None, *[np.zeros(0, np.int64)] * 3, np.zeros((0, 1))
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for row in batch.to_pylist():
                 if row["query_id"] is None:
                     ids, levels = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["levels"], "<i4")
-                    x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
+                    copies = np.frombuffer(row["copies"], "<i4").astype(np.int64)
+                    starts = np.cumsum(copies) - copies
+                    x = np.frombuffer(row["vectors"], "<f8").reshape(len(copies), -1)
                     longest = float(np.einsum("ij,ij->i", x, x).max())
                     graph = unflat(lifted(x, longest), levels, np.frombuffer(row["links"], "<i4"), row["entry"], settings.neighbours)
                     continue
                 q = np.array(row["q"])
                 found = np.array([v for _, v in graph.search(np.append(q, 0.0).astype(np.float32), max(settings.breadth, k + 1))], int)
-                found = found[ids[found] != row["query_id"]]
-                score = x[found] @ q
-                best = np.lexsort((ids[found], -score))[:k]
-                out.append((np.full(len(best), row["query_id"]), ids[found][best], score[best]))
+                n = copies[found]
+                score = np.repeat(x[found] @ q, n)
+                each = ids[np.repeat(starts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                others = each != row["query_id"]
+                each, score = each[others], score[others]
+                best = np.lexsort((each, -score))[:k]
+                out.append((np.full(len(best), row["query_id"]), each[best], score[best]))
             columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.int64, np.float64))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     slice_ids = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
-    graphs = shards.select("shard", slice_ids, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), "ids", "vectors", "levels", "links", "entry")
-    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "vectors", "levels", "links")]
+    graphs = shards.select("shard", slice_ids, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), "ids", "copies", "vectors", "levels", "links", "entry")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "copies", "vectors", "levels", "links")]
     present = shards.select("shard")
     asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
     numbers = [r["shard"] for r in present.collect()]
@@ -256,8 +274,9 @@ def search(shards: DataFrame, queries: DataFrame, k: int, settings: Settings = S
 def nearest(df: DataFrame, queries: DataFrame, k: int, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Indexes df and searches it for each row of queries, which have the same columns."""
     vectors = written(usable(df, id_col, vector_col), "vectors")
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
+    nodes = written(distinct(vectors, k + 1), "nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     shards = max(settings.least_shards, -(-size["n"] // settings.shard_rows))
-    graphs = written(index(vectors, shards, size["longest"] or 0.0, settings), "graphs")
+    graphs = written(index(nodes, shards, size["longest"] or 0.0, settings), "graphs")
     asked = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
     return search(graphs, vectors.join(asked, "id", "left_semi"), k, settings)

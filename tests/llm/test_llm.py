@@ -379,3 +379,19 @@ def test_benchmark_of_templates_is_found(spark):
         got = decontaminate.contaminated(docs, items, decontaminate.Settings(block_items=block_items)).collect()
         results.append({r.doc_id: set(r["items"]) for r in got})
     assert results[0] == results[1] and all(i in results[0][i] for i in texts) and not any(results[0][100 + i] for i in range(10))
+
+
+def test_nearest_neighbours_with_a_large_group_of_copies(spark):
+    x = np.random.default_rng(1).normal(size=(900, 16))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in hnsw.nearest(df, df.where("vec_id % 20 = 0"), 10, hnsw.Settings(least_shards=1)).orderBy("rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        want = [v for v in np.lexsort((np.arange(900), -np.round(scores, 9))).tolist() if v != q][:10]
+        assert q % 3 or found == want  # of equal vectors, those of the smallest ids
+        hits += len(set(found) & set(want))
+    assert len(got) == 45 and hits / (10 * len(got)) >= 0.9
