@@ -1,87 +1,89 @@
 """Benchmark decontamination: passages of documents within an edit distance of a benchmark item.
 
-Windows as long as the items are embedded by a random walk that reads a string and moves on, or stays, by a random bit
-of each character and step (CGK); strings at a small edit distance then differ in few places. Each repetition walks
-anew and samples a few places as a key; windows and items with an equal key are candidates, and as many repetitions
-are made as the wanted recall takes. Candidates are verified exactly, by the smallest edit distance between the item
-and any part of the window and its surroundings.
-
-Texts are compared as words in lower case joined by single spaces. The walks are a quick first pass over the windows
-that hold enough runs of three words of the benchmark; they decide nothing on their own. Every text that they leave is
-then scanned for every item without any gate: one bit per place of the text, one step per character of the item, which
-gives the smallest edit distance between the item and any part of the text exactly. So all passages within the allowed
-edits are found, misspelt or of common words only.
-
-The benchmark is taken in blocks of a bounded number of items; each block is sent to all tasks.
-
-Edge cases: null and empty texts hold nothing; items without words and null items are left out; a document shorter
-than an item is compared as one window; null ids are kept in the result; repeated rows are judged alike; very long
-texts are compared whole; an empty benchmark or table gives a result without matches; extra columns are dropped.
+Item-sized windows of the texts are embedded by a random walk that reads a string and moves on, or stays, by a random
+bit of each character and step (CGK); strings at a small edit distance then differ in few places. A window is walked
+from the words in it: an item has one walk per word, and a text's walk from a word serves all windows, of whatever
+size, that hold this word at the item's place. Each repetition walks anew and samples a few places as a key; equal keys
+make candidates, and as many repetitions are made as the wanted recall takes for the item with the fewest words.
+Candidates are verified exactly, by the smallest edit distance between the item and any part of its window.
+
+Texts are compared as words in lower case joined by single spaces. There is no other gate: every word of every text is
+walked. Items too short for a walk are scanned for in every text, bit-parallel, which is exact.
+
+The benchmark is taken in blocks of a bounded number of characters; each block is sent to all tasks, and rows pass all
+blocks one after the other, so the result doesn't depend on the blocks.
+
+Edge cases: null and empty texts hold nothing; items without words and null items are left out; items that share an id
+are each looked for and reported by it; a document shorter than an item may hold it within the allowed edits; null ids
+are kept in the result; repeated rows are judged alike; very long texts are compared whole; an empty benchmark or table
+gives a result without matches; extra columns are dropped by contaminated() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(r"\w+")
+from lakeops.llm.common import sliced
 
 
 @dataclass(frozen=True)
 class Settings:
-    """edits: largest edit distance per character of an item. gram, known: words in a run, and least share of a window's runs that the benchmark has. common: words in more than this share of the items tell nothing; a run of such words doesn't count. places, agreement, recall: places sampled per key, the share of places in which the embeddings of a match agree at least, and the wanted recall. block_items: items sent to the tasks at once."""
+    """edits: largest edit distance per character of an item. steps, places: length of a walk, 60 at most, and places sampled per key, one in each equal part of it. agreement, recall: share of the words of a passage, with as many edits as allowed, whose keys agree (measured), and the wanted recall. block_chars: characters of items sent to the tasks at once."""
 
     edits: float = 0.2
-    gram: int = 3
-    known: float = 0.2
-    common: float = 0.03
-    places: int = 3
-    agreement: float = 0.5
+    steps: int = 40
+    places: int = 14
+    agreement: float = 0.06
     recall: float = 0.98
-    block_items: int = 20_000
+    block_chars: int = 4_000_000
     seed: int = 5
 
-    @property
-    def repetitions(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.places))
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
-
-
-def embedded_keys(strings: list[str], settings: Settings, length: int) -> np.ndarray:
-    """(repetition, string): keys from the sampled places of the walks over strings of about `length` characters."""
-    n, steps = len(strings), 3 * length
-    codes = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") % 251 + 1 for s in strings]
-    width = max(map(len, codes), default=0) + 1
-    table = np.zeros((n, width), np.uint8)  # 0 past the end
-    for k, c in enumerate(codes):
-        table[k, : len(c)] = c
-    flat, base, last = table.ravel(), np.arange(n) * width, width - 1
-    keys = np.zeros((settings.repetitions, n), np.int64)
-    for r in range(settings.repetitions):
-        random = np.random.default_rng((settings.seed, length, r))
-        moves = random.integers(0, 2, (steps, 252), dtype=np.int64)
-        places = set(random.choice(min(steps, 2 * length), settings.places, replace=False).tolist())
-        at, key = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for step in range(max(places) + 1):
-            ch = flat[base + at]
-            if step in places:
-                key = key * 256 + ch
-            at += moves[step, ch]
-            np.minimum(at, last, out=at)
-        keys[r] = key
-    return keys
+    def repetitions(self, words: int) -> int:
+        return max(2, math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement) / max(1, words)))
+
+
+@lru_cache(maxsize=1)
+def _folding() -> np.ndarray:
+    """What each code point below 0x10000 is compared as: in lower case, a space for all that isn't part of a word."""
+    table = np.full(0x10000, 32, np.uint32)
+    for c in range(0x10000):
+        if chr(c).isalnum() or c == 95:
+            low = chr(c).lower()
+            table[c] = ord(low[0]) if low else c
+    return table
+
+
+def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, compared form, each between single spaces; and where each text starts, with the end."""
+    raw = np.frombuffer(" ".join([" ", *(t or "" for t in texts), " "]).encode("utf-32-le", "surrogatepass"), "<u4")
+    high = raw >= 0x10000
+    points = _folding()[np.where(high, 32, raw)]
+    if high.any():
+        kinds, of = np.unique(raw[high], return_inverse=True)
+        points[high] = np.array([k if chr(k).isalnum() else 32 for k in kinds.tolist()], np.uint32)[of]
+    gap = points == 32
+    keep = np.r_[True, ~(gap[1:] & gap[:-1])]
+    kept = np.cumsum(keep)
+    at = np.cumsum([2, *(len(t or "") + 1 for t in texts)]) - 1  # each text's own space before it
+    return points[keep], kept[np.minimum(at, len(kept) - 1)] - 1
+
+
+def words_in(text: str | None) -> str:
+    """The compared form of one text."""
+    return _string(folded([text])[0]).strip()
+
+
+def _string(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def closest(item: str, text: str, enough: int = 0) -> int:
@@ -116,212 +118,182 @@ def closest(item: str, text: str, enough: int = 0) -> int:
     return best
 
 
-#: Characters of the texts that are scanned together; a longer text is scanned whole.
-SCANNED = 1 << 17
-
-
-def scanned(texts: list[str], items: dict[int, str], edits: float) -> list[set[int]]:
-    """Items within the allowed edits of any part of each text, by bit-parallel rows over all texts put together; more marks than any item may have edits keep them apart."""
-    found: list[set[int]] = [set() for _ in texts]
-    most = {item: int(edits * len(wanted)) for item, wanted in items.items()}
-    apart = np.zeros(max(most.values(), default=0) + 1, np.uint32)
-    used = {ch for wanted in items.values() for ch in wanted}
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= SCANNED):
-            size += len(texts[last]) + len(apart)
-            last += 1
-        parts = [np.r_[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") + 1, apart] for t in texts[first:last]]
-        codes, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-        masks = {ch: int.from_bytes(np.packbits(codes == ord(ch) + 1, bitorder="little").tobytes(), "little") for ch in used}
-        full, n_bytes = (1 << len(codes)) - 1, -(-len(codes) // 8)
-        for item, wanted in items.items():
-            up = down = 0  # a part may begin anywhere: no cost on top
-            for ch in wanted:
-                eq = masks[ch]
-                d0 = (((eq & up) + up) ^ up) | eq | down
-                hp = ((down | ((d0 | up) ^ full)) << 1) | 1
-                hn = (up & d0) << 1
-                up = hn | ((d0 | hp) ^ full)
-                down = hp & d0  # bits past the end never reach those before it
-            rise, fall = (np.unpackbits(np.frombuffer((x & full).to_bytes(n_bytes, "little"), np.uint8), count=len(codes), bitorder="little").view(np.int8) for x in (up, down))
-            at = np.flatnonzero(np.cumsum(rise - fall, dtype=np.int32) <= most[item] - len(wanted))
-            for t in np.unique(np.searchsorted(ends, at, "right")).tolist():
-                found[first + t].add(item)
-        first = last
-    return found
+def scanned(windows: list[np.ndarray], items: list[str], edits: float) -> list[tuple[int, int]]:
+    """(number of window, number of item) wherever an item is within the allowed edits of any part of a window; bit-parallel rows over all windows put together, apart by more marks than an item may have edits."""
+    most = [int(edits * len(wanted)) for wanted in items]
+    apart = np.zeros(max(most, default=0) + 1, np.uint32)
+    codes = np.concatenate([apart, *(part for w in windows for part in (w + np.uint32(1), apart))])
+    stops = np.cumsum([len(w) + len(apart) for w in windows]) + len(apart)
+    masks = {ch: int.from_bytes(np.packbits(codes == ord(ch) + 1, bitorder="little").tobytes(), "little") for wanted in items for ch in set(wanted)}
+    full, n_bytes, out = (1 << len(codes)) - 1, -(-len(codes) // 8), []
+    for number, wanted in enumerate(items):
+        up = down = 0  # a part may begin anywhere: no cost on top
+        for ch in wanted:
+            eq = masks[ch]
+            d0 = (((eq & up) + up) ^ up) | eq | down
+            hp = ((down | ((d0 | up) ^ full)) << 1) | 1
+            hn = (up & d0) << 1
+            up = hn | ((d0 | hp) ^ full)
+            down = hp & d0  # bits past the end never reach those before it
+        rise, fall = (np.unpackbits(np.frombuffer((x & full).to_bytes(n_bytes, "little"), np.uint8), count=len(codes), bitorder="little").view(np.int8) for x in (up, down))
+        at = np.flatnonzero(np.cumsum(rise - fall, dtype=np.int32) <= most[number] - len(wanted))
+        out += [(t, number) for t in np.unique(np.searchsorted(stops, at, "right")).tolist()]
+    return out
+
+
+class Walks:
+    """The repetitions' random bits and sampled places, and the keys that they give. The bits of a character for all steps are one 64-bit word, which also stands for it in keys."""
+
+    def __init__(self, settings: Settings, repetitions: int):
+        self.rounds = []
+        for r in range(repetitions):
+            random = np.random.default_rng((settings.seed, r))
+            cuts = np.linspace(0, settings.steps, settings.places + 1).astype(int)
+            self.rounds.append((random.integers(0, 1 << 63, 256, dtype=np.int64), frozenset(random.integers(cuts[:-1], cuts[1:]).tolist())))
+
+    def keys(self, r: int, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key of the walk from each start, and where its last sampled place lies. codes go on for `steps` past the last start."""
+        words, places = self.rounds[r]
+        bits, at, key, last = words[codes], starts.astype(np.int64), np.zeros(len(starts), np.int64), max(places)
+        for step in range(last + 1):
+            move = bits.take(at)
+            if step in places:
+                key *= np.int64(0x1E3779B97F4A7C15)
+                key += move
+            if step < last:
+                move >>= step
+                move &= 1
+                at += move
+        return key.view(np.uint64), at
+
+
+#: Starts that are walked together, so that they stay in a core's cache.
+_TOGETHER = 1 << 15
 
 
 class Benchmark:
-    """Items in classes of about equal word counts, their keys, and the runs of words that they hold."""
+    """Walks of the items of a block, to be met by those of texts."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.settings = settings
-        self.texts: dict[int, str] = {}
-        by_class: dict[int, list[int]] = defaultdict(list)
-        self.vocabulary: dict[str, int] = {}
-        grams: set[int] = set()
-        coded = []
+        self.ids, self.texts, self.short = [], [], []
         for item, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            self.texts[item] = " ".join(words)
-            by_class[round(math.log(len(words)) / math.log(1.15))].append(item)
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            coded.append(np.array(codes, np.int64))
-        often = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, coded)]), minlength=len(self.vocabulary) + 1) > max(2, settings.common * len(coded))
-        self.telling: dict[int, frozenset[int]] = {}
-        for item, codes in zip(self.texts, coded, strict=True):
-            runs, rare = self.grams_of(codes), ~often[codes]
-            telling = np.convolve(rare, np.ones(min(settings.gram, len(codes))), "valid") > 0
-            self.telling[item] = frozenset((runs[telling] if telling.any() else runs).tolist())
-            grams |= self.telling[item]
-        self.grams = np.array(sorted(grams), np.int64)
-        self.classes = []
-        for c, members in sorted(by_class.items()):
-            strings = [self.texts[i] for i in members]
-            length = max(8, round(sum(map(len, strings)) / len(strings)))
-            keys = embedded_keys(strings, settings, length)
-            tables: list[dict[int, list[int]]] = []
-            for r in range(settings.repetitions):
-                table = defaultdict(list)
-                for item, key in zip(members, keys[r].tolist(), strict=True):
-                    table[key].append(item)
-                tables.append(dict(table))
-            self.classes.append((max(1, round(1.15**c)), length, tables))
-
-    def grams_of(self, code: np.ndarray) -> np.ndarray:
-        """Each run of neighbouring word codes as one number, -1 where a word isn't known; a shorter text is one run."""
-        g = min(self.settings.gram, len(code))
-        runs = np.stack([code[k : len(code) - g + 1 + k] for k in range(g)])
-        with np.errstate(over="ignore"):
-            number = reduce(lambda a, b: a * np.int64(0x9E3779B1) + b + 1, runs)
-        return np.where((runs >= 0).all(0), number & 0x7FFFFFFFFFFFFFFF, -1)
-
-    def runs_of(self, words: list[str]) -> np.ndarray:
-        return self.grams_of(np.array(list(map(self.vocabulary.get, words, [-1] * len(words))), np.int64))
-
-    def windows(self, run: np.ndarray) -> list[tuple[int, int]]:
-        """(class, start) of the windows worth embedding: in each stretch of a quarter window, the one with most known runs, if they are enough; of equals, one that begins with a known run."""
-        at = np.minimum(np.searchsorted(self.grams, run), max(0, len(self.grams) - 1))
-        known = (self.grams[at] == run) if len(self.grams) else np.zeros(len(run), bool)
-        total = np.r_[0, np.cumsum(known)]
-        if not total[-1]:
-            return []
-        lost = self.settings.gram - 1
-        out = []
-        for c, (length, _, _) in enumerate(self.classes):
-            span = min(max(1, length - lost), len(run))
-            hits = total[span:] - total[:-span]
-            least = max(1, math.ceil(self.settings.known * max(1, length - lost)))
-            good = np.flatnonzero(hits >= least)
-            if not len(good):
-                continue
-            stretch = good // max(1, length // 4)
-            order = np.lexsort((good, ~known[good], -hits[good], stretch))
-            first = order[np.r_[True, stretch[order][1:] != stretch[order][:-1]]]
-            out += [(c, int(s)) for s in good[first]]
-        return out
+            wanted = words_in(text)
+            if wanted:
+                self.ids.append(item)
+                self.texts.append(wanted)
+        points, ends = folded(self.texts)
+        codes, starts = self.walked(points)
+        of = np.searchsorted(ends, starts, "right") - 1
+        words = np.bincount(of, minlength=len(self.texts))
+        long = np.array([len(t) >= settings.steps for t in self.texts], bool)  # shorter ones have hardly a walk that ends in them
+        self.short = np.flatnonzero(~long).tolist()
+        self.walks = Walks(settings, settings.repetitions(int(words[long].min())) if long.any() else 0)
+        self.tables = []
+        for r in range(len(self.walks.rounds)):
+            key, last = self.walks.keys(r, codes, starts)
+            use = long[of] & (last < ends[of + 1])
+            order = np.argsort(key[use], kind="stable")
+            key, item, offset = key[use][order], of[use][order], (starts - ends[of] - 1)[use][order]
+            bits = max(16, len(key).bit_length() + 7)
+            sieve = np.zeros(1 << bits, bool)
+            sieve[self.sifted(key, bits)] = True
+            self.tables.append((key, item, offset, sieve, bits))
+
+    @staticmethod
+    def sifted(key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+
+    def walked(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One byte per character, 0 for the space, with room for walks past the end; and where words start."""
+        codes = np.where(points == 32, 0, points % 255 + 1).astype(np.uint8)
+        starts = np.flatnonzero((codes[1:] != 0) & (codes[:-1] == 0)) + 1
+        return np.r_[codes, np.zeros(self.settings.steps + 1, np.uint8)], starts
 
     def matches(self, texts: list[str | None], first_only: bool = False) -> list[set[int]]:
-        """Items found in each text; with first_only, at least one of them where there are any."""
-        found = self.walked(texts)
-        rest = [t for t, text in enumerate(texts) if text and not (first_only and found[t])]
-        for t, more in zip(rest, scanned([" ".join(words_of(texts[t])) for t in rest], self.texts, self.settings.edits), strict=True):
-            found[t] |= more
-        return found
-
-    def walked(self, texts: list[str | None]) -> list[set[int]]:
-        """Items that the walks find in each text."""
-        settings = self.settings
+        """Ids of the items found in each text; with first_only, at least one of them where there are any."""
         found: list[set[int]] = [set() for _ in texts]
-        split: dict[int, tuple[list[str], np.ndarray]] = {}
-        by_class: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, text in enumerate(texts):
-            words = words_of(text)
-            if not words:
-                continue
-            run = self.runs_of(words)
-            places = self.windows(run)
-            if places:
-                split[t] = words, run
-                for c, start in places:
-                    by_class[c].append((t, start))
-        for c, places in by_class.items():
-            length, chars, tables = self.classes[c]
-            for k in range(0, len(places), 5000):
-                part = places[k : k + 5000]
-                keys = embedded_keys([" ".join(split[t][0][s : s + length]) for t, s in part], settings, chars)
-                candidates = {(w, item) for r, table in enumerate(tables) for w, key in enumerate(keys[r].tolist()) for item in table.get(key, ())}
-                seen: dict[int, set[int]] = {}
-                for w, item in sorted(candidates):
-                    t, s = part[w]
-                    if item in found[t]:
-                        continue
-                    words, run = split[t]
-                    if w not in seen:
-                        seen[w] = set(run[s : s + length].tolist())
-                    telling = self.telling[item]
-                    if len(telling & seen[w]) < settings.known * len(telling) / 2:
-                        continue
-                    wanted, slack = self.texts[item], max(2, length // 4)
-                    around = " ".join(words[max(0, s - slack) : s + length + slack])
-                    most = int(settings.edits * len(wanted))
-                    if closest(wanted, around, most) <= most:
-                        found[t].add(item)
+        points, ends = folded(texts)
+        codes, starts = self.walked(points)
+        candidates = [np.zeros((0, 3), np.int64)]
+        for k in range(0, len(starts), _TOGETHER):
+            part = starts[k : k + _TOGETHER]
+            near, shift = codes[part[0] : part[-1] + self.settings.steps + 1], part[0]
+            for r, (keys, item, offset, sieve, bits) in enumerate(self.tables):
+                key, _ = self.walks.keys(r, near, part - shift)
+                hit = np.flatnonzero(sieve[self.sifted(key, bits)])
+                low, high = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+                n = high - low
+                entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                start = np.repeat(part[hit], n)
+                candidates.append(np.c_[item[entry], np.searchsorted(ends, start, "right") - 1, start - offset[entry]])
+        item, text, begin = np.unique(np.concatenate(candidates), axis=0).T
+        for i, windows in self.joined(text, item, begin):
+            wanted = self.texts[i]
+            most = int(self.settings.edits * len(wanted))
+            windows = [(t, max(ends[t], a - most), min(ends[t + 1], b + len(wanted) + most)) for t, a, b in windows if not (first_only and found[t])]
+            for w, _ in scanned([points[a:b] for _, a, b in windows], [wanted], self.settings.edits) if windows else ():
+                found[windows[w][0]].add(self.ids[i])
+        if self.short and texts:
+            for t, number in scanned([points[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], [self.texts[i] for i in self.short], self.settings.edits):
+                found[t].add(self.ids[self.short[number]])
         return found
 
+    def joined(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Each item with (text, first and last begin) of its candidates, which come in order; those that begin within an item's length of the next are one."""
+        if not len(text):
+            return
+        length = np.array([len(t) for t in self.texts], np.int64)
+        new = np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] - begin[:-1] > length[item[1:]])]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(text)] - 1
+        joined = np.c_[text[first], begin[first], begin[last]].tolist()
+        cuts = [*np.flatnonzero(np.r_[True, item[first][1:] != item[first][:-1]]).tolist(), len(first)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(item[first[a]]), joined[a:b]
+
+
+def _blocks(benchmark: DataFrame, settings: Settings, item_col: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of about block_chars characters; one block at a time is held."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = -(-size // settings.block_chars)
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, n_blocks))).cast("int"))
+    for block in range(n_blocks):
+        yield sorted((r["item"], r["text"]) for r in blocked.where(F.col("block") == block).toLocalIterator())
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, items) of every row: the ids of the benchmark items that its text holds, in order."""
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = source.schema[0].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
-    n_blocks = -(-items.count() // settings.block_items)
-    schema = f"`{id_col}` {kind}, items array<bigint>"
-    if not n_blocks:
-        return source.select(id_col, F.array().cast("array<bigint>").alias("items"))
-    blocked = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int"))
-
-    def found(block: int) -> DataFrame:
-        rows = sorted((r["item"], r["text"]) for r in blocked.where(F.col("block") == block).collect())
-        made: list[Benchmark] = []
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<bigint>").alias("items"))
 
+    def with_block(rows: list[tuple[int, str]], kept: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(Benchmark(rows, settings))
-            for batch in batches:
-                matches = made[0].matches(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(m) for m in matches], pa.list_(pa.int64()))], [id_col, "items"])
+            block = Benchmark(rows, settings)
+            for batch in sliced(batches):
+                matches = block.matches(batch.column(1).to_pylist())
+                items = [sorted(m | set(old)) for m, old in zip(matches, batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64()))], ["id", "text", "items"])
 
-        return source.mapInArrow(run, schema)
+        return kept.mapInArrow(run, kept.schema)
 
-    if n_blocks == 1:
-        return found(0)
-    several = reduce(DataFrame.unionByName, map(found, range(n_blocks)))
-    return several.groupBy(id_col).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    for rows in _blocks(benchmark, settings, item_col, item_text):
+        kept = with_block(rows, kept)
+    return kept.select(F.col("id").alias(id_col), "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns; blocks of items are applied one after the other and rows don't leave their task."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
-    n_blocks = -(-items.count() // settings.block_items)
-    blocked = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(1, n_blocks))).cast("int"))
+    """The rows that hold no benchmark item, with all their columns; rows don't leave their task."""
 
     def without(rows: list[tuple[int, str]], docs: DataFrame) -> DataFrame:
-        made: list[Benchmark] = []
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(Benchmark(rows, settings))
-            for batch in batches:
-                matches = made[0].matches(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), first_only=True)
+            block = Benchmark(rows, settings)
+            for batch in sliced(batches):
+                matches = block.matches(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), first_only=True)
                 yield batch.filter(pa.array([not m for m in matches], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 
-    for block in range(n_blocks):
-        docs = without(sorted((r["item"], r["text"]) for r in blocked.where(F.col("block") == block).collect()), docs)
+    for rows in _blocks(benchmark, settings, item_col, item_text):
+        docs = without(rows, docs)
     return docs
