@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +44,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def fresh_name(df: DataFrame) -> str:
+    """A column name that df hasn't got, in whatever case."""
+    taken, name = {c.lower() for c in df.columns}, "_added"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a task holds at once is small; memory is given back after each batch."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, octets: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of at most so many rows and octets (one row at least), so that what a task holds at once is small; memory is given back after each batch."""
     for batch in batches:
-        for k in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(k, rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        before = np.r_[0, np.cumsum(size)]
+        k = 0
+        while True:
+            stop = max(k + 1, min(k + rows, int(np.searchsorted(before, before[k] + octets, "right")) - 1)) if batch.num_rows else 0
+            yield batch.slice(k, stop - k)
+            k = stop
+            if k >= batch.num_rows:
+                break
         del batch
         pa.default_memory_pool().release_unused()
 
@@ -68,6 +88,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+@dataclass
+class Coded:
+    """Words of some texts: the distinct ones, the number of the one at each place, and where each text's words start, with the end."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    starts: np.ndarray
+
+
+def coded(texts: pa.Array, split: Callable[[pa.Array], pa.ListArray] = pc.ascii_split_whitespace) -> Coded:
+    """Words of whole texts; null texts have none. The default cuts at exactly the white space named in WORD."""
+    lists = split(pc.fill_null(texts, ""))
+    words = lists.flatten().dictionary_encode()
+    codes, starts = words.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    empty = pc.index(words.dictionary, "").as_py() if len(words.dictionary) else -1
+    if empty >= 0:  # what a split leaves at the ends of a text
+        keep = codes != empty
+        codes, starts = codes[keep], np.r_[0, np.cumsum(keep)][starts]
+    return Coded(words.dictionary, codes, starts)
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text; lower: of A to Z in lower case."""
+    words = coded(pc.ascii_lower(texts) if lower else texts)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.distinct.cast(pa.binary()).to_pylist()], np.uint64)[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+    return [hashes[a:b] for a, b in zip(words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True)]
+
+
 class WordHashes(dict):
     """64-bit hash of each word, memoised; emptied when it holds `most` words."""
 
