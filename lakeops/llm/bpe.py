@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 
 
 def irregular(text: str) -> bool:
-    """Whether white space may come in runs that a cut at a space or line feed would change: three or more, two at the end, or of another kind."""
+    """Whether white space may come in runs that a cut at a space would change: three or more, two at the end, or of another kind."""
     return any(x in text for x in _RUNS) or any(x in text for x in _OTHER_SPACE) or (len(text) > 1 and text[-1].isspace() and text[-2].isspace())
 
 
@@ -49,29 +50,68 @@ class Memo(dict):
         return value
 
 
-class ChunkedEncoder:
-    """Packs the ids of a text as little-endian 32-bit integers, encoding each distinct chunk once.
+def binaries(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
+def regrouped(values: pa.Array, stops: np.ndarray) -> pa.Array:
+    """Neighbouring values of a fresh array of binaries as one each; stops: where the groups begin, with the end."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(offsets[stops].astype(np.int32)), values.buffers()[2] or pa.py_buffer(b"")])
 
-    A chunk starts at a space or line feed. Where white space is regular, the splitting patterns of byte-level BPE
-    begin a match there, so chunks can be encoded apart; any other text is encoded whole.
-    """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 240_000):
-        self.encode = encode
-        self.head, self.rest = Memo(encode, most // 4), Memo(lambda chunk: encode(" " + chunk), most)
+class Known:
+    """Packed ids of chunks with a space before them, kept as Arrow arrays from batch to batch; begun anew when there are more than `most`."""
 
-    def pack(self, text: str) -> bytes:
-        if irregular(text):
-            return self.encode(text)
-        out, newline, rest = [], self.head["\n"], self.rest.__getitem__
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(newline)
-            first, *others = line.split(" ")
-            if first:
-                out.append(self.head[first])
-            out.extend(map(rest, others))
-        return b"".join(out)
+    def __init__(self, make: Callable[[list[str]], pa.Array], most: int = 800_000):
+        self.make, self.most = make, most
+        self.chunks, self.ids = pa.array([], pa.string()), binaries([])
+
+    def __call__(self, chunks: pa.Array) -> pa.Array:
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(at.is_null())
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.chunks) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, self.make(new.to_pylist())])
+        if len(ids) <= self.most:
+            self.chunks, self.ids = pa.concat_arrays([self.chunks, new]), ids
+        else:
+            self.chunks, self.ids = new, ids.slice(len(self.ids))
+        return ids.take(pa.array(place))
+
+
+def chunked(texts: pa.Array, after_space: Callable[[pa.Array], pa.Array], alone: Callable[[str], bytes], whole: Callable[[str], bool] = irregular, end: bytes = b"") -> pa.Array:
+    """Packed ids of each text, `end` after each.
+
+    A chunk starts at a space. Where white space is regular, the splitting patterns of byte-level BPE begin a match
+    there, so chunks can be encoded apart: each distinct one once, by `after_space`, which gives the packed ids of the
+    chunks with a space before them; the ids of the texts are then put together by number. Texts that `whole` names are
+    encoded in one by `alone`, as are the first chunks, which have no space before them.
+    """
+    apart = np.array([whole(t) for t in texts.to_pylist()], bool)
+    lists = pc.split_pattern(texts.filter(pa.array(~apart)), " ")
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    starts, chunks = starts - starts[0], lists.flatten()
+    n = len(lists)
+    first = np.zeros(len(chunks), bool)
+    first[starts[:-1]] = True
+    later = chunks.filter(pa.array(~first)).dictionary_encode()
+    heads = chunks.filter(pa.array(first)).dictionary_encode()
+    n_later, n_heads = len(later.dictionary), len(heads.dictionary)
+    codes = np.empty(len(chunks) + n, np.int64)  # one more for each end
+    stops = starts[1:] + np.arange(n)
+    at = np.ones(len(codes), bool)
+    at[stops] = False
+    inner = np.empty(len(chunks), np.int64)
+    inner[first], inner[~first] = heads.indices.to_numpy() + n_later, later.indices.to_numpy()
+    codes[at], codes[stops] = inner, n_later + n_heads
+    values = pa.concat_arrays([after_space(later.dictionary), binaries([*map(alone, heads.dictionary.to_pylist()), end])])
+    regular = regrouped(values.take(pa.array(codes)), np.r_[0, stops + 1])
+    if not apart.any():
+        return regular
+    others = binaries([alone(t) + end for t in texts.filter(pa.array(apart)).to_pylist()])
+    place = np.where(apart, n + np.cumsum(apart) - 1, np.cumsum(~apart) - 1)
+    return pa.concat_arrays([regular, others]).take(pa.array(place))
 
 
 class BytePairEncoder:
@@ -85,7 +125,8 @@ class BytePairEncoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         reachable = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
-        self.pieces = Memo(self.piece, 120_000)
+        self.pieces = Memo(self.piece, 60_000)
+        self.after_space = Known(lambda chunks: binaries([self.encode(" " + c) for c in chunks]))
         self.automaton = ahocorasick.Automaton()
         for token, rank in reachable.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
@@ -152,15 +193,15 @@ class BytePairEncoder:
         return b"".join(map(self.pieces.__getitem__, self.findall(text)))
 
 
-@lru_cache(maxsize=4)
-def _loaded(path: str, pattern: str) -> tuple[ChunkedEncoder, list[bytes]]:
+@lru_cache(maxsize=1)
+def _loaded(path: str, pattern: str) -> tuple[BytePairEncoder, pa.Array]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     encoder = BytePairEncoder(ranks, pattern)
     vocabulary = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         vocabulary[rank] = token
-    return ChunkedEncoder(encoder.encode), vocabulary
+    return encoder, binaries(vocabulary)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,9 +209,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _loaded(ranks_path, pattern)
-        for batch in sliced(batches):
-            ids = [encoder.pack(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
+        for batch in sliced(batches, 2000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), chunked(batch.column(1), encoder.after_space, encoder.encode)], [id_col, "ids"])
 
     source = df.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids binary")
@@ -182,8 +222,10 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = _loaded(ranks_path, pattern)
         for batch in sliced(batches):
-            texts = [b"".join(map(vocabulary.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [id_col, "ids", "decoded"])
+            ids = batch.column(1).to_pylist()
+            n = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            octets = vocabulary.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, regrouped(octets, n)], [id_col, "ids", "decoded"])
 
     source = df.select(id_col, "ids")
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids binary, decoded binary")
