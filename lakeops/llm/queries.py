@@ -104,4 +104,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
         FROM o""",
+    "op8_secrets": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        r AS (SELECT * FROM (VALUES
+            ('assign', 1, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+            ('access', 2, 'AKIA[A-Z0-9]+', 20),
+            ('hex', 3, '[0-9a-f]+', 24)) AS v(kind, ord, pattern, least)),
+        m AS (
+            SELECT doc_id, kind, ord, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS hits,
+                   CASE kind WHEN 'assign' THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern) END AS kept
+            FROM d, r WHERE regexp_matches(t, CASE kind WHEN 'hex' THEN '[0-9a-f]{24}' ELSE pattern END)),
+        n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m),
+        s AS (
+            SELECT doc_id, kind, ord, length(array_to_string(gaps[1:k], '')) + length(array_to_string(hits[1:k - 1], '')) AS a, length(hits[k]) AS n
+            FROM n WHERE length(kept[k]) >= least),
+        l AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, ord) AS spans
+            FROM s GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+               CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN l USING (doc_id)""",
 }

@@ -8,8 +8,9 @@ A span is (kind, start, end) in code points, end exclusive. Spans come from spli
 matches in turn give every offset.
 
 Edge cases: null texts count as empty and hold nothing; long texts are scanned whole; copies and repeated rows share
-one scan and each get their findings; an empty table gives an empty result; other columns are carried or dropped by
-name only.
+one scan and each get their findings, null ids too; a blob that two writers have added to a ledger counts once; an empty
+table gives an empty result; other columns are carried by find(), whatever their names, but for one that is named as
+its result is, which it replaces.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import scratch, text_or_empty
+from lakeops.llm.common import fresh_name, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -70,11 +71,6 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("blob", F.array_sort(F.concat(*(F.col(f"spans_{k}") for k in range(len(rules))))).alias("spans"))
 
 
-def addressed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `blob`, the content address of the text."""
-    return df.withColumn("blob", F.sha2(text_or_empty(text_col), 256))
-
-
 def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, text_col: str = "text") -> DataFrame:
     """Scans the blobs of `versions` (any rows with a text) that the ledger hasn't seen under these rules, appends them to it, and gives the ledger under these rules: blob, spans."""
     spark = versions.sparkSession
@@ -95,10 +91,11 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
 def find(df: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, text_col: str = "text") -> DataFrame:
     """Adds `secret_spans` to every row. Without a ledger_path a new ledger is begun in the shared folder."""
     ledger = update_ledger(df, ledger_path or scratch(df.sparkSession, "ledger"), rules, rules_version, text_col)
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("secret_spans"))
-    rows = df.withColumn("_address", F.sha2(text_or_empty(text_col), 256))
-    joined = rows.join(hits, F.col("_address") == F.col("_blob"), "left")
-    return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(_SPANS))).drop("_address", "_blob")
+    rows = df.drop("secret_spans")
+    address, blob = fresh_name(rows), fresh_name(rows) + "_blob"
+    hits = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias("secret_spans"))
+    joined = rows.withColumn(address, F.sha2(text_or_empty(text_col), 256)).join(hits, F.col(address) == F.col(blob), "left")
+    return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(_SPANS))).drop(address, blob)
 
 
 def listed(spans: Column) -> Column:
