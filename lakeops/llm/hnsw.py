@@ -29,13 +29,14 @@ from lakeops.llm.common import written
 
 @dataclass(frozen=True)
 class Settings:
-    """neighbours above the ground level (twice as many on it), breadth of the search while building and asking, least number of shards and most vectors of one."""
+    """neighbours above the ground level (twice as many on it), breadth of the search while building and asking, least number of shards and most vectors of one, and most queries that one task asks of a shard."""
 
     neighbours: int = 12
     build_breadth: int = 48
     breadth: int = 80
     least_shards: int = 12
     shard_rows: int = 50_000
+    slice_queries: int = 20_000
     seed: int = 11
 
 
@@ -215,7 +216,7 @@ def index(vectors: DataFrame, shards: int, longest: float, settings: Settings =
         if rows:
             yield made()
 
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("id")
     return dealt.mapInArrow(run, _INDEX)
 
 
@@ -225,8 +226,8 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[x, rest].astype(np.float32)
 
 
-def search(shards: DataFrame, queries: DataFrame, k: int, settings: Settings = Settings(), slices: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): k nearest of all shards to each query, without the query's own id. The index holds k + 1 ids of a vector, where it has as many.
+def search(index: DataFrame, shards: int, queries: DataFrame, k: int, settings: Settings = Settings(), slices: int = 1) -> DataFrame:
+    """(query_id, rank, vec_id, score): k nearest of all shards, numbered below `shards`, to each query, without the query's own id. The index holds k + 1 ids of a vector, where it has as many.
 
     A task meets a shard's row first and then the queries, which stream past it in batches. slices: tasks that share
     the queries of one shard.
@@ -245,6 +246,8 @@ def search(shards: DataFrame, queries: DataFrame, k: int, settings: Settings = S
                     longest = float(np.einsum("ij,ij->i", x, x).max())
                     graph = unflat(lifted(x, longest), levels, np.frombuffer(row["links"], "<i4"), row["entry"], settings.neighbours)
                     continue
+                if graph is None:  # no vector was dealt to this shard
+                    continue
                 q = np.array(row["q"])
                 found = np.array([v for _, v in graph.search(np.append(q, 0.0).astype(np.float32), max(settings.breadth, k + 1))], int)
                 n = copies[found]
@@ -258,14 +261,12 @@ def search(shards: DataFrame, queries: DataFrame, k: int, settings: Settings = S
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     slice_ids = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
-    graphs = shards.select("shard", slice_ids, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), "ids", "copies", "vectors", "levels", "links", "entry")
+    graphs = index.select("shard", slice_ids, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), "ids", "copies", "vectors", "levels", "links", "entry")
     none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "copies", "vectors", "levels", "links")]
-    present = shards.select("shard")
     asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
-    numbers = [r["shard"] for r in present.collect()]
-    asked = asked.select(F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<int>")).alias("shard"), "slice", "query_id", "q", *none, F.lit(None).cast("int").alias("entry"))
-    tasks = max(1, len(numbers) * slices)
-    dealt = graphs.unionByName(asked).repartition(tasks, "shard", "slice").sortWithinPartitions("shard", "slice", F.col("query_id").asc_nulls_first())
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "slice", "query_id", "q", *none, F.lit(None).cast("int").alias("entry"))
+    task = (F.col("shard") * slices + F.col("slice")).cast("int")
+    dealt = graphs.unionByName(asked).repartitionById(shards * slices, task).sortWithinPartitions(F.col("query_id").asc_nulls_first())
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -279,4 +280,5 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, settings: Settings = Sett
     shards = max(settings.least_shards, -(-size["n"] // settings.shard_rows))
     graphs = written(index(nodes, shards, size["longest"] or 0.0, settings), "graphs")
     asked = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
-    return search(graphs, vectors.join(asked, "id", "left_semi"), k, settings)
+    asked = written(vectors.join(asked, "id", "left_semi"), "asked")
+    return search(graphs, shards, asked, k, settings, max(1, -(-asked.count() // settings.slice_queries)))
