@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _last(log: DataFrame, condition: Column, keys: Sequence[str], columns: Sequence[str], name: str) -> Column:
-    return F.max_by(F.struct("op", *columns), F.when(condition, F.col("version"))).alias(name)
+from lakeops.operators.aggregates import latest_per_key
 
 
 def state_at(log: DataFrame, version: int, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows at a version: each key's last entry, without deleted ones. Pre-aggregated before the shuffle."""
-    last = log.where(F.col("version") <= version).groupBy(*keys).agg(F.max_by(F.struct("op", *columns), "version").alias("r"))
-    return last.where("r.op <> 'D'").select(*keys, *(F.col(f"r.{c}").alias(c) for c in columns))
+    """Rows at a version: each key's last entry, without deleted ones. A key (a row's id) is never null.
+
+    The last version of a key is a hash aggregation; the entries then meet it in a hash join, so nothing is sorted.
+    """
+    seen = log.where(F.col("version") <= version)
+    last = seen.groupBy(*keys).agg(F.max("version").alias("_last"))
+    found = seen.select(*keys, *columns, "op", "version").join(last.hint("shuffle_hash"), list(keys))
+    return found.where((F.col("version") >= F.col("_last")) & (F.col("op") != "D")).select(*keys, *columns)
 
 
 def net_changes(log: DataFrame, v_from: int, v_to: int, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -23,21 +26,30 @@ def net_changes(log: DataFrame, v_from: int, v_to: int, keys: Sequence[str], col
 
     Insert and delete in the range cancel; an insert with updates is one insert of the last values; updates are a
     delete of the old row and an insert of the new one; an update then a delete is a delete of the values at v_from.
-    One aggregation over the log gives both states of a key.
+    Only keys with an entry in the range are looked at further; their last entries at both ends are compared.
     """
     v = F.col("version")
-    ends = log.where(v <= v_to).groupBy(*keys).agg(_last(log, v <= v_from, keys, columns, "a"), _last(log, v <= v_to, keys, columns, "b"))
-    live = lambda side: F.col(side).isNotNull() & (F.col(f"{side}.op") != "D")
-    rows = lambda side: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in columns))
-    same = rows("a").eqNullSafe(rows("b"))
-    both = live("a") & live("b")
-    event = lambda ok, action, update, side: F.struct(ok.alias("ok"), F.lit(action).alias("_action"), update.alias("_is_update"), rows(side).alias("r"))
-    events = F.array(
-        event(live("a") & ~(live("b") & same), "DELETE", both, "a"),
-        event(live("b") & ~(live("a") & same), "INSERT", both, "b"),
-    )
-    out = ends.select(*keys, F.explode(F.filter(events, lambda e: F.coalesce(e["ok"], F.lit(False)))).alias("e"))
-    return out.select("e._action", "e._is_update", F.concat_ws("|", *keys).alias("_row_id"), *keys, *(F.col(f"e.r.{c}").alias(c) for c in columns))
+    seen = log.where(v <= v_to)
+    ends = seen.groupBy(*keys).agg(F.max(F.when(v <= v_from, v)).alias("_from"), F.max(v).alias("_to")).where(F.col("_to") > v_from)
+    rows = seen.select(*keys, *columns, "op", "version").join(ends.hint("shuffle_hash"), list(keys))
+    live = F.col("op") != "D"
+    a = rows.where((v == F.col("_from")) & live).select(*keys, F.struct(*columns).alias("a"))
+    b = rows.where((v == F.col("_to")) & live).select(*keys, F.struct(*columns).alias("b"))
+    pairs = a.join(b.hint("shuffle_hash"), list(keys), "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return _feed(pairs, "a", "b", keys, columns)
+
+
+def _feed(pairs: DataFrame, old: str, new: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    update = F.col(old).isNotNull() & F.col(new).isNotNull()
+    event = lambda side, action: F.struct(F.col(side).alias("r"), F.lit(action).alias("_action"))
+    events = F.filter(F.array(event(old, "DELETE"), event(new, "INSERT")), lambda e: e["r"].isNotNull())
+    out = pairs.select(*keys, update.alias("_is_update"), F.explode(events).alias("e"))
+    return out.select("e._action", "_is_update", F.concat_ws("|", *keys).alias("_row_id"), *keys, *(F.col(f"e.r.{c}").alias(c) for c in columns))
+
+
+def has_data(log: DataFrame, offset: int) -> DataFrame:
+    """One row, has_data: whether a consumer at an offset has anything to read; a probe of one row."""
+    return log.where(F.col("version") > offset).limit(1).agg((F.count("*") > 0).alias("has_data"))
 
 
 def append_only_changes(log: DataFrame, v_from: int, v_to: int) -> DataFrame:
@@ -68,12 +80,7 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], columns:
     """Change feed between two snapshots with unique keys."""
     a = old.select(*keys, F.struct(*columns).alias("_old"))
     b = new.select(*keys, F.struct(*columns).alias("_new"))
-    joined = a.join(b, list(keys), "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
-    update = F.col("_old").isNotNull() & F.col("_new").isNotNull()
-    event = lambda side, action: F.struct(F.col(side).alias("r"), F.lit(action).alias("_action"))
-    events = F.filter(F.array(event("_old", "DELETE"), event("_new", "INSERT")), lambda e: e["r"].isNotNull())
-    out = joined.select(*keys, update.alias("_is_update"), F.explode(events).alias("e"))
-    return out.select("e._action", "_is_update", F.concat_ws("|", *keys).alias("_row_id"), *keys, *(F.col(f"e.r.{c}").alias(c) for c in columns))
+    return _feed(a.join(b.hint("shuffle_hash"), list(keys), "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new"))), "_old", "_new", keys, columns)
 
 
 def restore_deleted(current: DataFrame, past: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,7 +94,7 @@ def high_water_increment(df: DataFrame, ts: str, last: str) -> DataFrame:
 
 def sequence_guard(updates: DataFrame, target: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Of each key's updates the last by sequence, if it is later than the target's."""
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in keys]), seq).alias("r")).select(*keys, "r.*")
+    last = latest_per_key(updates, keys, [F.desc(seq)])
     return last.join(target.select(*keys, F.col(seq).alias("_at")), list(keys), "left").where(F.col("_at").isNull() | (F.col(seq) > F.col("_at"))).drop("_at")
 
 
@@ -99,8 +106,10 @@ def version_history(log: DataFrame) -> DataFrame:
 def retained_history(log: DataFrame, keys: Sequence[str], at: str, days: int, least_days: int = 0) -> DataFrame:
     """Entries that any state in the window needs: those in it and each key's last one before it, unless that is a delete."""
     cut = F.timestamp_add("DAY", F.lit(-max(days, least_days)), F.lit(at).cast("timestamp"))
-    before = log.where(F.col("ts") <= cut).groupBy(*keys).agg(F.max_by(F.struct("version", "op"), "version").alias("_l")).where("_l.op <> 'D'").select(*keys, F.col("_l.version").alias("version"))
-    return log.where(F.col("ts") > cut).unionByName(log.where(F.col("ts") <= cut).join(before, [*keys, "version"], "left_semi"))
+    older = log.where(F.col("ts") <= cut)
+    last = older.groupBy(*keys).agg(F.max("version").alias("_last"))
+    kept = older.join(last.hint("shuffle_hash"), list(keys)).where((F.col("version") >= F.col("_last")) & (F.col("op") != "D")).select(*log.columns)
+    return log.where(F.col("ts") > cut).unionByName(kept)
 
 
 def staleness_report(consumers: DataFrame, retention_days: int, extension_days: int, at: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.functions.scalar import ratio_pct
+from lakeops.operators.stage import stage_result
 
 GIB = 1 << 30
 
@@ -48,6 +49,12 @@ def cost_rollup(usage: DataFrame, least_pct: float) -> DataFrame:
     return pools.crossJoin(total).select("warehouse", "credits", ratio_pct(F.col("credits"), F.col("_t")).alias("share_pct")).where(F.col("share_pct") > least_pct)
 
 
+def storage_rollup(metrics: DataFrame, pool: str, active: str, history: str, n: int) -> DataFrame:
+    """Active and historic bytes of each pool and their ratio in percent, of the n largest."""
+    sums = metrics.groupBy(pool).agg(F.sum(active).alias("active"), F.sum(history).alias("history"))
+    return sums.withColumn("history_pct", ratio_pct(F.col("history"), F.col("active"))).orderBy(F.desc(F.col("active") + F.col("history")), pool).limit(n)
+
+
 def run_overlap_report(runs: DataFrame, interval_s: int) -> DataFrame:
     """Runs that took over 80 % of the interval between runs."""
     took = F.timestamp_diff("SECOND", F.col("started"), F.col("ended"))
@@ -73,7 +80,8 @@ def task_graph_run_order(edges: DataFrame, most_levels: int = 1000) -> DataFrame
     before = -1
     for _ in range(most_levels):
         above = needs.join(levels.withColumnRenamed("task", "after"), "after").groupBy("task").agg((F.max("level") + 1).alias("up"))
-        levels = levels.join(above, "task", "left").select("task", F.coalesce("up", "level").alias("level")).persist()
+        levels = levels.join(above, "task", "left").select("task", F.coalesce("up", "level").alias("level"))
+        levels = stage_result(levels, "levels")  # a round for each level of the graph; the plan starts anew
         now = levels.agg(F.sum("level")).first()[0]
         if now == before:
             return levels

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.operators.aggregates import running_sum
+from lakeops.operators.stage import shared_folder, stage_result
+
 
 def zone_map(df: DataFrame, columns: Sequence[str], file: str | Column = "_metadata.file_path") -> DataFrame:
     """Per file and column: rows, nulls, smallest, largest, distinct."""
@@ -17,15 +20,34 @@ def zone_map(df: DataFrame, columns: Sequence[str], file: str | Column = "_metad
 
 
 def overlaps(zones: DataFrame) -> DataFrame:
-    """file, overlaps, depth of each file's range among the others of its column, by counting range ends: a range meets those that begin by its end, less those that end before its begin. depth: most ranges over one point of it."""
+    """file, overlaps, depth of each file's range among the others of its column, by counting range ends: a range meets those that begin by its end, less those that end before its begin. depth: ranges over the begin of it.
+
+    The ends are swept in order over range partitions with prefix sums; no task sees all files.
+    """
     ranges = zones.where(F.col("low").isNotNull()).select("column_name", "file", "low", "high")
-    ends = ranges.select("column_name", F.col("low").alias("at"), F.lit(0).alias("kind"), "file").unionByName(ranges.select("column_name", F.col("high").alias("at"), F.lit(1).alias("kind"), "file"))
-    w = Window.partitionBy("column_name").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = Window.partitionBy("column_name").orderBy("at", "kind", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = ends.withColumn("begun", F.sum(1 - F.col("kind")).over(w)).withColumn("ended", F.sum("kind").over(rows))
-    begun = swept.where("kind = 1").select("column_name", "file", F.col("begun").alias("begun_by_end"))
-    ended = swept.where("kind = 0").select("column_name", "file", F.col("ended").alias("ended_before"), (F.col("begun") - F.col("ended")).alias("depth_at_begin"))
-    return begun.join(ended, ["column_name", "file"]).select("column_name", "file", (F.col("begun_by_end") - F.col("ended_before") - 1).alias("overlaps"), F.col("depth_at_begin").alias("depth"))
+    end = lambda at, kind: ranges.select("column_name", F.col(at).alias("at"), F.lit(kind).alias("kind"), "file", F.lit(1 - kind).alias("begins"), F.lit(kind).alias("ends"))
+    swept = stage_result(running_sum(end("low", 0).unionByName(end("high", 1)), [F.col(c) for c in ("column_name", "at", "kind", "file")], ["begins", "ends"]), "sweep")
+    last = swept.where("kind = 1").select("column_name", "file", F.col("sum_begins").alias("begun_by_end"))
+    first = swept.where("kind = 0").select("column_name", "file", "at", F.col("sum_ends").alias("ended_before"))
+    tied = swept.where("kind = 0").groupBy("column_name", "at").agg(F.max("sum_begins").alias("begun"))
+    found = first.join(tied, ["column_name", "at"]).join(last, ["column_name", "file"])
+    return found.select("column_name", "file", (F.col("begun_by_end") - F.col("ended_before") - 1).alias("overlaps"), (F.col("begun") - F.col("ended_before")).alias("depth"))
+
+
+def cluster_write(df: DataFrame, path: str, keys: Sequence[Column], target_bytes: int = 160 << 20, bytes_per_row: int | None = None) -> int:
+    """Writes df as Parquet in order of the keys, those of few values first, in files of about target_bytes whose key ranges hardly overlap; gives the number of ranges.
+
+    bytes_per_row: of a written row, measured on a part of the rows where it isn't given; the part only sets file sizes.
+    """
+    rows = df.count()
+    if bytes_per_row is None and rows:
+        part = shared_folder(df.sparkSession, "sizing")
+        df.limit(100_000).write.parquet(part)
+        written = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(part).agg(F.sum("length")).first()[0]
+        bytes_per_row = max(1, written // min(rows, 100_000))
+    files = max(1, -(-rows * (bytes_per_row or 1) // target_bytes))
+    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    return files
 
 
 def clustering_information(zones: DataFrame) -> DataFrame:
@@ -57,6 +79,16 @@ def search_index(df: DataFrame, value: Column, file: Column) -> DataFrame:
     return df.select(value.alias("value"), file.alias("file")).where("value IS NOT NULL").distinct()
 
 
+def write_search_index(index: DataFrame, path: str) -> None:
+    """Stores an access path in order of its values, so that a lookup reads the row groups that may hold them."""
+    index.repartitionByRange("value").sortWithinPartitions("value").write.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
+    """value, file of the wanted values; the filter reaches the scan of the stored access path."""
+    return spark.read.parquet(path).where(F.col("value").isin(list(values)))
+
+
 def trigram_index(df: DataFrame, column: str, key: str) -> DataFrame:
     """Access path for LIKE '%x%': which rows hold a run of three characters."""
     text = F.lower(column)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_END = "9999-12-31"
@@ -26,13 +26,11 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], clause
 
     also: a further condition of the match, over t and s. check: a target row with two source rows fails the query.
     """
-    t = target.select(F.struct("*").alias("t"), F.lit(1).alias("_in_t"))
-    s = source.select(F.struct("*").alias("s"), F.lit(1).alias("_in_s"))
-    if check:
-        over = F.struct(*(F.col(f"s.{k}") for k in keys))
-        counts = source.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(F.struct(*keys).alias("_dup"))
-        s = s.join(counts, over.eqNullSafe(F.col("_dup")), "left")
-    on = reduce(lambda a, b: a & b, ((F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}")) for k in keys)) & F.expr(also)
+    t = target.select(F.struct("*").alias("t"), F.lit(1).alias("_in_t"), *(F.col(k).alias(f"_t{n}") for n, k in enumerate(keys)))
+    s = source.select(F.struct("*").alias("s"), F.lit(1).alias("_in_s"), *(F.col(k).alias(f"_s{n}") for n, k in enumerate(keys)))
+    if check:  # shares the exchange and the order of the join
+        s = s.withColumn("_same", F.count("*").over(Window.partitionBy(*(f"_s{n}" for n in range(len(keys))))))
+    on = reduce(lambda a, b: a & b, ((F.col(f"_t{n}").eqNullSafe(F.col(f"_s{n}")) if null_safe else F.col(f"_t{n}") == F.col(f"_s{n}")) for n in range(len(keys)))) & F.expr(also)
     joined = t.join(s, on, "full_outer")
     matched, new = F.col("_in_t").isNotNull() & F.col("_in_s").isNotNull(), F.col("_in_t").isNull()
     which = F.lit(-1)
@@ -40,7 +38,7 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], clause
         c = clauses[n]
         which = F.when((new if c.kind == "insert" else matched) & F.coalesce(F.expr(c.condition), F.lit(False)), F.lit(n)).otherwise(which)
     if check:
-        which = F.when(matched & F.col("_dup").isNotNull(), F.raise_error(F.lit("Duplicate row detected: two source rows match a target row")).cast("int")).otherwise(which)
+        which = F.when(matched & (F.col("_same") > 1), F.raise_error(F.lit("Duplicate row detected: two source rows match a target row")).cast("int")).otherwise(which)
     joined = joined.withColumn("_which", which)
     gone = [n for n, c in enumerate(clauses) if c.kind == "delete"]
     kept = joined.where(~F.col("_which").isin(gone) if gone else F.lit(True)).where(F.col("_in_t").isNotNull() | (F.col("_which") >= 0))
@@ -77,7 +75,7 @@ def scd1_two_step(dim: DataFrame, src: DataFrame, keys: Sequence[str], tracked:
 
 
 def scd2_merge(dim: DataFrame, src: DataFrame, keys: Sequence[str], tracked: Sequence[str], as_of: str, key_name: str = "surrogate_key", delete_missing: bool = False) -> DataFrame:
-    """Changed current rows end the day before as_of and get a new version; new keys get a first one; history stays. delete_missing: current rows that the source hasn't got end, too.
+    """Changed current rows end the day before as_of and get a new version; new keys get a first one; history stays. delete_missing: current rows that the source hasn't got end, too. Keys match with nulls equal.
 
     Surrogate keys of new versions go on after the largest there is, in order of the keys.
     """
@@ -86,8 +84,9 @@ def scd2_merge(dim: DataFrame, src: DataFrame, keys: Sequence[str], tracked: Seq
     day = F.lit(as_of).cast("date")
     current, history = dim.where("is_current"), dim.where("NOT is_current")
     s = src.select(*keys, *tracked)
-    mark = s.select(*keys, F.struct(*tracked).alias("_new"))
-    joined = current.join(mark, list(keys), "left")
+    mark = s.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.lit(1).alias("_in"), F.struct(*tracked).alias("_new"))
+    alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)))  # a null key is a key
+    joined = current.join(mark, alike, "left")
     old = F.struct(*tracked)
     ends = F.when(F.col("_new").isNull(), F.lit(delete_missing)).otherwise(~old.eqNullSafe(F.col("_new")))
     closed = joined.withColumn("_ends", ends)
@@ -96,8 +95,8 @@ def scd2_merge(dim: DataFrame, src: DataFrame, keys: Sequence[str], tracked: Seq
         else (F.col(c) & ~F.col("_ends")).alias(c) if c == "is_current" else F.col(c)
         for c in dim.columns
     ))
-    same = closed.where(~F.col("_ends")).select(*keys)
-    fresh = s.join(same, list(keys), "left_anti")
+    same = closed.where(~F.col("_ends")).select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)))
+    fresh = s.join(same, alike, "left_anti")
     start = dim.agg(F.coalesce(F.max(key_name), F.lit(0)).alias("_top"))
     numbered = surrogate_key(fresh, [F.col(k).asc_nulls_first() for k in keys], "_n").crossJoin(start)
     added = numbered.select(*(
@@ -114,6 +113,56 @@ def scd2_init(src: DataFrame, keys: Sequence[str], tracked: Sequence[str], as_of
     return rows.select(F.col(key_name).cast("long").alias(key_name), *keys, *tracked, F.lit(as_of).cast("date").alias("effective_from"), F.lit(OPEN_END).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
 
 
+def scd2_apply_changes(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], as_of: str, key_name: str = "surrogate_key") -> DataFrame:
+    """A change feed (_action, _is_update), one batch with at most one new row a key, in one pass over the current rows: an update ends the current version and begins another, an insert begins a first one, and a delete ends the current version for good.
+
+    An insert of a key that is current counts as an update; changes that change nothing tracked are left out.
+    """
+    from lakeops.operators.aggregates import surrogate_key
+
+    day = F.lit(as_of).cast("date")
+    current, history = dim.where("is_current"), dim.where("NOT is_current")
+    feed = changes.where(~((F.col("_action") == "DELETE") & F.col("_is_update")))
+    mark = feed.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), "_action", F.struct(*tracked).alias("_new"))
+    alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)))
+    both = current.withColumn("_old", F.struct(*tracked)).join(mark, alike, "full_outer")
+    there, insert = F.col("_old").isNotNull(), F.col("_action") == "INSERT"
+    changed = insert & ~F.col("_old").eqNullSafe(F.col("_new"))
+    both = both.withColumn("_ends", F.coalesce(there & ((F.col("_action") == "DELETE") | changed), F.lit(False))).withColumn("_begins", F.coalesce(changed, F.lit(False)))
+    old = both.where(there).select(*(
+        F.when(F.col("_ends"), F.date_sub(day, 1)).otherwise(F.col(c)).alias(c) if c == "effective_to"
+        else (F.col(c) & ~F.col("_ends")).alias(c) if c == "is_current" else F.col(c)
+        for c in dim.columns
+    ))
+    fresh = both.where("_begins").select(*(F.col(f"_k{n}").alias(k) for n, k in enumerate(keys)), *(F.col(f"_new.{c}").alias(c) for c in tracked))
+    top = dim.agg(F.coalesce(F.max(key_name), F.lit(0)).alias("_top"))
+    numbered = surrogate_key(fresh, [F.col(k).asc_nulls_first() for k in keys], "_n").crossJoin(top)
+    added = numbered.select(*(
+        {key_name: F.col("_n") + F.col("_top"), "effective_from": day, "effective_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True)}.get(c, F.col(c) if c in fresh.columns else F.lit(None)).cast(dim.schema[c].dataType).alias(c)
+        for c in dim.columns
+    ))
+    return history.unionByName(old).unionByName(added)
+
+
+def delete_missing(dim: DataFrame, src: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key the source still has."""
+    return dim.join(src.select(*keys), list(keys), "left_semi")
+
+
+def conditional_update(df: DataFrame, column: str, rules: Sequence[tuple[Column, str, str]], message: str = "audit") -> DataFrame:
+    """The first rule (condition, new value, message) that holds sets a column; the message tells which, null where none did."""
+    value = said = None
+    for condition, new, text in rules:
+        value = F.when(condition, new) if value is None else value.when(condition, new)
+        said = F.when(condition, text) if said is None else said.when(condition, text)
+    return df.withColumns({column: value.otherwise(F.col(column)), message: said}) if rules else df.withColumn(message, F.lit(None).cast("string"))
+
+
+def incremental_fact_load(fact: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """The fact with the staged rows whose key it hasn't got; of staged rows that repeat a key, one."""
+    return fact.unionByName(staged.join(fact.select(key), key, "left_anti").dropDuplicates([key]).select(*fact.columns))
+
+
 def scd3_previous_value(dim: DataFrame, src: DataFrame, keys: Sequence[str], col: str, as_of: str) -> DataFrame:
     """current_x, previous_x and x_changed_on of one column; keys that the source hasn't got stay."""
     new = src.select(*keys, F.col(col).alias("_new"), F.lit(1).alias("_in"))

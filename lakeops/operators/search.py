@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeops.operators.aggregates import surrogate_key
+
 
 def _equals(term: str) -> Callable[[Column], Column]:
     return lambda word: word == F.lit(term)
@@ -37,11 +39,8 @@ def cosine_scores(vectors: DataFrame, key: str, vector: str, query: Sequence[flo
 
 
 def fused(keyword: DataFrame, vector: DataFrame, key: str, k: int, offset: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of the best 10 k of each ranking; ties go to the smaller key."""
-    def best(df: DataFrame, name: str) -> DataFrame:
-        top = df.orderBy(F.desc("score"), key).limit(10 * k)
-        return top.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias(name))  # 10 k rows at most
-
-    both = best(keyword, "a").join(best(vector, "b"), key, "full_outer")
+    """Reciprocal rank fusion of whole rankings, ranked over ranges; ties go to the smaller key."""
+    a, b = (surrogate_key(df, [F.desc("score"), F.col(key)], name).select(key, name) for df, name in ((keyword, "a"), (vector, "b")))
+    both = a.join(b, key, "full_outer")
     part = lambda c: F.coalesce(1.0 / (offset + F.col(c)), F.lit(0.0))
     return both.select(key, F.round(part("a") + part("b"), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)

@@ -159,7 +159,7 @@ def m04(s: SparkSession, d: str) -> DataFrame:
 @query("M05_delete_missing", f"SELECT * FROM ({SCD1}) WHERE c_custkey % 8 <> 0")
 def m05(s: SparkSession, d: str) -> DataFrame:
     _, day2, day3 = days(s, d)
-    return day2.join(day3, "c_custkey", "left_semi")
+    return merge.delete_missing(day2, day3, ["c_custkey"])
 
 
 SCD2 = """day1 AS (SELECT row_number() OVER (ORDER BY c_custkey) AS surrogate_key, c_custkey, c_mktsegment FROM customer),

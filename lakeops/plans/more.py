@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lakeops.functions import scalar as fn
 from lakeops.operators import cdc, govern, history, joins, layout, maintain, merge, model
+from lakeops.operators.stage import shared_folder
 from lakeops.plans.changes import COLS, KEYS, m06
 from lakeops.plans.inputs import LOG_SQL, STAR_SQL, money, orders_log, star, table
 from lakeops.plans.registry import query
@@ -63,21 +64,19 @@ def f09(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("0")).cast("bigint").alias("ten"), money("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("day"))
 
 
-@query("F12_identity_and_random")
+@query("F12_identity_and_random", "SELECT count(*) AS n, count(*) AS uuids, true AS in_range, true AS spread FROM orders")
 def f12(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "nation").select("n_nationkey", F.rand(7).alias("r"), F.uniform(F.lit(1), F.lit(10), seed=3).alias("u"))
+    """Random values differ from run to run of other engines, so their properties are given: as many ids as rows, numbers in range, means near the middle."""
+    o = table(s, d, "orders").select(F.uuid().alias("id"), F.rand(7).alias("r"), F.uniform(F.lit(1), F.lit(10), seed=3).alias("u"))
+    inside = (F.min("r") >= 0) & (F.max("r") < 1) & (F.min("u") >= 1) & (F.max("u") <= 10)
+    return o.agg(F.count("*").alias("n"), F.count_distinct("id").alias("uuids"), inside.alias("in_range"), (F.abs(F.avg("r") - 0.5) < 0.1).alias("spread"))
 
 
-@query("F13_geo_distance")
+@query("F13_geo_distance", "SELECT s_suppkey, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(-lat) / 2), 2) + cos(radians(lat)) * pow(sin(radians(-lon) / 2), 2)))), 2) AS metres FROM (SELECT s_suppkey, CAST(s_suppkey % 360 - 180 AS DOUBLE) AS lon, CAST(s_suppkey % 180 - 90 AS DOUBLE) AS lat FROM supplier)")
 def f13(s: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey").cast("double")
     lon, lat = fn.point(F.concat(F.lit("POINT("), (k % 360 - 180).cast("string"), F.lit(" "), (k % 180 - 90).cast("string"), F.lit(")")))
-    return table(s, d, "supplier").select("s_suppkey", fn.geo_distance(lon, lat, F.lit(0.0), F.lit(0.0)).alias("metres"))
-
-
-@query("C06_has_data", f"WITH {LOG_SQL} SELECT max(version) > 6 AS has_data FROM log")
-def c06(s: SparkSession, d: str) -> DataFrame:
-    return orders_log(s, d).agg((F.max("version") > 6).alias("has_data"))
+    return table(s, d, "supplier").select("s_suppkey", F.round(fn.geo_distance(lon, lat, F.lit(0.0), F.lit(0.0)), 2).alias("metres"))
 
 
 @query("M08_scd1_apply_changes", f"WITH {LOG_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) AS rn FROM log WHERE version <= 4) SELECT o_orderkey, o_custkey, o_orderstatus, price FROM x WHERE rn = 1 AND op <> 'D'")
@@ -86,17 +85,19 @@ def m08(s: SparkSession, d: str) -> DataFrame:
     return merge.apply_changes(cdc.state_at(log, 2, KEYS, COLS), cdc.net_changes(log, 2, 4, KEYS, COLS), KEYS)
 
 
-@query("M15_conditional_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 'REVIEW' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("M15_conditional_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 'REVIEW' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 'large order' WHEN o_orderstatus = 'P' THEN 'part delivered' END AS audit FROM orders")
 def m15(s: SparkSession, d: str) -> DataFrame:
     st = F.col("o_orderstatus")
-    return table(s, d, "orders").select("o_orderkey", F.when((st == "O") & (F.col("o_totalprice") > 200000), "REVIEW").when(st == "P", "PENDING").otherwise(st).alias("o_orderstatus"))
+    rules = [((st == "O") & (F.col("o_totalprice") > 200000), "REVIEW", "large order"), (st == "P", "PENDING", "part delivered")]
+    return merge.conditional_update(table(s, d, "orders"), "o_orderstatus", rules).select("o_orderkey", "o_orderstatus", "audit")
 
 
-@query("M16_incremental_fact_load", "SELECT o_orderkey, o_custkey FROM orders")
+@query("M16_incremental_fact_load", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
 def m16(s: SparkSession, d: str) -> DataFrame:
+    """Two thirds are loaded; the staged half, some of it twice, has other customers, which must not change loaded rows."""
     o = table(s, d, "orders").select("o_orderkey", "o_custkey")
-    loaded = o.where("o_orderkey % 3 <> 0")
-    return loaded.unionByName(o.join(loaded, "o_orderkey", "left_anti"))
+    staged = o.where("o_orderkey % 2 = 0").withColumn("o_custkey", F.col("o_custkey") + 1)
+    return merge.incremental_fact_load(o.where("o_orderkey % 3 <> 0"), staged.unionByName(staged.where("o_orderkey % 12 = 0")), "o_orderkey")
 
 
 @query("M18_purge_older_than", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY")
@@ -165,8 +166,9 @@ def l04(s: SparkSession, d: str) -> DataFrame:
 
 @query("L09_search_index_variant", "SELECT DISTINCT CAST(json_extract(props, '$.k') AS VARCHAR) AS value, CAST(event_id // 1000 AS VARCHAR) AS file FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 42")
 def l09(s: SparkSession, d: str) -> DataFrame:
-    value = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
-    return layout.search_index(table(s, d, "events"), value, F.floor(F.col("event_id") / 1000).cast("string")).where("value = '42'")
+    path, value = shared_folder(s, "index"), F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    layout.write_search_index(layout.search_index(table(s, d, "events"), value, F.floor(F.col("event_id") / 1000).cast("string")), path)
+    return layout.lookup(s, path, ["42"])
 
 
 @query("L10_layout_benchmark", f"WITH {HIST_SQL} SELECT a.query_id, round(CAST(a.elapsed_ms - b.elapsed_ms AS DOUBLE) / nullif(a.elapsed_ms, 0) * 100, 2) AS gain_pct FROM h a JOIN (SELECT query_id, elapsed_ms // 4 AS elapsed_ms FROM h) b USING (query_id)")
@@ -182,9 +184,9 @@ def l11(s: SparkSession, d: str) -> DataFrame:
     return layout.size_report(files)
 
 
-@query("H09_storage_rollup", f"WITH {HIST_SQL} SELECT warehouse, CAST(sum(spill_local) AS BIGINT) AS active, CAST(sum(spill_remote) AS BIGINT) AS history, round(CAST(sum(spill_remote) AS DOUBLE) / sum(spill_local) * 100, 2) AS history_pct FROM h GROUP BY 1")
+@query("H09_storage_rollup", f"WITH {HIST_SQL} SELECT warehouse, CAST(sum(spill_local) AS BIGINT) AS active, CAST(sum(spill_remote) AS BIGINT) AS history, round(CAST(sum(spill_remote) AS DOUBLE) / sum(spill_local) * 100, 2) AS history_pct FROM h GROUP BY 1 ORDER BY sum(spill_local) + sum(spill_remote) DESC, 1 LIMIT 3")
 def h09(s: SparkSession, d: str) -> DataFrame:
-    return hist(s, d).groupBy("warehouse").agg(F.sum("spill_local").alias("active"), F.sum("spill_remote").alias("history")).withColumn("history_pct", fn.ratio_pct(F.col("history"), F.col("active")))
+    return history.storage_rollup(hist(s, d), "warehouse", "spill_local", "spill_remote", 3)
 
 
 @query("H10_run_overlap_report", "SELECT event_id AS run_id, CAST(event_id % 120 AS BIGINT) AS took_s, CASE WHEN event_id % 120 > 60 THEN 'OVERLAPS' ELSE 'NEAR' END AS status FROM events WHERE event_id % 120 > 48")
@@ -248,12 +250,6 @@ def u12(s: SparkSession, d: str) -> DataFrame:
     return joins.star_join(sums, [(table(s, d, "nation"), "s_nationkey", "n_nationkey")]).select("n_name", "total")
 
 
-@query("S08_infer_schema")
-def s08(s: SparkSession, d: str) -> DataFrame:
-    described = [(n, f.name, f.dataType.simpleString(), f.nullable) for n, f in enumerate(table(s, d, "lineitem").schema)]
-    return s.createDataFrame(described, "ordinal int, column_name string, type string, nullable boolean")
-
-
 @query("S10_with_file_metadata")
 def s10(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.row_index").alias("row_number"))
@@ -272,8 +268,3 @@ def h15(s: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size").cast("long")
     edges = table(s, d, "part").select(size.alias("task"), F.when(size > 1, F.floor(size / 2)).alias("after")).distinct()
     return history.task_graph_run_order(edges).select("task", F.col("level").cast("long").alias("level"))
-
-
-@query("S18_directory_table")
-def s18(s: SparkSession, d: str) -> DataFrame:
-    return io.listing(s, f"{d}/orders.parquet")

@@ -10,10 +10,10 @@ from lakeops.plans.registry import query
 from lakeops.streaming import streams
 
 
-@query("R02_ingest_rows", "SELECT event_type AS channel, max(event_id) AS \"offset\", count(*) AS n FROM events WHERE event_id > 4000 GROUP BY 1")
+@query("R02_ingest_rows", "SELECT event_type AS channel, max(event_id) AS \"offset\", count(*) AS n FROM events JOIN (SELECT event_type, max(event_id) // 2 AS seen FROM events GROUP BY 1) USING (event_type) WHERE event_id > seen GROUP BY 1")
 def r02(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("offset"))
-    committed = e.select("channel").distinct().withColumn("offset", F.lit(4000).cast("long"))
+    committed = e.groupBy("channel").agg(F.expr("max(offset) DIV 2").alias("offset"))
     fresh, now = streams.ingest_rows(e.unionByName(e.where("offset % 10 = 0")), committed)
     return now.join(fresh.groupBy("channel").agg(F.count("*").alias("n")), "channel")
 

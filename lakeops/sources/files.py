@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeops.operators.aggregates import running_sum
+from lakeops.operators.stage import shared_folder, stage_result
+
 
 @dataclass(frozen=True)
 class FileFormat:
@@ -21,6 +24,7 @@ class FileFormat:
     null_if: tuple[str, ...] = ()
     empty_as_null: bool = True
     trim: bool = False
+    column_count: bool = False
     options: Mapping[str, str] = field(default_factory=dict)
 
     def to_spark(self) -> dict[str, str]:
@@ -29,9 +33,15 @@ class FileFormat:
 
 
 def read_files(spark: SparkSession, path: str, fmt: FileFormat, schema: T.StructType | str | None = None) -> DataFrame:
-    """Reads with a format; tokens of null_if become null in text columns."""
+    """Reads with a format; tokens of null_if become null in text columns. With column_count, a line with more or fewer columns than the schema fails the read."""
     reader = spark.read.format(fmt.kind).options(**fmt.to_spark())
-    df = (reader.schema(schema) if schema else reader).load(path)
+    if fmt.column_count and schema:
+        kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        marked = reader.option("columnNameOfCorruptRecord", "_line").option("mode", "PERMISSIVE").schema(T.StructType([*kinds.fields, T.StructField("_line", T.StringType())])).load(path)
+        wrong = F.raise_error(F.concat(F.lit("wrong number of columns: "), F.col("_line")))
+        df = marked.where(F.when(F.col("_line").isNotNull(), wrong.cast("boolean")).otherwise(F.lit(True))).drop("_line")
+    else:
+        df = (reader.schema(schema) if schema else reader).load(path)
     tokens = [*fmt.null_if, *([""] if fmt.empty_as_null else [])]
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.when(F.col(c).isin(tokens), None).otherwise(F.col(c)) for c in texts}) if tokens and texts else df
@@ -103,8 +113,6 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def select_files(files: DataFrame, names: Sequence[str] | None = None, pattern: str | None = None, size_limit: int | None = None, name: str = "path", size: str = "length") -> DataFrame:
     """An explicit list (1000 at most), a pattern, and a limit of bytes after which no further file is taken; the first always is."""
-    from pyspark.sql import Window
-
     if names is not None:
         if len(names) > 1000:
             raise ValueError("at most 1000 files can be named")
@@ -112,12 +120,12 @@ def select_files(files: DataFrame, names: Sequence[str] | None = None, pattern:
     if pattern:
         files = files.where(F.col(name).rlike(pattern))
     if size_limit is not None:
-        before = F.coalesce(F.sum(size).over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a listing: one row per file
-        files = files.withColumn("_before", before).where((F.col("_before") == 0) | (F.col("_before") < size_limit)).drop("_before")
+        before = F.col(f"sum_{size}") - F.col(size)
+        files = running_sum(files, [F.col(name)], [size]).where((before == 0) | (before < size_limit)).drop(f"sum_{size}")
     return files
 
 
-LEDGER = "file string, tag string, loaded_at timestamp, status string, row_count long, error_count long"
+LEDGER = "file string, tag string, loaded_at timestamp, status string, row_count long, error_count long, load long"
 
 
 def unloaded(files: DataFrame, ledger: DataFrame, at: str, force: bool = False, load_uncertain: bool = False, days: int = 64) -> DataFrame:
@@ -135,31 +143,90 @@ def copy_history(ledger: DataFrame) -> DataFrame:
 
 
 def copy_into(spark: SparkSession, path: str, fmt: FileFormat, schema: Mapping[str, str], target: str, ledger: str, at: str, policy: str = "CONTINUE", force: bool = False) -> DataFrame:
-    """Loads files that the ledger hasn't got into a Parquet folder, then writes the ledger; a second call loads nothing. Gives the new ledger rows."""
+    """Loads files that the ledger hasn't got, into load=N below a Parquet folder; then the ledger's rows of load N are written, which commits it. Gives these rows.
+
+    A load that broke off before its commit is written anew under its number; committed() gives the rows of committed
+    loads only. Files from which the policy kept nothing, though they have rows, are LOAD_FAILED and tried again.
+    """
     files = listing(spark, path).select(F.col("path").alias("file"), F.concat_ws("-", "length", "modificationTime").alias("tag"), F.col("modificationTime").alias("modified"))
+    known = _ledger(spark, ledger)
+    load = (known.agg(F.max("load")).first()[0] or 0) + 1
+    todo = stage_result(unloaded(files, known, at, force, load_uncertain=True), "todo")
+    paths = [r["file"] for r in todo.select("file").collect()]  # the reader takes a list of the files to load
+    if not paths:
+        return spark.createDataFrame([], LEDGER)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in schema])
+    rows = spark.read.format(fmt.kind).options(**fmt.to_spark()).schema(text).load(paths).withColumn("_file", F.input_file_name())
+    kept = stage_result(on_error(rows, schema, policy), "kept")
+    kept.drop("_file").write.mode("overwrite").parquet(f"{target}/load={load}")
+    counts = checked(rows, schema).groupBy("_file").agg(F.count("*").alias("n"), F.count_if(F.size("_errors") > 0).alias("bad"))
+    counts = counts.join(kept.groupBy("_file").agg(F.count("*").alias("kept")), "_file", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    status = F.when(F.col("bad") == 0, "LOADED").when(F.col("kept") > 0, "PARTIALLY_LOADED").otherwise("LOAD_FAILED")
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    entries = todo.join(counts, local("file") == local("_file"), "left").select(
+        "file", "tag", F.lit(at).cast("timestamp").alias("loaded_at"), F.coalesce(F.when(F.col("n").isNotNull(), status), F.lit("LOADED")).alias("status"),
+        F.coalesce("kept", F.lit(0)).cast("long").alias("row_count"), F.coalesce("bad", F.lit(0)).cast("long").alias("error_count"), F.lit(load).cast("long").alias("load"),
+    )
+    entries = stage_result(entries, "entries")
+    entries.write.mode("append").parquet(ledger)
+    return entries
+
+
+def _ledger(spark: SparkSession, ledger: str) -> DataFrame:
     try:
-        known = spark.read.schema(LEDGER).parquet(ledger)
+        return spark.read.schema(LEDGER).parquet(ledger)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = spark.createDataFrame([], LEDGER)
-    todo = unloaded(files, known, at, force, load_uncertain=True)
-    paths = [r["file"] for r in todo.select("file").collect()]  # a listing
-    entries = todo.where("false").select("file", "tag", F.lit(at).cast("timestamp").alias("loaded_at"), F.lit("LOADED").alias("status"), F.lit(0).cast("long").alias("row_count"), F.lit(0).cast("long").alias("error_count"))
-    if paths:
-        text = T.StructType([T.StructField(c, T.StringType()) for c in schema])
-        rows = spark.read.format(fmt.kind).options(**fmt.to_spark()).schema(text).load(paths).withColumn("_file", F.input_file_name())
-        on_error(rows, schema, policy).drop("_file").write.mode("append").parquet(target)
-        counts = checked(rows, schema).groupBy("_file").agg(F.count("*").alias("n"), F.count_if(F.size("_errors") > 0).alias("bad"))
-        status = F.when(F.col("bad") == 0, "LOADED").when(F.col("bad") < F.col("n"), "PARTIALLY_LOADED").otherwise("LOAD_FAILED")
-        entries = todo.join(counts, F.regexp_replace("file", "^file:/+", "/") == F.regexp_replace("_file", "^file:/+", "/"), "left").select("file", "tag", F.lit(at).cast("timestamp").alias("loaded_at"), F.coalesce(status, F.lit("LOADED")).alias("status"), F.coalesce(F.col("n") - F.col("bad"), F.lit(0)).alias("row_count"), F.coalesce("bad", F.lit(0)).alias("error_count"))
-        entries.write.mode("append").parquet(ledger)
-    return entries
-
-
-def unload(df: DataFrame, path: str, fmt: str = "parquet", max_records: int | None = None, single: bool = False, overwrite: bool = False, **options: str) -> None:
-    writer = (df.coalesce(1) if single else df).write.format(fmt).options(**options).mode("overwrite" if overwrite else "errorifexists")
-    (writer.option("maxRecordsPerFile", max_records) if max_records else writer).save(path)
+        return spark.createDataFrame([], LEDGER)
+
+
+def committed(spark: SparkSession, target: str, ledger: str) -> DataFrame:
+    """Rows of the loads that the ledger has."""
+    return spark.read.parquet(target).join(_ledger(spark, ledger).select("load").distinct(), "load", "left_semi").drop("load")
+
+
+def unload(df: DataFrame, path: str, fmt: str = "parquet", max_file_bytes: int | None = None, single: bool = False, overwrite: bool = False, **options: str) -> None:
+    """Writes files of at most max_file_bytes each (or of one row). Rows per file follow from the bytes a row took in a first writing, and are halved until all files fit."""
+    spark, mode = df.sparkSession, "overwrite" if overwrite else "errorifexists"
+    if max_file_bytes is None:
+        (df.coalesce(1) if single else df).write.format(fmt).options(**options).mode(mode).save(path)
+        return
+    staged = stage_result(df, "unload")
+    rows = staged.count()
+    per_file = max(1, rows)
+    first = True
+    while True:
+        at = path if first else shared_folder(spark, "unload")
+        (staged.coalesce(1) if single else staged).write.format(fmt).options(**options).option("maxRecordsPerFile", per_file).mode(mode if first else "overwrite").save(at)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(at).agg(F.max("length"), F.sum("length")).first()
+        if not rows or (files[0] or 0) <= max_file_bytes or per_file == 1:
+            break
+        per_file = max(1, min(per_file // 2, int(0.8 * max_file_bytes * rows / files[1])))
+        first = False
+    if at != path:  # the last writing fits: its settings are used for the folder itself
+        (staged.coalesce(1) if single else staged).write.format(fmt).options(**options).option("maxRecordsPerFile", per_file).mode("overwrite").save(path)
+
+
+#: Types that a text column may be, the first that fits all its values.
+TEXT_TYPES = ("bigint", "double", "date", "timestamp", "boolean")
+
+
+def infer_schema(texts: DataFrame) -> DataFrame:
+    """ordinal, column_name, type, nullable of text columns: the first of TEXT_TYPES that all values of a column fit, else string; one aggregation over all rows. A column without values is a string."""
+    columns = texts.columns
+    as_type = lambda c, t: F.when(F.lit(t != "date") | F.col(f"`{c}`").rlike(r"^\s*[0-9-]+\s*$"), F.col(f"`{c}`").try_cast(t))  # noqa: E731  a date has no time of day
+    fits = [F.count(as_type(c, t)).alias(f"n{k}_{t}") for k, c in enumerate(columns) for t in TEXT_TYPES]
+    counts = texts.agg(F.count("*").alias("rows"), *(F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(columns)), *fits)
+
+    def kind(k: int) -> Column:
+        out = F.lit("string")
+        for t in reversed(TEXT_TYPES):
+            out = F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k}_{t}") == F.col(f"n{k}")), t).otherwise(out)
+        return out
+
+    found = [F.struct(F.lit(k).alias("ordinal"), F.lit(c).alias("column_name"), kind(k).alias("type"), (F.col(f"n{k}") < F.col("rows")).alias("nullable")) for k, c in enumerate(columns)]
+    return counts.select(F.explode(F.array(*found)).alias("c")).select("c.*")
 
 
 def right_size(spark: SparkSession, path: str, out: str, target_bytes: int = 160 << 20) -> int:

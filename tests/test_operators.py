@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeops.functions import scalar as fn
-from lakeops.operators import cdc, history, joins, merge, model
+from lakeops.operators import cdc, history, joins, layout, merge, model
+from lakeops.operators.aggregates import running_sum, surrogate_key
 from lakeops.plans.inputs import orders_log
 from lakeops.sources import files as io
 from lakeops.streaming import streams
@@ -115,18 +116,113 @@ def test_file_stream_loads_new_files_once(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
-def test_change_stream_merges_batches(spark, tmp_path):
+def test_skipped_files_are_tried_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "in/b.csv").write_text("k,v\n3,z\nbad,w\n4,q\n")
+    target, ledger = str(tmp_path / "t"), str(tmp_path / "ledger")
+    load = lambda at: {r.file.rsplit("/", 1)[1]: (r.status, r.row_count, r.error_count, r.load) for r in io.copy_into(spark, str(tmp_path / "in"), io.FileFormat(), {"k": "int", "v": "string"}, target, ledger, at, "SKIP_FILE").collect()}
+    assert load("2030-01-01") == {"a.csv": ("LOADED", 2, 0, 1), "b.csv": ("LOAD_FAILED", 0, 1, 1)}
+    assert load("2030-01-02") == {"b.csv": ("LOAD_FAILED", 0, 1, 2)}
+    spark.createDataFrame([(9, "half")], "k int, v string").write.parquet(f"{target}/load=3")  # a load that broke off
+    (tmp_path / "in/b.csv").write_text("k,v\n3,z\n4,q\n")
+    assert load("2030-01-03") == {"b.csv": ("LOADED", 2, 0, 3)}
+    assert sorted(r.k for r in io.committed(spark, target, ledger).collect()) == [1, 2, 3, 4]
+
+
+def test_files_of_bounded_size(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "repeat('x', cast(id % 50 as int)) AS v")
+    io.unload(df, str(tmp_path / "u"), "csv", max_file_bytes=20_000, header="true")
+    files = [p.stat().st_size for p in (tmp_path / "u").glob("part-*")]
+    assert max(files) <= 20_000 and len(files) < 40
+    assert spark.read.option("header", "true").csv(str(tmp_path / "u")).count() == 5000
+
+
+def test_wrong_number_of_columns_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n3,4,5\n")
+    read = lambda strict: io.read_files(spark, str(tmp_path / "a.csv"), io.FileFormat(column_count=strict), "a int, b int").collect()
+    assert len(read(False)) == 2
+    with pytest.raises(Exception, match="wrong number of columns"):
+        read(True)
+
+
+def test_types_of_texts(spark):
+    rows = spark.createDataFrame([("1", "1.5", "2024-01-01", "2024-01-01 10:00:00", "true", "x", None), ("-2", "2", "2024-02-01", "2024-01-01 11:00:00", "false", "1", None), (None, "3", None, None, None, "2", None)], "a string, b string, c string, d string, e string, f string, g string")
+    got = [(r.column_name, r.type, r.nullable) for r in io.infer_schema(rows).orderBy("ordinal").collect()]
+    assert got == [("a", "bigint", True), ("b", "double", False), ("c", "date", True), ("d", "timestamp", True), ("e", "boolean", True), ("f", "string", False), ("g", "string", True)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_and_dense_keys_over_ranges(spark, parts):
+    rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id % 5 AS v").repartition(parts)
+    want = 0
+    for r in running_sum(rows, [F.col("k")], ["v"]).orderBy("k").collect():
+        want += r.v
+        assert r.sum_v == want
+    assert [r.sk for r in surrogate_key(rows, [F.col("k")]).orderBy("k").collect()] == list(range(1, 1001))
+
+
+def test_overlaps_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    zones = [(c, f"f{i}", float(low), float(low + r.randrange(6))) for c in ("a", "b") for i in range(40) for low in [r.randrange(30)]]
+    found = {(x.column_name, x.file): (x.overlaps, x.depth) for x in layout.overlaps(spark.createDataFrame(zones, "column_name string, file string, low double, high double")).collect()}
+    for c, f, low, high in zones:
+        others = [(b, e) for k, g, b, e in zones if k == c and g != f]
+        assert found[c, f] == (sum(b <= high and e >= low for b, e in others), 1 + sum(b <= low <= e for b, e in others))
+
+
+def test_null_keys_keep_one_version(spark):
+    dim = merge.scd2_init(spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string"), ["k"], ["v"], "2025-01-01")
+    src = spark.createDataFrame([(None, "a"), (1, "c")], "k int, v string")
+    once = merge.scd2_merge(dim, src, ["k"], ["v"], "2025-02-01")
+    assert once.count() == 3 and merge.scd2_merge(once, src, ["k"], ["v"], "2025-03-01").count() == 3
+    feed = spark.createDataFrame([("INSERT", True, None, "z"), ("DELETE", True, None, "a"), ("DELETE", False, 1, "b"), ("INSERT", False, 5, "n")], "_action string, _is_update boolean, k int, v string")
+    out = sorted(((r.k, r.v, r.is_current) for r in merge.scd2_apply_changes(dim, feed, ["k"], ["v"], "2025-02-01").collect()), key=str)
+    assert out == sorted([(None, "a", False), (None, "z", True), (1, "b", False), (5, "n", True)], key=str)
+
+
+def test_states_and_merges_sort_no_log(spark):
+    """No sort-based aggregation in change capture and merges."""
+    log = orders_log(spark, SF)
+    for df in (cdc.state_at(log, 7, KEYS, COLS), cdc.net_changes(log, 1, 7, KEYS, COLS), cdc.diff_snapshots(cdc.state_at(log, 1, KEYS, COLS), cdc.state_at(log, 7, KEYS, COLS), KEYS, COLS)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_changes_merge_batch_by_batch(spark, tmp_path):
     schema = "k int, v string"
-    feed = "_action string, _is_update boolean, k int, v string"
-    path, run = str(tmp_path / "in"), lambda: streams.cdc_stream_merge(spark.readStream.schema(feed).parquet(str(tmp_path / "in")), str(tmp_path / "t"), schema, ["k"], str(tmp_path / "ck"))
-    spark.createDataFrame([("INSERT", False, 1, "a"), ("INSERT", False, 2, "b")], feed).write.parquet(path)
+    feed = "_action string, _is_update boolean, k int, v string, seq int"
+    path, run = str(tmp_path / "in"), lambda: streams.cdc_stream_merge(spark.readStream.schema(feed).parquet(str(tmp_path / "in")), str(tmp_path / "t"), schema, ["k"], str(tmp_path / "ck"), "seq")
+    spark.createDataFrame([("INSERT", False, 1, "a", 1), ("INSERT", False, 2, "b", 2), ("DELETE", True, 1, "a", 3), ("INSERT", True, 1, "b", 3), ("DELETE", True, 1, "b", 4), ("INSERT", True, 1, "c", 4)], feed).write.parquet(path)
+    run()
+    assert sorted(map(tuple, streams.latest_state(spark, str(tmp_path / "t"), schema).collect())) == [(1, "c"), (2, "b")]
+    spark.createDataFrame([("DELETE", False, 2, "b", 5), ("INSERT", False, 2, "n", 6), ("DELETE", False, 1, "c", 7)], feed).write.mode("append").parquet(path)
+    run()
+    run()
+    assert sorted(map(tuple, streams.latest_state(spark, str(tmp_path / "t"), schema).collect())) == [(2, "n")]
+
+
+def test_layered_stream_over_batches(spark, tmp_path):
+    go = lambda: streams.medallion_stream(spark, str(tmp_path / "b"), "sensor string, v double", str(tmp_path / "s"), str(tmp_path / "g"), str(tmp_path / "ck"), lambda d: d.where("v IS NOT NULL"), ["sensor"], ["v"], "sensor string, n long, sum_v double, cnt_v long")
+    gold = lambda: sorted(map(tuple, streams.latest_state(spark, str(tmp_path / "g"), "sensor string, n long, sum_v double, cnt_v long").collect()))
+    for n, rows in enumerate(([("s1", 1.0), ("s1", 3.0), ("s2", None)], [("s1", 2.0), ("s2", 5.0)], [("s2", 1.0)])):
+        spark.createDataFrame(rows, "sensor string, v double").write.mode("append" if n else "overwrite").parquet(str(tmp_path / "b"))
+        go()
+    assert gold() == [("s1", 3, 6.0, 3), ("s2", 2, 6.0, 2)]
+
+
+def test_row_stream_writes_each_offset_once(spark, tmp_path):
+    shape = "channel string, offset long, v string"
+    run = lambda: streams.row_ingest_stream(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "o"), str(tmp_path / "ck"))
+    spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], shape).write.parquet(str(tmp_path / "in"))
     run()
-    spark.createDataFrame([("DELETE", True, 1, "a"), ("INSERT", True, 1, "c"), ("DELETE", False, 2, "b")], feed).write.mode("append").parquet(path)
+    spark.createDataFrame([("a", 2, "again"), ("a", 3, "w")], shape).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/state=1")).collect()] == [(1, "c")]
+    assert sorted((r.channel, r.offset, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "w"), ("b", 1, "z")]
 
 
-def test_layered_stream(spark, tmp_path):
-    spark.createDataFrame([("s1", 1.0), ("s1", 3.0), ("s2", None)], "sensor string, v double").write.parquet(str(tmp_path / "b"))
-    streams.medallion_stream(spark, str(tmp_path / "b"), "sensor string, v double", str(tmp_path / "s"), str(tmp_path / "g"), str(tmp_path / "ck"), lambda d: d.where("v IS NOT NULL"), lambda d: d.groupBy("sensor").agg(F.sum("v").alias("v")))
-    assert [(r.sensor, r.v) for r in spark.read.parquet(str(tmp_path / "g")).collect()] == [("s1", 4.0)]
+def test_gates(spark):
+    some, none = spark.range(3), spark.range(0)
+    assert streams.gate([some, none], need_all=False) and not streams.gate([some, none], need_all=True) and streams.gate([some, some], need_all=True)
