@@ -1,10 +1,13 @@
 """Toxicity scores of deobfuscated text.
 
 Obfuscation is taken as a noisy channel: a writer meant a plain word and typed digits or signs for letters, put marks
-or spaces between letters, or repeated them. Each odd token becomes a lattice of what every character may stand for,
-and Viterbi decoding under a character trigram model, counted over all texts, restores the likeliest word; a token of
-plain letters is a lattice of one path. The restored words are then scored: a lexicon of words and word beginnings with
-their log-odds is learnt from labelled rows, and a logistic regression over what a text holds of it gives the score.
+or spaces between letters, or repeated them. Each odd token, of whatever length, becomes a lattice of what every
+character may stand for, and Viterbi decoding under a character trigram model, counted over all texts, restores the
+likeliest word; all states are kept. A token of plain letters is a lattice of one path. Spaces between short tokens are
+arcs that may be left out: neighbours that put together make a known word, as they stand or restored, count as that
+word, too, beside the ordinary words around them. The restored words are then scored: a lexicon of words and word
+beginnings with their log-odds is learnt from labelled rows, and a logistic regression over what a text holds of it
+gives the score. Distinct tokens of a batch are looked at once.
 
 Edge cases: null and empty texts have no words and get the score of the intercept; long texts are scored whole; repeated
 rows get equal scores; labels that are null, or whose id is null, are not learnt from; a repeated label counts once; with
@@ -21,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import text_or_empty
+from lakeops.llm.common import Coded, coded, sliced, text_or_empty
 
 #: Classes of characters in the language model: boundary, a to z, and 37 others by code point.
 CLASSES = 64
@@ -37,25 +41,27 @@ PRICE_SIGN, PRICE_MARK, PRICE_REPEAT, PRICE_STAY = -0.7, -0.5, -0.4, -9.0
 
 _LETTER = r"[^\W\d_]"
 _PLAIN = re.compile(rf"{_LETTER}+")
+_TWICE = re.compile(rf"({_LETTER})\1")
 _THRICE = re.compile(rf"({_LETTER})\1\1")
-#: Signs three times or more are decoration, not letters.
-_DECORATION = re.compile(r"([^\w\s])\1{2,}")
-_EDGE = ".,;:?!\"'()[]{}<>|"
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Signs three times or more are decoration, not letters; asterisks after a letter hide some.
+_DECORATION = re.compile(r"([^\w\s*])\1{2,}|(?<![^\W\d_*])\*{3,}")
+_EDGE = ".,;:?!\"'()[]{}<>|¡¿"
 _SIGNS = re.compile("[0-9@$!|+(€£¡*#%&.\\-_~^`']")
-#: Longest odd token that is decoded; longer ones are codes, not words.
-LONGEST_ODD = 24
 
 
 def odd_core(token: str) -> str | None:
-    """What of a token must be decoded, if anything: letters with signs or digits among them."""
+    """What of a token must be decoded, if anything: letters with signs or digits among them, or before them in their stead."""
     core = token.strip(_EDGE)
-    if not core or core.isalpha():
+    if not core:
         return None
-    core = _DECORATION.sub("", core).strip(_EDGE)
+    if core.isalpha():
+        at = token.index(core)
+        return token[at - 1 :].rstrip(_EDGE) if at and token[at - 1] in STANDS_FOR else None
+    core = _DECORATION.sub("", token)
     letters = sum(c.isalpha() for c in core)
-    if letters < 1 or letters == len(core) or not 3 <= len(core) <= LONGEST_ODD or 3 * letters < len(core) or not _SIGNS.search(core):
-        return None
-    return core
+    return core if letters and letters < len(core.strip(_EDGE)) and len(core) > 2 and _SIGNS.search(core) else None
 
 
 def _class_table() -> np.ndarray:
@@ -104,32 +110,48 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+#: Letters of a token that may be a piece of a spaced word, at most.
+PIECE = 3
+
+
 class Restorer:
-    """Viterbi decoding of odd tokens; results are memoised."""
+    """Viterbi decoding of odd tokens; results are memoised. known: words of the lexicon."""
 
-    def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset(), bonus: float = 8.0, most: int = 100_000):
+    def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset(), bonus: float = 8.0, most: int = 60_000):
         self.model, self.known, self.bonus, self.most = model.tolist(), known, bonus, most
         self.memo: dict[str, str] = {}
+        self.beginnings = {w[:n] for w in known for n in range(1, len(w) + 1)}
+        self.repeatable: dict[str, list[str]] = {}
+        for w in sorted(known):
+            self.repeatable.setdefault(_RUN.sub(r"\1", w), []).append(w)
 
-    def options(self, ch: str, before: str, after: str) -> list[tuple[str, float]]:
-        """What a character may stand for, with the channel's price; '' drops it."""
+    @staticmethod
+    def options(ch: str, before: str, edge: bool) -> list[tuple[str, float]]:
+        """What a character may stand for, with the channel's price; '' drops it, which costs nothing at a token's edge."""
         if ch.isalpha():
             return [(ch, 0.0), ("", PRICE_REPEAT)] if ch == before else [(ch, 0.0)]
         out = [(x, PRICE_SIGN) for x in STANDS_FOR.get(ch, "")]
-        if ch in BETWEEN or ch == before or not out:
-            out.append(("", PRICE_MARK))
-        return out if out else [(ch, PRICE_STAY)]
+        if edge or ch in BETWEEN or ch == before or not out:
+            out.append(("", 0.0 if edge else PRICE_MARK))
+        return out
 
-    def decode(self, token: str) -> str:
-        low = token.lower()
+    def decode(self, token: str, edges: bool = True) -> str:
+        """edges: signs around the token may be dropped for nothing."""
+        low = _LONG_RUN.sub(r"\1\1\1", token.lower())
+        if "*" in low:
+            hidden = re.compile(re.escape(low.strip(_EDGE)).replace(r"\*", "."))
+            found = min((w for w in self.known if hidden.fullmatch(w)), default=None)
+            if found:
+                return found
         model = self.model
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        first, last = len(low) - len(low.lstrip(_EDGE)), len(low.rstrip(_EDGE))
+        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
         for k, ch in enumerate(low):
-            after = low[k + 1] if k + 1 < len(low) else ""
             step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beam.items():
-                for out, price in self.options(ch, before, after):
+            options = self.options(ch, before, edges and (k < first or k >= last))
+            for (a, b), (score, text) in states.items():
+                for out, price in options:
                     if out:
                         c = int(CLASS[min(ord(out), 0x2FFF)])
                         state, value = (b, c), score + price + model[a][b][c]
@@ -138,18 +160,21 @@ class Restorer:
                         state, value, made = (a, b), score + price, text
                     if state not in step or value > step[state][0]:
                         step[state] = (value, made)
-            beam = dict(sorted(step.items(), key=lambda x: -x[1][0])[:24])
+            states = step
             before = ch
-        ends = [(s + model[a][b][0] + (self.bonus if t in self.known else 0), t) for (a, b), (s, t) in beam.items()]
-        return max(ends)[1] if ends else low
+        return max((s + model[a][b][0] + (self.bonus if t in self.known else 0), t) for (a, b), (s, t) in states.items())[1]
 
     def restore(self, core: str) -> str:
         found = self.memo.get(core)
         if found is None:
             found = self.decode(core)
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[core] = found
+            if found not in self.known:
+                whole = self.decode(core, edges=False) if core[0] in STANDS_FOR and core[0] in _EDGE else found
+                found = whole if whole in self.known else self.repeatable.get(_RUN.sub(r"\1", found), [found])[0]
+            if len(core) <= 64:
+                if len(self.memo) >= self.most:
+                    self.memo.clear()
+                self.memo[core] = found
         return found
 
     def parts(self, token: str) -> list[str]:
@@ -158,21 +183,68 @@ class Restorer:
         core = odd_core(token)
         if core:
             words.append(self.restore(core))
-        elif _THRICE.search(token):
-            words += [self.restore(w) for w in words if len(w) <= LONGEST_ODD and _THRICE.search(w)]
+        elif _TWICE.search(token):
+            words += [self.restore(w) for w in words if _THRICE.search(w)]
+            words += [r for w in words if w not in self.known and _TWICE.search(w) for r in self.repeatable.get(_RUN.sub(r"\1", w), ())]
         return words
 
-    @staticmethod
-    def tokens(text: str) -> list[str]:
-        """Tokens in lower case, with three or more single letters in a row put together as one more."""
-        tokens = text.lower().split()
-        single = bytes([len(t) == 1 for t in tokens])
-        if b"\1\1\1" in single:
-            tokens += ["".join(tokens[m.start() : m.end()]) for m in re.finditer(b"\1{3,}", single)]
-        return tokens
+    def spaced(self, words: Coded) -> list[tuple[int, str]]:
+        """(text, word): words whose letters stand apart, as neighbouring tokens of at most PIECE letters that make a known word; and each row of three or more single characters put together, restored where it is odd."""
+        tokens, codes = words.distinct, words.codes
+        size = pc.utf8_length(tokens).to_numpy()[codes] if len(codes) else codes
+        text = np.repeat(np.arange(len(words.starts) - 1), np.diff(words.starts))
+        together = text[1:] == text[:-1]
+        out = []
+        pairs = np.flatnonzero(together & (size[1:] <= PIECE) & (size[:-1] <= PIECE))
+        if self.known and len(pairs):
+            kinds, of = np.unique(codes[pairs] * np.int64(len(tokens)) + codes[pairs + 1], return_inverse=True)
+            left, right = tokens.take(pa.array(kinds // len(tokens))).to_pylist(), tokens.take(pa.array(kinds % len(tokens))).to_pylist()
+            begins = np.array([a + b in self.beginnings for a, b in zip(left, right, strict=True)], bool)
+            for at in pairs[begins[of]].tolist():
+                made, k, end = tokens[int(codes[at])].as_py(), at + 1, int(words.starts[text[at] + 1])
+                while k < end and size[k] <= PIECE:
+                    made += tokens[int(codes[k])].as_py()
+                    if made not in self.beginnings:
+                        break
+                    if made in self.known:
+                        out.append((int(text[at]), made))
+                    k += 1
+        single = size == 1
+        runs = np.flatnonzero(single & np.r_[True, ~(single[:-1] & together)][: len(single)])
+        for at in runs.tolist():
+            k, end = at + 1, int(words.starts[text[at] + 1])
+            while k < end and single[k]:
+                k += 1
+            if k - at >= 3:
+                out += [(int(text[at]), w) for w in self.run_of(tokens.take(pa.array(codes[at:k])).to_pylist())]
+        return out
 
-    def words(self, text: str) -> list[str]:
-        return [w for t in self.tokens(text) for w in ([t] if t.isalpha() and not _THRICE.search(t) else self.parts(t))]
+    def run_of(self, characters: list[str]) -> list[str]:
+        """Words of a row of single characters: known words in it, restored where it is odd, and all of it as one."""
+        joined = "".join(characters)
+        words = self.parts(joined) if odd_core(joined) or not joined.isalpha() or _TWICE.search(joined) else [joined]
+        if not joined.isalpha():
+            longest = max(map(len, self.known), default=0)
+            for a in range(len(joined)):
+                for b in range(a + 3, min(len(joined), a + longest) + 1):
+                    core = odd_core(joined[a:b]) if (a, b) != (0, len(joined)) else None
+                    if core and (word := self.restore(core)) in self.known:
+                        words.append(word)
+        return words
+
+    def words(self, texts: pa.Array) -> list[list[str]]:
+        """All words of each text."""
+        words = tokens_of(texts)
+        parts = [[t] if t.isalpha() and not _TWICE.search(t) else self.parts(t) for t in words.distinct.to_pylist()]
+        out = [[w for c in words.codes[a:b].tolist() for w in parts[c]] for a, b in zip(words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True)]
+        for text, word in self.spaced(words):
+            out[text].append(word)
+        return out
+
+
+def tokens_of(texts: pa.Array) -> Coded:
+    """Tokens in lower case."""
+    return coded(pc.utf8_lower(texts), pc.utf8_split_whitespace)
 
 
 #: Lengths of word beginnings in the lexicon.
@@ -207,21 +279,38 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class TokenWeights(dict):
-    """Positive weights of the words of each token, memoised."""
+class Scorer:
+    """Scores of texts by model and lexicon; the positive weights of distinct tokens are memoised."""
 
-    def __init__(self, lexicon: Lexicon, restorer: Restorer, most: int = 300_000):
-        super().__init__()
-        self.lexicon, self.restorer, self.most = lexicon, restorer, most
+    def __init__(self, model: np.ndarray, lexicon: Lexicon, most: int = 150_000):
+        self.lexicon, self.most = lexicon, most
+        self.restorer = Restorer(model, frozenset(w for w in lexicon.weights if not w.endswith("*")))
+        self.memo: dict[str, tuple[float, ...]] = {}
 
-    def __missing__(self, token: str) -> tuple[float, ...]:
-        found = tuple(v for w in self.restorer.parts(token) if (v := self.lexicon.weight(w)) > 0)
-        if len(token) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[token] = found
+    def weights(self, token: str) -> tuple[float, ...]:
+        found = self.memo.get(token)
+        if found is None:
+            found = tuple(v for w in self.restorer.parts(token) if (v := self.lexicon.weight(w)) > 0)
+            if len(token) <= 64:
+                if len(self.memo) >= self.most:
+                    self.memo.clear()
+                self.memo[token] = found
         return found
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        words = tokens_of(texts)
+        weights = [self.weights(t) for t in words.distinct.to_pylist()]
+        telling = np.array([bool(w) for w in weights], bool)
+        at = np.flatnonzero(telling[words.codes]) if len(telling) else np.zeros(0, np.int64)
+        found: list[list[float]] = [[] for _ in range(len(texts))]
+        for text, code in zip((np.searchsorted(words.starts, at, "right") - 1).tolist(), words.codes[at].tolist(), strict=True):
+            found[text] += weights[code]
+        for text, word in self.restorer.spaced(words):
+            if (v := self.lexicon.weight(word)) > 0:
+                found[text].append(v)
+        rows = [self.lexicon.numbers(f, n) for f, n in zip(found, np.diff(words.starts).tolist(), strict=True)]
+        return self.lexicon.score(np.array(rows).reshape(-1, 4))
+
 
 def fitted(words: list[list[str]], labels: np.ndarray, least: int = 3, odds: float = 1.5) -> Lexicon:
     """Lexicon from half the rows and regression on the other half, then the lexicon of all rows; a text's words count once."""
@@ -285,8 +374,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, label: str
     restorer = Restorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [" ".join(restorer.words(t.as_py())) for t in batch.column(1)]
+        for batch in sliced(batches):
+            words = list(map(" ".join, restorer.words(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["id", "words", "y"])
 
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.col("id").isNotNull())
@@ -310,16 +399,9 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, id_col: str = "d
     """(id, score) of every whole text. Model and lexicon go along with the tasks: their size is bounded by CLASSES and the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model, frozenset(w for w in lexicon.weights if not w.endswith("*")))
-        weights = TokenWeights(lexicon, restorer)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                tokens = restorer.tokens(text.as_py())
-                found = [v for hit in map(weights.__getitem__, tokens) if hit for v in hit]
-                rows.append(lexicon.numbers(found, len(tokens)))
-            scores = lexicon.score(np.array(rows).reshape(-1, 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
+        scorer = Scorer(model, lexicon)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)), pa.float64())], [id_col, "score"])
 
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double")
@@ -329,13 +411,8 @@ def accepted(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: fl
     """The rows whose score is below the threshold, with all their columns; rows don't leave their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model, frozenset(w for w in lexicon.weights if not w.endswith("*")))
-        weights = TokenWeights(lexicon, restorer)
-        for batch in batches:
-            rows = []
-            for text in batch.column(batch.schema.get_field_index(text_col)):
-                tokens = restorer.tokens(text.as_py() or "")
-                rows.append(lexicon.numbers([v for hit in map(weights.__getitem__, tokens) if hit for v in hit], len(tokens)))
-            yield batch.filter(pa.array(lexicon.score(np.array(rows).reshape(-1, 4)) < threshold))
+        scorer = Scorer(model, lexicon)
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(scorer.scores(batch.column(batch.schema.get_field_index(text_col))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
