@@ -2,27 +2,29 @@
 
 Method: prefixes of token combinations. Of each set, a sample of its smallest hashes is compared first: two sets that
 are similar enough must share a known number of sampled tokens, so a set with fewer shared ones has no partner. The
-whole sets of the rest are compared in the same way: a set with too few tokens that others of the rest have is left
-out, too. In what then stays, tokens are ordered by how many sets have them. A set may miss at most m of its tokens in
-a partner, so a prefix of that order in which more than m tokens count must share something. Rare tokens are indexed singly and
-count one each. Frequent tokens are dealt into classes and indexed by pairs within a class; such a class counts one
-less than it has tokens, so the prefix is extended accordingly. Sets that share an index entry are then verified.
-
-Equal sets are one node from the start. Entries are exchanged in packed rows in which a batch speaks with one voice
-for each entry: every set is paired with the entry's smallest set, which is enough where they are all linked. Where
-such a pair fails, all pairs of the entry's sets that lie in different components so far are verified, too, so that no
-link between different texts is lost.
+whole sets of the rest are then indexed. Rare tokens are units by themselves; frequent tokens are dealt into classes,
+and all that a set has of a class is one combination of k tokens, one unit, with as many classes as make partners agree
+in one at least: a token that only one of two sets has spoils one unit at most. Units are ordered, rare ones first, and
+a prefix with one more than a partner may spoil is indexed; where a set has too few units, the prefix is extended by
+the units of further ways to deal the classes. Tokens that no other set has count in the prefix but aren't indexed.
+
+Sets that share an entry are each compared exactly with the entry's smallest set, the pivot, which is enough where they
+are all linked. Where they aren't, the differences from the pivot are joined instead of the sets: linked sets of
+different components must share so many tokens of their differences that a short prefix of these is indexed, and what
+a set has more and less than the pivot bounds the overlap besides. Pairs that are left are compared, too, so that no
+link between different texts is lost. Equal sets are one node from the start.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; a null id takes no part and has no component; rows that repeat an
 id are judged by their own texts; very long texts are taken whole; an empty table gives an empty result; extra columns
-are dropped.
+are dropped by linked_components() and kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import mixed, partitions, sliced, window_hashes, word_hashes, written
+from lakeops.llm.common import fresh_name, hashed_words, mixed, partitions, sliced, window_hashes, written
 from lakeops.llm.components import components
 from lakeops.llm.repeats import _rows, only, packed
 
@@ -38,89 +40,83 @@ from lakeops.llm.repeats import _rows, only, packed
 FREQUENT = 16
 #: Parts of an exchange, at least: about as many as a set has entries, so that replies grow with the sets alone.
 LEAST_PARTS = 512
-#: Tokens of a frequent class in a prefix, about.
-CLASS_TOKENS = 5
+#: Ways to deal classes that are tried before a set's tokens are all indexed singly.
+DEALS = 4
+
+
+@lru_cache(maxsize=8)
+def _levels(percent: int) -> list[int]:
+    """Sizes at which levels begin: sets of one level and those of the next hold all sets that may be partners."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(100 * out[-1] // percent + 1)
+    return out
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """words in a shingle; percent: links have 100 * intersection >= percent * union. whole: compare whole sets instead of samples."""
+    """words in a shingle; percent: links have 100 * intersection >= percent * union."""
 
     words: int = 5
     percent: int = 80
-    whole: bool = False
 
     def least_overlap(self, n: int) -> int:
         """Shared tokens that any partner of a set of n must have."""
         return -(-self.percent * n // 100)
 
-    def misses(self, n: int) -> int:
-        return n - self.least_overlap(n)
-
     def sampled(self, n: int) -> int:
-        return n if self.whole else min(n, 2 * self.misses(n) + 2)
-
-    def shared(self, n: int) -> int:
-        """Sampled tokens that a set of n shares with any partner: the fewest that a partner of the smallest size vouches for."""
-        small = self.least_overlap(n)
-        return small if self.whole else self.sampled(small) - self.misses(small)
-
-    def quota(self, n: int) -> int:
-        """How much a prefix of the sample must count."""
-        return self.sampled(n) - self.shared(n) + 1
-
-    def buckets(self, n: int) -> list[int]:
-        """Partners have one of these in common: powers of two, of the size and of the smallest partner's."""
-        return sorted({n.bit_length(), self.least_overlap(n).bit_length()})
-
-    def classes(self, bucket: int) -> int:
-        """Classes of frequent tokens among sets of a bucket; 0: small sets index them singly."""
-        size = 1 << (bucket - 1)
-        return 0 if size < 32 else max(1, min(self.shared(size) - 1, (self.quota(size * 7 // 5)) // (CLASS_TOKENS - 1)))
+        """Tokens of a set of n that are compared first: twice as many as it may miss in a partner, and two."""
+        return min(n, 2 * (n - self.least_overlap(n)) + 2)
+
+    def apart(self, a: int, b: int) -> int:
+        """Tokens that only one of two linked sets of these sizes has, at most."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
+
+    def levels(self, n: int) -> list[tuple[int, int, int]]:
+        """(level, tokens apart from a partner of the level at most, classes) of a set of n."""
+        begins = _levels(self.percent)
+        level = int(np.searchsorted(begins, n, "right"))
+        out = []
+        for k in (level, level + 1):
+            largest = begins[k] - 1
+            out.append((k, self.apart(n, min(largest, 100 * n // self.percent)), int(1.15 * (self.apart(largest, largest) + 1)) + 2))
+        return out
 
     def alike(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text in lower case (A to Z)."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(text.encode("utf-8", "surrogatepass").lower().split())
-    return np.unique(window_hashes(h, min(words, len(h)))) if len(h) else np.zeros(0, np.uint64)
+def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each whole text in lower case (A to Z): sorted distinct 64-bit hashes of its shingles."""
+    return [np.unique(window_hashes(h, min(words, len(h)))) if len(h) else h for h in hashed_words(texts, lower=True)]
 
 
 def signatures(tokens: np.ndarray, df: np.ndarray, n: int, s: Similarity) -> np.ndarray:
-    """Index entries of a set of n, from those of its sampled tokens that other sets have, too, and how many have them (FREQUENT at most)."""
-    alone = s.sampled(n) - len(tokens)
-    quota = s.quota(n) - alone  # tokens that no one shares come first and count one each
-    if quota <= 0:
-        return np.zeros(0, np.uint64)
+    """Index entries of a set of n, from those of its tokens that other sets have, too, and how many have them (FREQUENT at most)."""
+    alone = n - len(tokens)
     order = np.lexsort((tokens, df))
     tokens, df = tokens[order], df[order]
     n_rare = int((df < FREQUENT).sum())
-    out = []
+    rare, frequent = tokens[:n_rare], tokens[n_rare:]
+    out = [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
-        for bucket in s.buckets(n):
-            salt = np.uint64(bucket) * np.uint64(0xD6E8FEB86659FD93)
-            n_classes = s.classes(bucket)
-            singles = tokens[: min(quota, n_rare if n_classes else len(tokens))]
-            out.append(mixed(singles + salt))
-            left = quota - len(singles)
-            if left <= 0 or not n_classes:
+        for level, apart, n_classes in s.levels(n):
+            quota = apart + 1 - alone  # tokens that no one shares come first
+            if quota <= 0:
                 continue
-            frequent = tokens[n_rare:]
-            of = mixed(frequent ^ salt) % np.uint64(n_classes)
-            order = np.argsort(of, kind="stable")
-            first = np.zeros(len(frequent), bool)
-            first[order[np.r_[True, of[order][1:] != of[order][:-1]]]] = True  # the first token of a class doesn't count
-            counts = np.cumsum(~first)
-            stop = int(np.searchsorted(counts, left)) + 1
-            frequent, of = frequent[:stop], of[:stop]
-            for c in np.unique(of):
-                mine = frequent[of == c]
-                i, j = np.triu_indices(len(mine), 1)
-                out.append(mixed(mixed(mine[i] + salt) ^ (mine[j] * np.uint64(0xA0761D6478BD642F))))
+            salt = mixed(np.array([level], np.uint64))
+            out.append(mixed(rare[:quota] + salt))
+            for deal in range(DEALS if quota > n_rare else 0):
+                of = mixed(frequent ^ mixed(salt + np.uint64(deal))) % np.uint64(n_classes)
+                order = np.argsort(of, kind="stable")
+                first = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]][: len(of)])
+                units = np.add.reduceat(mixed(frequent[order] + np.uint64(deal)), first) if len(first) else frequent
+                out.append(mixed(units ^ (salt + of[order][first]))[: quota - n_rare])
+                if n_rare + len(units) >= quota:
+                    break
+            else:
+                if quota > n_rare:  # too few units in every deal
+                    out.append(mixed(tokens - salt))
     return np.unique(np.concatenate(out))
 
 
@@ -131,37 +127,31 @@ def described(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = shingles(text.as_py(), s.words)
+            for i, t in zip(batch.column(0).to_pylist(), shingles(batch.column(1), s.words), strict=True):
                 rows.append((i, len(t), xxhash.xxh3_128_digest(t.tobytes()), t[: s.sampled(len(t))].tobytes()))
             yield _rows(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-    return a[new], b[new]
-
-
 def enough(s: Similarity) -> Column:
-    """Least number of shared sampled tokens of a set of n: what Similarity.shared() gives, as a column."""
+    """Least number of sampled tokens that a set of n shares with any partner: those that a partner of the smallest size vouches for."""
     least = lambda n: F.ceil(n * s.percent / 100 - 1e-9)
     small = least(F.col("n"))
     return F.least(small, small - least(small) + 2, least(small))
 
 
-def whole_sets(texts: DataFrame, s: Similarity) -> DataFrame:
-    """(id, n, sample) with all tokens of the sets of some texts."""
+def whole_sets(texts: DataFrame, nodes: DataFrame, s: Similarity) -> DataFrame:
+    """(key, n, sample) with all tokens of the sets of some nodes (key, id, n, print), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingles(t.as_py(), s.words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["id", "n", "sample"])
+            sets = [t.tobytes() for t in shingles(batch.column(1), s.words)]
+            columns = [batch.column(0), pa.array([len(t) // 8 for t in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in sets], pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "print", "sample"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, sample binary").where("n > 0")
+    sets = only(texts, nodes, "id").mapInArrow(run, "id long, n long, print binary, sample binary")
+    return sets.join(nodes, ["id", "n", "print"]).select("key", "n", "sample").dropDuplicates(["key"])
 
 
 def _grouped(owners: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -196,7 +186,7 @@ _PACKED_TYPES = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
-    """(id, n, tokens, df): of each set's sample, the tokens that other sets have, too, and how many have them; FREQUENT stands for that many or more.
+    """(key, n, tokens, df): of each set's sample, the tokens that other sets have, too, and how many have them; FREQUENT stands for that many or more.
 
     A batch in which a token is frequent settles it for its own sets and sends word of it once.
     """
@@ -214,7 +204,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             rows += [(p, True, h, o) for p, h, o in packed(parts, mixed(owners[often].view(np.uint64)), tokens[often], owners[often])]
             yield _rows(rows, _PACKED_TYPES, _PACKED)
 
-    reply = "id long, tokens binary, df binary"
+    reply = "key long, tokens binary, df binary"
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
@@ -229,138 +219,147 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             df = np.r_[np.minimum(df[use], FREQUENT), np.full(len(owners) - int(use.sum()), FREQUENT)].astype(np.uint8)
             yield _rows(list(_grouped(owners, tokens, df)), [pa.int64(), pa.binary(), pa.binary()], reply)
 
-    dealt = sets.select("id", "sample").mapInArrow(send, _PACKED).repartition(partitions(spark), "part").sortWithinPartitions("part")
-    replies = dealt.mapInArrow(receive, reply).groupBy("id").agg(*(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tokens", "df"))), lambda r: F.hex(r[c])), "")).alias(c) for c in ("tokens", "df")))
-    return replies.join(sets.select("id", "n"), "id").select("id", "n", "tokens", "df")
+    dealt = sets.select("key", "sample").mapInArrow(send, _PACKED).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    replies = dealt.mapInArrow(receive, reply).groupBy("key").agg(*(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tokens", "df"))), lambda r: F.hex(r[c])), "")).alias(c) for c in ("tokens", "df")))
+    return replies.join(sets.select("key", "n"), "key").select("key", "n", "tokens", "df")
 
 
 def indexed(shared: DataFrame, s: Similarity) -> DataFrame:
-    """(id, entries) of the sets that may have a partner."""
+    """(entry, key) of the sets that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = []
-            for i, n, tokens, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, entries = [], [np.zeros(0, np.uint64)]
+            for k, n, tokens, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t, d = np.frombuffer(tokens, np.uint64), np.frombuffer(df, np.uint8)
-                found = signatures(t, d, n, s) if len(t) >= s.shared(n) else np.zeros(0, np.uint64)
-                if len(found):
-                    rows.append((i, found.tobytes()))
-            yield _rows(rows, [pa.int64(), pa.binary()], "id long, entries binary")
+                if len(t) >= s.least_overlap(n):
+                    entries.append(signatures(t, d, n, s))
+                    keys.append(np.full(len(entries[-1]), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], ["entry", "key"])
 
-    return shared.mapInArrow(run, "id long, entries binary")
+    return shared.mapInArrow(run, "entry long, key long")
 
 
 def stars(index: DataFrame) -> DataFrame:
-    """Distinct (a, b): every set of an entry with the smallest of its batch, and those with the smallest of all."""
-    parts = max(LEAST_PARTS, 4 * partitions(index.sparkSession))
+    """Distinct (a, b): every set of an entry, a, with the entry's smallest, b. Minima are pre-aggregated; a join that meets an entry of very many sets is split as Spark splits skewed joins."""
+    first = index.groupBy("entry").agg(F.min("key").alias("b"), F.max("key").alias("most")).where("b <> most").select("entry", "b")
+    return index.join(first, "entry").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
-    def edges(entries: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((owners, entries))
-        entries, owners = entries[order], owners[order]
-        new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
-        first = owners[new][np.cumsum(new) - 1] if len(owners) else owners
-        return entries[new], owners[new], distinct_pairs(owners[owners != first], first[owners != first])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2000):
-            lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
-            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            entries, first, pairs = edges(np.concatenate([*lists, np.zeros(0, np.uint64)]), owners)
-            rows = [(p, False, h, o) for p, h, o in packed(parts, entries, entries, first)]
-            rows += [(p, True, h, o) for p, h, o in packed(parts, mixed(pairs[0].view(np.uint64)), pairs[0], pairs[1])]
-            yield _rows(rows, _PACKED_TYPES, _PACKED)
+def marked(whole: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, tokens, known): all tokens of each set, and bits that tell which of them other sets have, too."""
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
-            asked, told = [r for r in rows if not r[1]], [r for r in rows if r[1]]
-            pairs = edges(_joined(asked, 2, np.uint64), _joined(asked, 3, np.int64))[2]
-            pairs = distinct_pairs(np.r_[pairs[0], _joined(told, 2, np.int64)], np.r_[pairs[1], _joined(told, 3, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            bits = [np.packbits(np.isin(np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(k.as_buffer(), np.uint64))).tobytes() for t, k in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["key", "tokens", "known"])
 
-    dealt = index.mapInArrow(send, _PACKED).repartition(partitions(index.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(receive, "a long, b long").distinct()
+    known = shared.select("key", F.col("tokens").alias("known"))
+    return whole.join(known, "key").select("key", F.col("sample").alias("tokens"), "known").mapInArrow(run, "key long, tokens binary, known binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
-    """(a, b, linked) of pairs of ids, by their whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = only(texts, ids, "id")
-    left = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def difference_prefix(x: np.ndarray, known_x: np.ndarray, r: np.ndarray, known_r: np.ndarray, linked: bool, s: Similarity) -> np.ndarray:
+    """Of what a set x and its pivot r don't share, the tokens of which any set that is linked with x, but lies in another component, must have one in its own prefix.
+
+    Linked sets share at least t tokens of their differences. Where x is linked with the pivot, the other isn't, so its
+    difference has more than (100-p)/(100+p) of its and the pivot's size; else the shared tokens are no more than the
+    other's difference. Either gives a lower bound of t. Order: tokens that the pivot hasn't got, then its own, last
+    those that no other set has.
+    """
+    less = ~np.isin(r, x, assume_unique=True)
+    more = x[known_x & ~np.isin(x, r, assume_unique=True)]
+    apart, small, large = len(x) - len(r) + 2 * int(less.sum()), 100 - s.percent, 100 + s.percent
+    least = (large * apart + small * (len(r) - len(x))) // (2 * large) + 1 if linked else -(-(large * apart - small * (len(x) + len(r))) // 200)
+    tokens = np.concatenate([more, r[less & known_r], r[less & ~known_r]])
+    return tokens[: max(0, len(tokens) - max(1, least) + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[str, np.ndarray]] = {}
 
-        def of(i: int, text: str) -> np.ndarray:
-            hit = kept.get(i)
-            if hit is None or hit[0] != text:
-                if len(kept) >= 64:
-                    kept.clear()
-                hit = kept[i] = (text, shingles(text, s.words))
-            return hit[1]
+_TRIED = "a long, b long, linked boolean, n long, more long, less long, alone long, prefix binary"
 
+
+def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+    """a, b, linked of distinct pairs of keys, by their whole sets; and of a: its size, how many tokens it has more and less than b and how many alone, and entries of its difference from b."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"set_{c}"), F.col("known").alias(f"known_{c}"))
+    found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "known_a", "set_b", "known_b")
+    names, types = [x.split()[0] for x in _TRIED.split(", ")], [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            linked = []
-            for a, b, ta, tb in zip(*batch.columns, strict=True):
-                x, y = of(a.as_py(), ta.as_py()), of(b.as_py(), tb.as_py())
-                small, large = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * small >= s.percent * large else 0
-                linked.append(s.alike(both, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-
-def open_pairs(index: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share an entry and lie in different components, of the entries in which a pair failed between components."""
-    label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    apart = label(label(failed.select("a", "b"), "a"), "b").where("ca <> cb").select("a", "b")
-    ids = apart.select(F.col("a").alias("id")).union(apart.select("b")).distinct()
-    few = only(index, ids, "id")
-    both = apart.join(few.select(F.col("id").alias("a"), F.col("entries").alias("ea")), "a").join(few.select(F.col("id").alias("b"), F.col("entries").alias("eb")), "b").select("ea", "eb")
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(*batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64))], ["entry"])
+            rows = []
+            for a, b, x, known_x, y, known_y in zip(*batch.columns, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                known_x, known_y = (np.unpackbits(np.frombuffer(k.as_buffer(), np.uint8), count=len(t)).astype(bool) for k, t in ((known_x, x), (known_y, y)))
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                linked = s.alike(both, len(x), len(y))
+                entries = mixed(difference_prefix(x, known_x, y, known_y, linked, s) ^ mixed(np.array([b.as_py()], np.int64).view(np.uint64)))
+                rows.append((a.as_py(), b.as_py(), linked, len(x), len(x) - both, len(y) - both, len(x) - int(known_x.sum()), entries.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
+
+    return found.mapInArrow(run, _TRIED)
+
+
+def open_pairs(tried: DataFrame, labels: DataFrame, s: Similarity) -> DataFrame:
+    """Pairs (a, b) of sets of one pivot that lie in different components and may be linked for all that the comparisons with the pivot tell.
+
+    They share an entry of their differences. Against the pivot a set has `more` tokens, `alone` of which no other set
+    has, and lacks `less`: two sets share at most the smaller number of more - alone, and of less; what is then left of
+    both is how far they are apart at least.
+    """
+    members = tried.withColumnRenamed("a", "key").join(labels.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    several = members.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("b")
+    members = members.where(F.octet_length("prefix") > 0).join(several, "b", "left_semi").select("key", "c", "n", "more", "less", "alone", "prefix")
+    names = ["entry", "key", "c", "n", "more", "less", "alone"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], ["id", "entry"])
+            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
+            of = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])), *(batch.column(c).take(pa.array(of)) for c in range(6))], names)
+
+    entries = written(members.mapInArrow(spread, ", ".join(f"{c} long" for c in names)), "differences")
+    x, y = (entries.select("entry", *(F.col(c).alias(f"{c}_{side}") for c in names[1:])) for side in "xy")
+    shared = F.least(*(F.col(f"more_{side}") - F.col(f"alone_{side}") for side in "xy")) + F.least("less_x", "less_y")
+    apart = F.col("more_x") + F.col("less_x") + F.col("more_y") + F.col("less_y") - 2 * shared
+    near = ((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n_x") + F.col("n_y"))) & (100 * F.least("n_x", "n_y") >= s.percent * F.greatest("n_x", "n_y"))
+    pairs = x.join(y, "entry").where((F.col("key_x") > F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & near)
+    return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
 
-    entries = written(both.mapInArrow(common, "entry long").distinct(), "entries")
-    members = written(label(only(index.mapInArrow(spread, "id long, entry long"), entries, "entry").join(entries, "entry", "left_semi").withColumnRenamed("id", "a"), "a").select("entry", F.col("a").alias("id"), F.col("ca").alias("c")), "members")
-    x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, "entry").where((F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return pairs.join(failed.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
+
+def of_one_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that share an id."""
+    prints = [F.col("n"), F.xxhash64("print"), F.hash("print", "n")]
+    several = rows.groupBy("id").agg(*(f(p).alias(f"{f.__name__}{k}") for k, p in enumerate(prints) for f in (F.min, F.max))).where(" OR ".join(f"min{k} <> max{k}" for k in range(len(prints)))).select("id")
+    own = rows.join(several, "id", "left_semi").distinct().join(nodes.select("n", "print", "key"), ["n", "print"]).select("id", "key")
+    return own.join(own.groupBy("id").agg(F.min("key").alias("b")), "id").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
 
 def linked_components(docs: DataFrame, s: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that its links reach, its own included)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(described(docs, s, id_col, text_col), "sets")
-    first = sets.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "print").agg(F.min("id").alias("node"))
-    rows = written(sets.select("id", "n", "print").join(first, ["n", "print"], "left").select("id", "n", "node"), "nodes")
-    nodes = rows.where(F.col("id") == F.col("node")).select("id", "n").distinct()
-    standing = sets.join(nodes, ["id", "n"], "left_semi")
-    likely = shared_tokens(standing).where(F.octet_length("tokens") / 8 >= enough(s)).select("id").distinct()
-    index = written(indexed(shared_tokens(whole_sets(only(texts, written(likely, "likely"), "id"), s)), replace(s, whole=True)), "index")
-    tried = written(verified(stars(index), texts, s), "tried")
-    links = tried.where("linked")
+    real = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
+    each = real.groupBy("n", "print").agg(F.min("id").alias("id"), (F.count("*") > 1).alias("copied"), F.first("sample").alias("sample"))
+    nodes = written(each.withColumn("key", F.monotonically_increasing_id()), "nodes")  # numbers that last, once written
+    likely = shared_tokens(nodes).where(F.octet_length("tokens") / 8 >= enough(s)).select("key")
+    likely = written(nodes.select("key", "id", "n", "print").join(likely, "key", "left_semi"), "likely")
+    whole = written(whole_sets(texts, likely, s), "whole")
+    shared = written(shared_tokens(whole), "shared")
+    sets_of = written(marked(whole, shared), "marked")
+    tried = written(verified(stars(written(indexed(shared, s), "index")), sets_of, s), "tried")
+    links = tried.where("linked").select("a", "b").union(of_one_id(real.select("id", "n", "print"), nodes))
     labels = written(components(links), "components")
-    failed = tried.where("NOT linked")
-    more = written(verified(written(open_pairs(index, failed, labels), "open"), texts, s).where("linked"), "more")
+    more = written(verified(written(open_pairs(tried, labels, s), "open"), sets_of, s).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
         labels = written(components(links.union(more)), "components")
-    joined = rows.join(labels.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
+    of = nodes.select("key", "id", "n", "print", "copied").join(labels.select(F.col("node").alias("key"), "component"), "key", "left").where(F.col("copied") | F.col("component").isNotNull())
+    smallest = of.groupBy("component").agg(F.min("id").alias("component_id")).where("component IS NOT NULL")
+    found = of.join(smallest, "component", "left").select("n", "print", F.coalesce("component_id", "id").alias("component_id"))
+    joined = sets.select("id", "n", "print").join(found, ["n", "print"], "left")
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, s: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is their component's; rows without an id stay. Rows that share a kept id stay together."""
-    judged = linked_components(docs, s, id_col, text_col)
-    gone = written(judged.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-
+    judged, gone = linked_components(docs, s, id_col, text_col), fresh_name(docs)
+    others = written(judged.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "gone")
+    return docs.join(others, docs[id_col] == F.col(gone), "left_anti")

@@ -108,8 +108,9 @@ def test_jaccard_join_of_many_near_copies(spark):
 
 def test_prefixes_share_an_entry():
     """Any two sets that are similar enough share an index entry, whatever the frequencies."""
-    r, s = np.random.default_rng(3), jaccard.Similarity(4, 85)
-    for _ in range(300):
+    r = np.random.default_rng(3)
+    for _ in range(1500):
+        s = jaccard.Similarity(4, int(r.choice([60, 80, 85])))
         n = int(r.integers(1, 300))
         a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
         b = a.copy()
@@ -119,17 +120,41 @@ def test_prefixes_share_an_entry():
         both = np.intersect1d(a, b)
         if not s.alike(len(both), len(a), len(b)):
             continue
-        samples = [x[: s.sampled(len(x))] for x in (a, b)]
-        common = np.intersect1d(*samples)
-        df = {int(t): int(r.choice([2, 5, 16])) for t in common}
+        tokens = np.union1d(a, b)
+        odds = r.dirichlet([0.3] * 3)  # many rare tokens, many frequent ones or both; some that only one set has are alone
+        df = {int(t): int(r.choice([2, 5, 16], p=odds)) for t in tokens if t in both or r.random() < 0.5}
         entries = []
-        for x, sample in zip((a, b), samples, strict=True):
-            t = np.array([v for v in sample if int(v) in df], np.uint64)
-            assert len(t) >= s.shared(len(x))
+        for x in (a, b):
+            t = np.array([v for v in x if int(v) in df], np.uint64)
+            assert len(t) >= s.least_overlap(len(x))
             entries.append(jaccard.signatures(t, np.array([df[int(v)] for v in t], np.uint8), len(x), s))
         assert len(np.intersect1d(*entries))
 
 
+def test_differences_share_an_entry():
+    """Linked sets of which one at least isn't linked with the pivot have an entry of their differences from it in common."""
+    r, met = np.random.default_rng(4), 0
+    for _ in range(6000):
+        s = jaccard.Similarity(4, int(r.choice([80, 85])))
+        pivot = np.unique(r.integers(0, 60_000, int(r.integers(8, 150))).astype(np.uint64))
+
+        def changed(x, most):
+            x = r.permutation(x)[int(r.integers(0, most)) :]
+            return np.unique(np.r_[x, r.integers(0, 60_000, int(r.integers(0, most))).astype(np.uint64)])
+
+        a = changed(pivot, len(pivot) // 4 + 2)
+        b = changed(a, len(a) // 7 + 2)
+        alike = lambda x, y: s.alike(len(np.intersect1d(x, y)), len(x), len(y))
+        if not len(a) or not len(b) or not alike(a, b) or (alike(a, pivot) and alike(b, pivot)):
+            continue
+        met += 1
+        known = np.unique(np.concatenate([np.intersect1d(a, b), np.intersect1d(a, pivot), np.intersect1d(b, pivot), r.choice(np.r_[a, b], 3)]))
+        marks = {id(x): np.isin(x, known) for x in (a, b, pivot)}
+        prefixes = [jaccard.difference_prefix(x, marks[id(x)], pivot, marks[id(pivot)], alike(x, pivot), s) for x in (a, b)]
+        assert len(np.intersect1d(*prefixes))
+    assert met > 300
+
+
 def test_repeats_equal_brute_force(docs):
     rows = docs.collect()
     split = [re.findall("[^\x20\x09-\x0d]+", r.text or "") for r in rows]
@@ -203,6 +228,39 @@ def test_token_files_round_trip(spark, docs, nothing):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_token_files_as_the_library_encodes(spark):
+    """Special tokens' strings, odd white space; keys out of and in the store."""
+    from tokenizers import Tokenizer
+
+    model = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(2)
+    odd = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "x <|endoftext|", "\n lead", "trail \n", "a\nb \nc\n d", " ", "  ", "it's  two", "tab\there"]
+    odd += ["".join(r.choice("ab \n\t's1é.,漢<|>") for _ in range(r.randint(0, 60))) for _ in range(400)] + [prose(3, 900), ""]
+    docs = spark.createDataFrame([(i * 7 - 50, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(model)
+    want = {i * 7 - 50: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(odd)}
+    encoder = token_files.library_encoder(model)
+    import pyarrow as pa
+
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.pack_all(pa.array(odd)).to_pylist()] == [v[:-1] for v in want.values()]
+    token_files.write(docs, path := scratch(spark, "t"), model, 2, 50_257)
+    store = token_files.open_store(spark, path)
+    assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in token_files.read(spark, path).collect()} == want
+    keys = spark.createDataFrame([(k,) for k in range(-60, 3000)], "doc_id long")
+    assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in token_files.lookup(store, keys).collect()} == want
+    assert "payload" not in token_files.indexes(store).columns
+
+
+def test_long_documents_are_read_by_blocks(spark):
+    text = prose(5, 60_000)
+    docs = spark.createDataFrame([(1, "a"), (2, text), (3, "b " + text), (4, "c")], "doc_id long, text string")
+    token_files.write(docs, path := scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+    store = token_files.open_store(spark, path)
+    assert store.where("block >= 0").count() > 4
+    whole = {r.doc_id: bytes(r.ids) for r in token_files.read(spark, path).collect()}
+    assert {r.doc_id: bytes(r.ids) for r in token_files.lookup(store, docs).collect()} == whole and len(whole[2]) > 4 * token_files.BLOCK_IDS
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 1000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(1 << 60), 1 << 60, n))
@@ -241,6 +299,39 @@ def test_ledger_scans_a_blob_once(spark):
     assert secrets.update_ledger(more, path, rules_version="next").count() == 2
 
 
+def test_ledger_with_a_blob_twice_and_clashing_names(spark):
+    path = scratch(spark, "ledger")
+    rows = spark.createDataFrame([(1, "token=abcdefgh", "a", "b", "c"), (None, "token=abcdefgh", "a", "b", "c"), (2, None, "a", "b", "c")], "doc_id long, text string, secret_spans string, _blob string, _added string")
+    once = secrets.find(rows, path)
+    assert once.columns == ["doc_id", "text", "_blob", "_added", "secret_spans"] and once.count() == 3
+    ledger = secrets.update_ledger(rows, path)
+    ledger.where("size(spans) > 0").write.mode("append").parquet(f"{path}/rules_version={secrets.RULES_VERSION}")  # as a second writer would
+    again = secrets.find(rows, path).collect()
+    assert len(again) == 3 and [len(r.secret_spans) for r in again if r.text] == [1, 1]
+
+
+def test_one_of_each_with_clashing_names(spark):
+    text = prose(1, 60)
+    rows = spark.createDataFrame([(2, text, "x", "y"), (1, text, "x", "y"), (None, text, "x", "y"), (3, None, "x", "y")], "doc_id long, text string, _gone string, _added string")
+    kept = jaccard.one_of_each(rows)
+    assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
+def test_given_vectors_are_found(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [r for r in vectors.select("vec_id", "embedding").collect() if r.embedding is not None and all(v is not None and np.isfinite(v) for v in r.embedding) and any(r.embedding)]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = {}
+    for r in hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(found & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
+
+
 def test_obfuscated_words_are_restored(spark):
     docs = spark.createDataFrame([(i, prose(i, 40) + (" you idiot loser worthless" if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(5, None), (None, 1)], "doc_id long, toxic int")
@@ -252,6 +343,41 @@ def test_obfuscated_words_are_restored(spark):
     assert {r.doc_id for r in kept.collect()} == {3, 4, 5, None}
 
 
+def test_decoding_equals_trying_all_readings():
+    """Viterbi's score is that of the best of all readings of a token."""
+    r = np.random.default_rng(2)
+    model = np.log(r.dirichlet(np.ones(toxicity.CLASSES), (toxicity.CLASSES, toxicity.CLASSES))).astype(np.float32)
+    restorer = toxicity.Restorer(model)
+    kind = lambda c: int(toxicity.CLASS[min(ord(c), 0x2FFF)])
+
+    def value(text, price):
+        a = b = 0
+        for c in [*map(kind, text), 0]:
+            price, a, b = price + float(model[a, b, c]), b, c
+        return price
+
+    for token in ("1d10t", "a.b", "xx1", "b00b", "!a1", "i_d_1", "aaa", "f&k@", "g55d"):
+        readings, before = [("", 0.0)], ""
+        first = len(token) - len(token.lstrip(toxicity._EDGE))
+        for k, ch in enumerate(token):
+            readings = [(t + out, p + price) for t, p in readings for out, price in restorer.options(ch, before, k < first)]
+            before = ch
+        best = max(value(t, p) for t, p in readings)
+        assert abs(max(value(t, p) for t, p in readings if t == restorer.decode(token)) - best) < 1e-4
+
+
+def test_obfuscations_reach_the_decoder():
+    import pyarrow as pa
+
+    known = frozenset(["idiot", "idiots", "worthless", "loser", "shole"])
+    restorer = toxicity.Restorer(np.log(np.full((64,) * 3, 1 / 64)).astype(np.float32), known)
+    said = ["1d1075", "!d!ot", "i_._d_._i_._o_._t", "iddiot", "worthlessssssssss", "a i d i o t", "y o u i d i o t", "id io t", "1 d 1 0 t", "l*s*r", "5h0l3", "(1d10t)", "i" * 40 + "diot"]
+    for text, words in zip(said, restorer.words(pa.array(said))):
+        assert known & set(words), text
+    plain = restorer.words(pa.array(["i do it as is", "10 25 2024-01-02", "", "hello off"]))
+    assert not any(known & set(words) for words in plain)
+
+
 @pytest.mark.parametrize("label", ["toxic", "quality"])
 def test_classifiers_without_labels(spark, docs, label):
     labels = spark.createDataFrame([], f"doc_id long, {label} int")
@@ -271,6 +397,70 @@ def test_quality_tells_junk_from_prose(spark):
     assert sum((r.score >= 0.5) == (r.doc_id % 3 != 0) for r in held) / len(held) > 0.95
 
 
+def plain_buckets(text, settings):
+    """Features of a text in plain Python integers."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    out, whole, words = [], [], text.split()
+    for w in words:
+        p = [ord(c) for c in f"<{w}>"]
+        whole.append(mix(sum(mix((c + k * odd) & mask) for k, c in enumerate(p)) & mask))
+        out.append(whole[-1] % settings.buckets)
+        for n in settings.grams:
+            for k in range(len(p) - n + 1):
+                h = 0
+                for c in p[k : k + n]:
+                    h = (h * odd + c) & mask
+                out.append(mix((h + n) & mask) % settings.buckets)
+    out += [mix((a * odd + b) & mask) % settings.buckets for a, b in zip(whole[:-1], whole[1:])]
+    for k, back in enumerate(quality.REPEATS):
+        out += [settings.buckets + k] * sum(a == b for a, b in zip(words[back:], words))
+    return out
+
+
+def test_quality_equals_a_plain_version():
+    import pyarrow as pa
+
+    settings = quality.Settings(buckets=512, size=4, passes=1)
+    texts = ["", "one", "é漢 x x x", prose(1, 50), "to be or not to be", " a  a\tb "]
+    rows = quality.counted(pa.array(texts), settings)
+    for text, (bucket, n) in zip(texts, rows):
+        want = np.unique(plain_buckets(text, settings), return_counts=True) if text else ([], [])
+        assert bucket.tolist() == list(want[0]) and n.tolist() == list(want[1])
+    labels = np.array([0, 1, 0, 1, 1, 0])
+    model = quality.fitted([(b, n.astype(float)) for b, n in rows], labels, settings)
+    random_ = np.random.default_rng(settings.seed)
+    vectors = random_.uniform(-1, 1, (515, 4)) / 4
+    output, bias = random_.uniform(-0.1, 0.1, (4, 2)), [0.0, 0.0]
+    for done, r in enumerate(random_.permutation(6).tolist()):
+        rate, features = 0.5 * (1 - done / 6), plain_buckets(texts[r], settings)
+        mean = [sum(vectors[f][k] for f in features) / max(1, len(features)) for k in range(4)]
+        z = [sum(mean[k] * output[k][y] for k in range(4)) + bias[y] for y in (0, 1)]
+        p = np.exp(z) / np.exp(z).sum()
+        error = [p[y] - (labels[r] == y) for y in (0, 1)]
+        back = [sum(output[k][y] * error[y] for y in (0, 1)) for k in range(4)]
+        for k in range(4):
+            for y in (0, 1):
+                output[k][y] -= rate * mean[k] * error[y]
+        for y in (0, 1):
+            bias[y] -= rate * 0.1 * error[y]
+        for f in set(features):
+            for k in range(4):
+                vectors[f][k] -= rate * len(set(features)) ** 0.5 * features.count(f) / len(features) * back[k]
+    assert np.allclose(model.vectors, vectors) and np.allclose(model.output, output) and np.allclose(model.bias, bias)
+    got = quality.scores(pa.array(texts), model.leaning(), model.leaning_of_none(), settings)
+    for text, score in zip(texts, got):
+        features = plain_buckets(text, settings)
+        mean = np.mean([vectors[f] for f in features], 0) if features else np.zeros(4)
+        z = mean @ output + bias
+        assert abs(score - np.exp(z[1]) / np.exp(z).sum()) < 1e-9
+
+
 def brute_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -323,6 +513,8 @@ def test_nearest_neighbours_against_brute_force(spark):
         assert all(abs(s - x[v] @ x[q]) < 1e-9 for _, v, s in found)
         hits += len({v for _, v, _ in found} & set(np.argsort(-scores)[:10].tolist()))
     assert hits / (10 * len(got)) >= 0.9
+    sliced = hnsw.nearest(df, df.where("vec_id % 20 = 0"), 10, hnsw.Settings(slice_queries=30))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in sliced.collect()) == sorted((q, f[0], f[1]) for q, found in got.items() for f in found)
     assert hnsw.nearest(df.where("false"), df.where("false"), 10).count() == 0
     assert hnsw.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 10).count() == 2
 
