@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.operators.stage import shared_folder
+
 #: Fixed value: white space that separates words in every word-based operator here.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -24,12 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-lakeops-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/lakeops/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return shared_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,9 +40,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def fresh_name(df: DataFrame) -> str:
-    """A column name that df hasn't got, in whatever case."""
-    taken, name = {c.lower() for c in df.columns}, "_added"
+def fresh_name(df: DataFrame, *others: str) -> str:
+    """A column name that neither df nor others have, in whatever case."""
+    taken, name = {c.lower() for c in (*df.columns, *others)}, "_added"
     while name in taken:
         name += "_"
     return name

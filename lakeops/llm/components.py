@@ -13,8 +13,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links are rewired to ever smaller neighbours, of larger nodes and of smaller ones in turn, until every node hangs on
     the smallest of its component. Minima are pre-aggregated, so a node with any number of links is no burden.
+    Edge cases: a link with a null end, or of a node to itself, is none; repeated links count once; no links give an
+    empty result; other columns are dropped.
     """
-    edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    edges = written(links.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -88,14 +88,15 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     return spark.read.schema(schema).parquet(path)
 
 
-def find(df: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, text_col: str = "text") -> DataFrame:
-    """Adds `secret_spans` to every row. Without a ledger_path a new ledger is begun in the shared folder."""
+def find(df: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+    """Adds `spans_col` to every row. Without a ledger_path a new ledger is begun in the shared folder."""
     ledger = update_ledger(df, ledger_path or scratch(df.sparkSession, "ledger"), rules, rules_version, text_col)
-    rows = df.drop("secret_spans")
-    address, blob = fresh_name(rows), fresh_name(rows) + "_blob"
-    hits = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias("secret_spans"))
+    rows = df.drop(spans_col)
+    address = fresh_name(rows, spans_col)
+    blob = fresh_name(rows, spans_col, address)
+    hits = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans_col))
     joined = rows.withColumn(address, F.sha2(text_or_empty(text_col), 256)).join(hits, F.col(address) == F.col(blob), "left")
-    return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(_SPANS))).drop(address, blob)
+    return joined.withColumn(spans_col, F.coalesce(spans_col, F.array().cast(_SPANS))).drop(address, blob)
 
 
 def listed(spans: Column) -> Column:
