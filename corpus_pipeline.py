@@ -1,7 +1,12 @@
 """From raw documents to token ids, in five stages.
 
 A stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs. All
-but the last return the columns of documents.
+but the last return the columns of documents, further ones of whatever name included.
+
+Edge cases, the same in all stages: null and empty texts are harmless, without partners, passages or secrets, and stay
+as they are; rows without an id stay; rows that repeat an id are judged by their own texts, and stay or go as one where
+their near-duplicate group is decided by id; repeated rows are judged alike; very long texts are taken whole; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from lakeops.llm.common import table, trained_on, written
+from lakeops.llm.common import fresh_name, table, trained_on, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +37,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: secrets are replaced by a mark; every document stays, n_chars follows the text."""
-    found = secrets.find(docs)
-    hit = F.size("secret_spans") > 0
-    text = F.when(hit, secrets.redacted(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
+    spans = fresh_name(docs)
+    found = secrets.find(docs, spans_col=spans)
+    hit = F.size(spans) > 0
+    text = F.when(hit, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
