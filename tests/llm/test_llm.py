@@ -155,7 +155,10 @@ def test_differences_share_an_entry():
     assert met > 300
 
 
-def test_repeats_equal_brute_force(docs):
+@pytest.mark.parametrize("least", [25, 7])
+def test_repeats_equal_brute_force(docs, least):
+    """With two levels of windows, and with four."""
+    assert len(repeats.levels(50, least)) == (2 if least == 25 else 4)
     rows = docs.collect()
     split = [re.findall("[^\x20\x09-\x0d]+", r.text or "") for r in rows]
     first = {}
@@ -172,7 +175,7 @@ def test_repeats_equal_brute_force(docs):
                 keep[k : k + 50] = [False] * 50
         kept = [x for x, y in zip(w, keep, strict=True) if y]
         want.append((r.doc_id, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove(docs, 50).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove(docs, 50, least).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert any(x[2] for x in want)
 
@@ -533,6 +536,13 @@ def test_empty_tables(nothing):
     assert secrets.find(nothing).count() == 0
     assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
     assert jaccard.one_of_each(nothing).columns == nothing.columns
+    spark = nothing.sparkSession
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.score(nothing, *toxicity.model_of(nothing, labels)).count() == 0
+    assert quality.score(nothing, quality.train(nothing, labels)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(pages, path := scratch(spark, "w"))
+    assert warc.resolved(warc.read(spark, path)).count() == 0
 
 
 def test_training_rows_by_crc(spark):
