@@ -60,6 +60,12 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], clause
     return kept.select(*columns)
 
 
+def many_source_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n of the target's rows that more than one source row matches: what a checked merge refuses."""
+    counts = source.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return counts.join(target.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def scd1_merge(dim: DataFrame, src: DataFrame, keys: Sequence[str], tracked: Sequence[str]) -> DataFrame:
     """Changed rows are overwritten, new ones inserted."""
     changed = " OR ".join(f"NOT (t.{c} <=> s.{c})" for c in tracked)

@@ -132,6 +132,11 @@ def m01(s: SparkSession, d: str) -> DataFrame:
     return merge.merge_into(base(s, d), cdc.state_at(orders_log(s, d), 7, KEYS, COLS), KEYS, clauses)
 
 
+@query("M02_assert_single_source_match", f"WITH {LOG_SQL}, {V1} SELECT o_orderkey, count(*) AS n FROM log WHERE version > 1 AND o_orderkey IN (SELECT o_orderkey FROM a) GROUP BY 1 HAVING count(*) > 1")
+def m02(s: SparkSession, d: str) -> DataFrame:
+    return merge.many_source_rows(base(s, d), orders_log(s, d).where("version > 1"), KEYS)
+
+
 SCD1 = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 100000, c_mktsegment FROM customer WHERE c_custkey % 11 = 0"
 
 

@@ -93,6 +93,15 @@ def s18(s: SparkSession, d: str) -> DataFrame:
     return io.listing(s, path).groupBy(status.alias("o_orderstatus")).agg(F.count("*").alias("n_files"), (F.min("length") > 0).alias("sized"))
 
 
+@query("S20_map_source_types", "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(o_totalprice AS DECIMAL(38,6)) AS amount, o_orderstatus AS status, o_orderdate AS at FROM orders")
+def s20(s: SparkSession, d: str) -> DataFrame:
+    """An extract as text, cast by the types that its source declares."""
+    schema = io.map_source_types([("o_orderkey", "bigserial"), ("o_custkey", "integer"), ("price", "numeric(18,2)"), ("amount", "money"), ("status", "varchar(10)"), ("at", "timestamptz")])
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_totalprice", "o_orderstatus", "o_orderdate"]
+    text = table(s, d, "orders").select(*(F.col(c).cast("string").alias(f.name) for c, f in zip(columns, schema, strict=True)))
+    return text.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+
+
 @query("S24_generate_rows", "SELECT range AS id, range % 7 AS bucket, CASE WHEN range % 10 < 6 THEN 'A' WHEN range % 10 < 9 THEN 'B' ELSE 'C' END AS kind FROM range((SELECT count(*) FROM orders))")
 def s24(s: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
