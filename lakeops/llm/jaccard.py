@@ -9,10 +9,11 @@ a prefix with one more than a partner may spoil is indexed; where a set has too
 the units of further ways to deal the classes. Tokens that no other set has count in the prefix but aren't indexed.
 
 Sets that share an entry are each compared exactly with the entry's smallest set, the pivot, which is enough where they
-are all linked. Where they aren't, the differences from the pivot are joined instead of the sets: linked sets of
-different components must share so many tokens of their differences that a short prefix of these is indexed, and what
-a set has more and less than the pivot bounds the overlap besides. Pairs that are left are compared, too, so that no
-link between different texts is lost. Equal sets are one node from the start.
+are all linked. Where they aren't, differences from the pivot stand for the sets: what a set has more and less than the
+pivot bounds its overlap with the pivot's other sets, and linked sets of different components must share so many tokens
+of their differences that short prefixes of these meet. Sets alike in their numbers are one profile, profiles are paired
+first, and a pair is looked at with its smallest common pivot only. The differences of what is left are compared, which
+is as exact as comparing the sets, so no link between different texts is lost. Equal sets are one node from the start.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; a null id takes no part and has no component; rows that repeat an
@@ -258,8 +259,8 @@ def marked(whole: DataFrame, shared: DataFrame) -> DataFrame:
     return whole.join(known, "key").select("key", F.col("sample").alias("tokens"), "known").mapInArrow(run, "key long, tokens binary, known binary")
 
 
-def difference_prefix(x: np.ndarray, known_x: np.ndarray, r: np.ndarray, known_r: np.ndarray, linked: bool, s: Similarity) -> np.ndarray:
-    """Of what a set x and its pivot r don't share, the tokens of which any set that is linked with x, but lies in another component, must have one in its own prefix.
+def difference(x: np.ndarray, known_x: np.ndarray, r: np.ndarray, known_r: np.ndarray, linked: bool, s: Similarity) -> tuple[np.ndarray, int]:
+    """What a set x and its pivot r don't share and other sets may, in order; and how many of these come first in a prefix of which any set that is linked with x, but lies in another component, must have one in its own prefix.
 
     Linked sets share at least t tokens of their differences. Where x is linked with the pivot, the other isn't, so its
     difference has more than (100-p)/(100+p) of its and the pivot's size; else the shared tokens are no more than the
@@ -271,17 +272,17 @@ def difference_prefix(x: np.ndarray, known_x: np.ndarray, r: np.ndarray, known_r
     apart, small, large = len(x) - len(r) + 2 * int(less.sum()), 100 - s.percent, 100 + s.percent
     least = (large * apart + small * (len(r) - len(x))) // (2 * large) + 1 if linked else -(-(large * apart - small * (len(x) + len(r))) // 200)
     tokens = np.concatenate([more, r[less & known_r], r[less & ~known_r]])
-    return tokens[: max(0, len(tokens) - max(1, least) + 1)]
+    return tokens, max(0, len(tokens) - max(1, least) + 1)
 
 
-_TRIED = "a long, b long, linked boolean, n long, more long, less long, alone long, prefix binary"
+_TRIED = "a long, b long, linked boolean, n long, more long, less long, alone long, front int, tokens array<bigint>"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
-    """a, b, linked of distinct pairs of keys, by their whole sets; and of a: its size, how many tokens it has more and less than b and how many alone, and entries of its difference from b."""
+    """a, b, linked of distinct pairs of keys, by their whole sets; and of a: its size, how many tokens it has more and less than b and how many alone, and the tokens of its difference from b, `front` of them in its prefix."""
     side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"set_{c}"), F.col("known").alias(f"known_{c}"))
     found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "known_a", "set_b", "known_b")
-    names, types = [x.split()[0] for x in _TRIED.split(", ")], [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
+    names, types = [x.split()[0] for x in _TRIED.split(", ")], [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -291,38 +292,43 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
                 known_x, known_y = (np.unpackbits(np.frombuffer(k.as_buffer(), np.uint8), count=len(t)).astype(bool) for k, t in ((known_x, x), (known_y, y)))
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 linked = s.alike(both, len(x), len(y))
-                entries = mixed(difference_prefix(x, known_x, y, known_y, linked, s) ^ mixed(np.array([b.as_py()], np.int64).view(np.uint64)))
-                rows.append((a.as_py(), b.as_py(), linked, len(x), len(x) - both, len(y) - both, len(x) - int(known_x.sum()), entries.tobytes()))
+                tokens, front = difference(x, known_x, y, known_y, linked, s)
+                rows.append((a.as_py(), b.as_py(), linked, len(x), len(x) - both, len(y) - both, len(x) - int(known_x.sum()), front, tokens.view(np.int64) if front else []))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
 
     return found.mapInArrow(run, _TRIED)
 
 
-def open_pairs(tried: DataFrame, labels: DataFrame, s: Similarity) -> DataFrame:
-    """Pairs (a, b) of sets of one pivot that lie in different components and may be linked for all that the comparisons with the pivot tell.
+def further_links(tried: DataFrame, labels: DataFrame, s: Similarity) -> DataFrame:
+    """Links (a, b) between sets of one pivot that lie in different components.
 
-    They share an entry of their differences. Against the pivot a set has `more` tokens, `alone` of which no other set
-    has, and lacks `less`: two sets share at most the smaller number of more - alone, and of less; what is then left of
-    both is how far they are apart at least.
+    Against the pivot a set has `more` tokens, `alone` of which no other set has, and lacks `less`. Two sets share at most
+    the smaller number of more - alone, and of less; what is then left of both is how far they are apart at least.
+    Profiles of sets that are near enough by this are paired, then their sets whose prefixes meet; the tokens that both
+    differences hold tell exactly how far two sets are apart. What holds with one common pivot holds with all, so a pair
+    is looked at once.
     """
-    members = tried.withColumnRenamed("a", "key").join(labels.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    several = members.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("b")
-    members = members.where(F.octet_length("prefix") > 0).join(several, "b", "left_semi").select("key", "c", "n", "more", "less", "alone", "prefix")
-    names = ["entry", "key", "c", "n", "more", "less", "alone"]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
-            of = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])), *(batch.column(c).take(pa.array(of)) for c in range(6))], names)
-
-    entries = written(members.mapInArrow(spread, ", ".join(f"{c} long" for c in names)), "differences")
-    x, y = (entries.select("entry", *(F.col(c).alias(f"{c}_{side}") for c in names[1:])) for side in "xy")
-    shared = F.least(*(F.col(f"more_{side}") - F.col(f"alone_{side}") for side in "xy")) + F.least("less_x", "less_y")
-    apart = F.col("more_x") + F.col("less_x") + F.col("more_y") + F.col("less_y") - 2 * shared
-    near = ((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n_x") + F.col("n_y"))) & (100 * F.least("n_x", "n_y") >= s.percent * F.greatest("n_x", "n_y"))
-    pairs = x.join(y, "entry").where((F.col("key_x") > F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & near)
-    return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+    members = tried.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.struct("n", "more", "less", "alone").alias("profile"), "front", "tokens")
+    members = members.join(labels.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    several = members.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("pivot")
+    pivots = tried.groupBy(F.col("a").alias("key")).agg(F.sort_array(F.collect_set("b")).alias("pivots"))
+    members = written(members.where("front > 0").join(several, "pivot", "left_semi").join(pivots, "key"), "members")
+    profiles = written(members.groupBy("pivot", "profile").agg(F.min("c").alias("low"), F.max("c").alias("high")), "profiles")
+    x, y = (profiles.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("profile", "low", "high"))) for side in "xy")
+    of = lambda name, side: F.col(f"profile_{side}.{name}")
+    sizes = of("n", "x"), of("n", "y")
+    differ = of("more", "x") + of("less", "x") + of("more", "y") + of("less", "y")
+    near = lambda shared: (100 + s.percent) * (differ - 2 * shared) <= (100 - s.percent) * (sizes[0] + sizes[1])
+    at_most = F.least(*(of("more", side) - of("alone", side) for side in "xy")) + F.least(*(of("less", side) for side in "xy"))
+    several = (F.col("low_x") != F.col("high_x")) | (F.col("low_y") != F.col("high_y")) | (F.col("low_x") != F.col("low_y"))
+    close = x.join(y, "pivot").where((F.col("profile_x") <= F.col("profile_y")) & several & near(at_most) & (100 * F.least(*sizes) >= s.percent * F.greatest(*sizes))).select("pivot", "profile_x", "profile_y")
+    left, right = (members.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("profile", "key", "c", "front", "tokens", "pivots"))) for side in "xy")
+    once = (F.col("profile_x") != F.col("profile_y")) | (F.col("key_x") > F.col("key_y"))
+    smallest = F.array_min(F.array_intersect("pivots_x", "pivots_y")) == F.col("pivot")
+    meet = F.arrays_overlap(F.slice("tokens_x", 1, F.col("front_x")), F.slice("tokens_y", 1, F.col("front_y")))
+    alike = near(F.size(F.array_intersect("tokens_x", "tokens_y")))
+    pairs = close.join(left, ["pivot", "profile_x"]).join(right, ["pivot", "profile_y"]).where((F.col("c_x") != F.col("c_y")) & once & smallest & meet & alike)
+    return pairs.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b"))
 
 
 def of_one_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -348,7 +354,7 @@ def linked_components(docs: DataFrame, s: Similarity = Similarity(), id_col: str
     tried = written(verified(stars(written(indexed(shared, s), "index")), sets_of, s), "tried")
     links = tried.where("linked").select("a", "b").union(of_one_id(real.select("id", "n", "print"), nodes))
     labels = written(components(links), "components")
-    more = written(verified(written(open_pairs(tried, labels, s), "open"), sets_of, s).where("linked").select("a", "b"), "more")
+    more = written(further_links(tried, labels, s), "more")
     if not more.isEmpty():
         labels = written(components(links.union(more)), "components")
     of = nodes.select("key", "id", "n", "print", "copied").join(labels.select(F.col("node").alias("key"), "component"), "key", "left").where(F.col("copied") | F.col("component").isNotNull())

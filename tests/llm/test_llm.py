@@ -150,8 +150,10 @@ def test_differences_share_an_entry():
         met += 1
         known = np.unique(np.concatenate([np.intersect1d(a, b), np.intersect1d(a, pivot), np.intersect1d(b, pivot), r.choice(np.r_[a, b], 3)]))
         marks = {id(x): np.isin(x, known) for x in (a, b, pivot)}
-        prefixes = [jaccard.difference_prefix(x, marks[id(x)], pivot, marks[id(pivot)], alike(x, pivot), s) for x in (a, b)]
-        assert len(np.intersect1d(*prefixes))
+        found = [jaccard.difference(x, marks[id(x)], pivot, marks[id(pivot)], alike(x, pivot), s) for x in (a, b)]
+        assert len(np.intersect1d(*(tokens[:front] for tokens, front in found)))
+        apart = sum(len(np.setxor1d(x, pivot)) for x in (a, b)) - 2 * len(np.intersect1d(*(tokens for tokens, _ in found)))
+        assert apart == len(np.setxor1d(a, b))
     assert met > 300
 
 
