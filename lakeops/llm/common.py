@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +29,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_folder(spark, name)
 
 
+#: Octets of an Arrow batch while intermediate results are written.
+BATCH_OCTETS = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send texts to Python in batches of BATCH_OCTETS, so that the buffers on both sides stay small."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_OCTETS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
