@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lakeops.llm.common import fresh_name, hashed_words, mixed, partitions, sliced, window_hashes, written
 from lakeops.llm.components import components
-from lakeops.llm.repeats import _rows, only, packed
+from lakeops.llm.repeats import _rows, _slot, filter_of, packed, passing
 
 #: Sets that have a token from which on it is frequent.
 FREQUENT = 16
@@ -143,15 +143,16 @@ def enough(s: Similarity) -> Column:
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, s: Similarity) -> DataFrame:
-    """(key, n, sample) with all tokens of the sets of some nodes (key, id, n, print), one row each."""
+    """(key, n, sample) with all tokens of the sets of some nodes (key, id, n, print), one row each. Texts of other ids leave before their sets are made, in the same pass, so that a task has one Python worker."""
+    sent = filter_of(nodes.select("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(passing(b, sent.value) for b in batches):
             sets = [t.tobytes() for t in shingles(batch.column(1), s.words)]
             columns = [batch.column(0), pa.array([len(t) // 8 for t in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in sets], pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "print", "sample"])
 
-    sets = only(texts, nodes, "id").mapInArrow(run, "id long, n long, print binary, sample binary")
+    sets = texts.where("id IS NOT NULL").select("id", "text", _slot("id").alias("slot")).mapInArrow(run, "id long, n long, print binary, sample binary")
     return sets.join(nodes, ["id", "n", "print"]).select("key", "n", "sample").dropDuplicates(["key"])
 
 

@@ -21,7 +21,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import mixed, partitions, sliced, split_words, window_hashes, word_hashes, written
@@ -134,25 +135,37 @@ def first_owner(source: DataFrame, windows: Windows) -> DataFrame:
     return dealt.mapInArrow(receive, "owner long, hashes binary")
 
 
-def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs without most of the rows whose id isn't among ids: a filter of fixed size, broadcast, with false positives."""
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
+def _slot(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
+
+
+def filter_of(ids: DataFrame) -> Broadcast:
+    """Bits of the slots of the ids of a one-column table: a filter of fixed size, broadcast, with false positives."""
+    spark, slot = ids.sparkSession, _slot(ids.columns[0])
     words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words.toLocalIterator():
         bits[row["w"]] = row["bits"]
-    sent = spark.sparkContext.broadcast(bits.view(np.uint64))
+    return spark.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def passing(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch, whose last column is the slot, that pass the filter; without that column."""
+    s = batch.column(batch.num_columns - 1).to_numpy()
+    keep = (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
+    return batch.filter(pa.array(keep.astype(bool))).select(list(range(batch.num_columns - 1)))
+
+
+def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without most of the rows whose id isn't among ids (a one-column table)."""
+    sent = filter_of(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy()
-            keep = (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(keep.astype(bool))).select(list(range(batch.num_columns - 1)))
+            yield passing(batch, sent.value)
 
     source = docs.where(F.col(id_col).isNotNull())
-    return source.withColumn("_slot", slot).mapInArrow(run, source.schema)
+    return source.withColumn("_slot", _slot(id_col)).mapInArrow(run, source.schema)
 
 
 def remove(docs: DataFrame, length: int = 50, first: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
