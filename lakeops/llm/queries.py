@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, decontaminate, hnsw, jaccard, quality, repeats, secrets, token_files, toxicity, warc
+from lakeops.llm import bpe, decontaminate, hnsw, jaccard, prefix_trie, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -82,6 +82,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.measured(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), parts=5, most=9))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +130,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
                CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN l USING (doc_id)""",
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (
+            SELECT c, c - c % 5 AS b, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+                       list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda x: [x, 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda crc, x: xor(xor(crc, x) >> 1, CASE WHEN xor(crc, x) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 9 AS h
+            FROM (SELECT c, count(*) AS n FROM t GROUP BY 1)),
+        s AS (SELECT h.*, least(h.h, coalesce(o.n, 0)) AS lent FROM h LEFT JOIN h o ON o.c = h.b),
+        r AS (
+            SELECT s.c, t.place - s.h + s.lent AS d, t.role, t.text FROM s JOIN t ON t.c = s.c WHERE t.place > s.h
+            UNION ALL SELECT s.c, t.place, t.role, t.text FROM s JOIN t ON t.c = s.b WHERE t.place <= s.h),
+        p AS (
+            SELECT c, d, octet_length(encode(text)) AS bytes, list([role, text]) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM r
+            UNION ALL SELECT c, 0, 0, [] FROM s),
+        e AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+        n AS (
+            SELECT path, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM e GROUP BY path),
+        k AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]),
+        c AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY 1, 2),
+        f AS (SELECT k.*, coalesce(c.n_children, 0) AS n_children FROM k LEFT JOIN c USING (conv_id, depth)),
+        g AS (
+            SELECT a.path, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.saved) AS saved_tokens
+            FROM f JOIN p a ON a.c = f.conv_id AND a.d <= f.depth GROUP BY a.path)
+        SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent_conv_id, f.n_convs, f.n_children, g.n_leaves, CAST(g.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM f JOIN g USING (path)""",
 }
