@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import bpe, decontaminate, hnsw, jaccard, prefix_trie, quality, repeats, secrets, token_files, toxicity, warc
+from lakeops.llm import alignment, bpe, decontaminate, hnsw, jaccard, prefix_trie, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.measured(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), parts=5, most=9))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
+    "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
 }
 

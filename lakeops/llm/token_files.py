@@ -87,13 +87,14 @@ class PerfectHash:
 
 
 class LibraryEncoder:
-    """Packed ids by the tokenizers library. Distinct chunks are encoded many in a call, with a space before each: they hold no other, so a token that begins with a space begins a chunk."""
+    """Packed ids by the tokenizers library. Distinct chunks are encoded many in a call, with a space before each: they hold no other, so a token that begins with a space begins a chunk. plain: strings of special tokens are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain
         self.ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.many = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         self.after_space = Known(self.many_after_space)
