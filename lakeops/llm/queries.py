@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import alignment, bpe, decontaminate, hnsw, jaccard, prefix_trie, quality, repeats, secrets, token_files, toxicity, warc
+from lakeops.llm import alignment, bpe, decontaminate, hnsw, jaccard, pii, prefix_trie, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, table, trained_on
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.measured(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), parts=5, most=9))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("pii_spans", lambda s: s["base"] == 1)
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -104,6 +112,7 @@ QUERIES = {
     "op10_repeats": op10_repeats,
     "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
