@@ -177,7 +177,7 @@ def _expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 #: Rows of documents, then one of their batch; a row of a task's vector at its end.
-_PARTS = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, links binary, sizes binary, pairs binary, docs binary, ids array<long>, counts array<long>"
+_PARTS = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, links binary, sizes binary, pairs binary, docs binary, same binary, ids array<long>, counts array<long>"
 _DOC = ["batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "words"]
 
 
@@ -235,7 +235,9 @@ def _batch(found: Aligner, batch: int, ids: pa.Array, texts: pa.Array, vector: n
         },
         schema,
     )
-    yield _parts({"batch": pa.array([batch]), "links": binaries([pairs[link].astype("<i8").tobytes()]), "sizes": binaries([got.n_links.astype("<i4").tobytes()]), "pairs": binaries([pairs[~same].astype("<i8").tobytes()]), "docs": binaries([docs[~same].astype("<i8").tobytes()])}, schema)
+    place = np.where(same, np.cumsum(same) - 1 + np.count_nonzero(~same), np.cumsum(~same) - 1)  # pairs of the identity map come last
+    packed = {"links": place[link].astype("<i4"), "sizes": got.n_links.astype("<i4"), "pairs": pairs[~same].astype("<i8"), "docs": docs[~same].astype("<i8"), "same": pairs[same].astype("<i8")}
+    yield _parts({"batch": pa.array([batch]), **{c: binaries([x.tobytes()]) for c, x in packed.items()}}, schema)
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", octets: int = 4 << 20) -> DataFrame:
@@ -313,7 +315,8 @@ def summed(parts: DataFrame, counts: PairCounts) -> DataFrame:
         order = np.argsort(pairs)
         pairs, found = pairs[order], found[order]
         row = told.filter(pc.is_valid(told["links"])).slice(0, 1).to_pylist()[0]
-        links, sizes = np.frombuffer(row["links"], "<i8"), np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        named = np.r_[np.frombuffer(row["pairs"], "<i8"), np.frombuffer(row["same"], "<i8")]
+        links, sizes = named[np.frombuffer(row["links"], "<i4")], np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         count = found[np.searchsorted(pairs, links)] if len(links) else np.zeros(0, np.int64)
         word = np.repeat(np.arange(len(sizes)), sizes)
         sums = np.zeros(len(sizes), np.int64)
@@ -327,7 +330,8 @@ def summed(parts: DataFrame, counts: PairCounts) -> DataFrame:
     batches = parts.where("links IS NOT NULL")
     questions = batches.select("batch", "pairs").mapInArrow(asked, "batch long, a long, b long")
     none = F.lit(None)
-    answers = questions.join(counts.others, ["a", "b"]).select("batch", "a", "b", "n", none.cast("binary").alias("links"), none.cast("binary").alias("sizes"))
-    tables = batches.select("batch", *(none.cast("long").alias(c) for c in ("a", "b", "n")), "links", "sizes")
+    packed = ["links", "sizes", "pairs", "same"]
+    answers = questions.join(counts.others, ["a", "b"]).select("batch", "a", "b", "n", *(none.cast("binary").alias(c) for c in packed))
+    tables = batches.select("batch", *(none.cast("long").alias(c) for c in ("a", "b", "n")), *packed)
     out = docs.groupBy("batch").cogroup(answers.unionByName(tables).groupBy("batch")).applyInArrow(told, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

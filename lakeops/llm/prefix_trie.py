@@ -223,9 +223,10 @@ _RUN = "id long, head long, arcs_before long, leaves_before long, saved_before l
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Starts of the few runs that are left."""
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
         return
+    rows = pa.Table.from_batches(held)
     ids, after = rows["id"].to_numpy(), rows["after"].to_numpy()
     order = np.argsort(ids)
     ids, after, values = ids[order], after[order], np.stack([rows[c].to_numpy()[order] for c in _SUMS])
@@ -245,7 +246,7 @@ def ranked(runs: DataFrame, base: int = BASE) -> DataFrame:
     prev = runs.where("after >= 0").select(F.col("after").alias("id"), F.col("id").alias("prev"))
     left = written(runs.join(prev, "id", "left").select("id", "after", F.coalesce("prev", F.lit(-1)).alias("prev"), *_SUMS), "runs")
     gone: list[DataFrame] = []
-    while left.count() > base:
+    while left.count() > max(base, 2):  # the ends of the list never go
         weight = lambda c: F.xxhash64(F.lit(len(gone)), F.col(c))  # noqa: E731, B023
         goes = (F.col("prev") >= 0) & (F.col("after") >= 0) & (weight("id") < weight("prev")) & (weight("id") < weight("after"))
         marked = left.withColumn("goes", goes)
