@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.operators.aggregates import running_sum
-from lakeops.operators.stage import shared_folder, stage_result
+from lakeops.operators.stage import drop_folder, shared_folder, stage_result
+from lakeops.sources.commits import Commits
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,7 @@ def select_files(files: DataFrame, names: Sequence[str] | None = None, pattern:
     return files
 
 
-LEDGER = "file string, tag string, loaded_at timestamp, status string, row_count long, error_count long, load long"
+LEDGER = "file string, tag string, loaded_at timestamp, status string, row_count long, error_count long, load long, part long"
 
 
 def unloaded(files: DataFrame, ledger: DataFrame, at: str, force: bool = False, load_uncertain: bool = False, days: int = 64) -> DataFrame:
@@ -142,48 +144,62 @@ def copy_history(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("status").agg(F.count("*").alias("n_files"), F.sum("row_count").alias("row_count"), F.sum("error_count").alias("error_count"))
 
 
-def copy_into(spark: SparkSession, path: str, fmt: FileFormat, schema: Mapping[str, str], target: str, ledger: str, at: str, policy: str = "CONTINUE", force: bool = False) -> DataFrame:
-    """Loads files that the ledger hasn't got, into load=N below a Parquet folder; then the ledger's rows of load N are written, which commits it. Gives these rows.
+def copy_into(spark: SparkSession, path: str, fmt: FileFormat, schema: Mapping[str, str], target: str, ledger: str, at: str, policy: str = "CONTINUE", force: bool = False, tries: int = 5) -> DataFrame:
+    """Loads files that the ledger hasn't got, into a folder of its own (load=<part>) below a Parquet folder, writes the ledger's rows beside those of other loads, and commits both by taking the next load number. Gives these rows.
 
-    A load that broke off before its commit is written anew under its number; committed() gives the rows of committed
-    loads only. Files from which the policy kept nothing, though they have rows, are LOAD_FAILED and tried again.
+    Of loaders at once one takes a number; the others find it taken, drop what they have written, and begin again with
+    the ledger as it is then, so each file is loaded once and no load is lost. A load that broke off before its commit
+    is never seen: committed() gives the rows of committed loads only. Files from which the policy kept nothing, though
+    they have rows, are LOAD_FAILED and tried again.
     """
-    files = listing(spark, path).select(F.col("path").alias("file"), F.concat_ws("-", "length", "modificationTime").alias("tag"), F.col("modificationTime").alias("modified"))
-    known = _ledger(spark, ledger)
-    load = (known.agg(F.max("load")).first()[0] or 0) + 1
+    commits = Commits(spark, f"{ledger}/commits")
+    files = stage_result(listing(spark, path).select(F.col("path").alias("file"), F.concat_ws("-", "length", "modificationTime").alias("tag"), F.col("modificationTime").alias("modified")), "listing")
+    for _ in range(tries):
+        load, part = commits.latest() + 1, uuid.uuid4().int >> 66  # a long that no other load has
+        entries = _loaded(spark, files, fmt, schema, f"{target}/load={part}", _ledger(spark, ledger), at, policy, force)
+        if entries is None:
+            return spark.createDataFrame([], LEDGER)
+        entries = entries.withColumns({"load": F.lit(load).cast("long"), "part": F.lit(part).cast("long")}).select(*T._parse_datatype_string(LEDGER).names)
+        entries.write.parquet(f"{ledger}/entries/of={part}")
+        if commits.put(load, str(part)):
+            return spark.read.schema(LEDGER).parquet(f"{ledger}/entries/of={part}")
+        for folder in (f"{target}/load={part}", f"{ledger}/entries/of={part}"):
+            drop_folder(spark, folder)
+    raise RuntimeError(f"{tries} other loads came first")
+
+
+def _loaded(spark: SparkSession, files: DataFrame, fmt: FileFormat, schema: Mapping[str, str], target: str, known: DataFrame, at: str, policy: str, force: bool) -> DataFrame | None:
+    """Writes what the policy keeps of the files that are to be loaded; their entries, or None where there are none."""
     todo = stage_result(unloaded(files, known, at, force, load_uncertain=True), "todo")
-    paths = [r["file"] for r in todo.select("file").collect()]  # the reader takes a list of the files to load
+    paths = [r["file"] for r in todo.select("file").collect()]  # Spark's reader takes a list of files from the driver, as it does that of a folder
     if not paths:
-        return spark.createDataFrame([], LEDGER)
+        return None
     text = T.StructType([T.StructField(c, T.StringType()) for c in schema])
     rows = spark.read.format(fmt.kind).options(**fmt.to_spark()).schema(text).load(paths).withColumn("_file", F.input_file_name())
     kept = stage_result(on_error(rows, schema, policy), "kept")
-    kept.drop("_file").write.mode("overwrite").parquet(f"{target}/load={load}")
+    kept.drop("_file").write.parquet(target)
     counts = checked(rows, schema).groupBy("_file").agg(F.count("*").alias("n"), F.count_if(F.size("_errors") > 0).alias("bad"))
     counts = counts.join(kept.groupBy("_file").agg(F.count("*").alias("kept")), "_file", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     status = F.when(F.col("bad") == 0, "LOADED").when(F.col("kept") > 0, "PARTIALLY_LOADED").otherwise("LOAD_FAILED")
     local = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    entries = todo.join(counts, local("file") == local("_file"), "left").select(
+    return todo.join(counts, local("file") == local("_file"), "left").select(
         "file", "tag", F.lit(at).cast("timestamp").alias("loaded_at"), F.coalesce(F.when(F.col("n").isNotNull(), status), F.lit("LOADED")).alias("status"),
-        F.coalesce("kept", F.lit(0)).cast("long").alias("row_count"), F.coalesce("bad", F.lit(0)).cast("long").alias("error_count"), F.lit(load).cast("long").alias("load"),
+        F.coalesce("kept", F.lit(0)).cast("long").alias("row_count"), F.coalesce("bad", F.lit(0)).cast("long").alias("error_count"),
     )
-    entries = stage_result(entries, "entries")
-    entries.write.mode("append").parquet(ledger)
-    return entries
 
 
 def _ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER).parquet(ledger)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Entries of committed loads."""
+    commits = Commits(spark, f"{ledger}/commits")
+    if not commits.latest():
         return spark.createDataFrame([], LEDGER)
+    of = commits.table().select(F.col("text").cast("long").alias("part"))
+    return spark.read.schema(LEDGER).parquet(f"{ledger}/entries").join(of, "part", "left_semi").select(*T._parse_datatype_string(LEDGER).names)
 
 
 def committed(spark: SparkSession, target: str, ledger: str) -> DataFrame:
     """Rows of the loads that the ledger has."""
-    return spark.read.parquet(target).join(_ledger(spark, ledger).select("load").distinct(), "load", "left_semi").drop("load")
+    return spark.read.parquet(target).join(_ledger(spark, ledger).select(F.col("part").alias("load")).distinct(), "load", "left_semi").drop("load")
 
 
 def unload(df: DataFrame, path: str, fmt: str = "parquet", max_file_bytes: int | None = None, single: bool = False, overwrite: bool = False, **options: str) -> None:
