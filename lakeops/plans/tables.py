@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lakeops.operators import cdc, merge
 from lakeops.operators.stage import shared_folder
 from lakeops.plans.changes import COLS, KEYS, V1, V7, base, c01
-from lakeops.plans.inputs import LOG_SQL, orders_log, table
+from lakeops.plans.inputs import LOG_SQL, money, orders_log, table
+from lakeops.plans.loading import arriving
 from lakeops.plans.registry import query
 from lakeops.sources.filetable import FileTable
+from lakeops.streaming import stateful, streams
 
 CUT = "(SELECT max(o_orderkey) * 4 // 5 FROM orders)"
 
@@ -37,3 +39,72 @@ def m11_files(s: SparkSession, d: str) -> DataFrame:
     target = FileTable.create(base(s, d), shared_folder(s, "table"), KEYS, 8)
     target.apply_changes(c01(s, d).where(F.col("o_orderkey") > cut(s, d)))
     return target.read()
+
+
+# States kept by streams.
+
+
+@query("R04_cdc_merge_in_state", f"WITH {LOG_SQL}, {V7} SELECT o_orderkey, o_custkey, o_orderstatus, price FROM b")
+def r04_state(s: SparkSession, d: str) -> DataFrame:
+    """The whole log in three batches that come in the wrong order."""
+    path, out, ck = (shared_folder(s, n) for n in ("feed", "table", "ck"))
+    action = F.when(F.col("op") == "D", "DELETE").otherwise("INSERT").alias("_action")
+    feed = orders_log(s, d).select(action, (F.col("op") == "U").alias("_is_update"), F.col("version").alias("seq"), *KEYS, *COLS)
+    schema, seq = "o_orderkey long, o_custkey long, o_orderstatus string, price decimal(18,2)", F.col("seq")
+    run = lambda p: stateful.cdc_merge(s.readStream.schema(feed.schema).parquet(p), out, schema, KEYS, "seq", ck, 2)
+    arriving(s, feed, [seq > 5, seq <= 2, seq.between(3, 5)], run, path)
+    return stateful.merged(s, out, schema, KEYS)
+
+
+WEEK = 7 * 86400
+
+
+@query("R07_sensor_rollup_in_state", f"""WITH e AS (SELECT user_id, CAST(floor(epoch(ts) / {WEEK}) AS BIGINT) AS week, CAST(value AS DECIMAL(18,2)) AS value FROM events)
+SELECT user_id, week, count(*) AS n, count(value) AS cnt_value, CAST(sum(value) AS DECIMAL(28,2)) AS sum_value, CAST(min(value) AS DECIMAL(28,2)) AS min_value, CAST(max(value) AS DECIMAL(28,2)) AS max_value FROM e GROUP BY 1, 2""")
+def r07_state(s: SparkSession, d: str) -> DataFrame:
+    """Weekly windows over two batches in order of time; the second changes windows of the first."""
+    path, out, ck = (shared_folder(s, n) for n in ("readings", "rollup", "ck"))
+    rows = readings(s, d)
+    mid = rows.agg(F.expr("CAST((unix_micros(min(ts)) + unix_micros(max(ts))) DIV 2 AS LONG)")).first()[0]
+    keys, measures = {"user_id": "long"}, {"value": "decimal(28,2)"}
+    run = lambda p: stateful.sensor_rollup(s.readStream.schema(rows.schema).parquet(p), out, keys, measures, ck, "ts", "7 days")
+    at = F.unix_micros("ts")
+    arriving(s, rows, [at <= mid, at > mid], run, path)
+    found = stateful.latest(s, out, stateful.rolled_schema(keys, measures, "7 days"), ["user_id", "window_start", "window_end"])
+    return found.select("user_id", F.expr(f"unix_seconds(window_start) DIV {WEEK}").alias("week"), "n", "cnt_value", "sum_value", "min_value", "max_value")
+
+
+def readings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), money("value").alias("value"))
+
+
+QUIET = 3 * 86400
+
+
+@query("R07_quiet_sensors", f"""WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events), n AS (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS next, (SELECT max(us) FROM e) AS top FROM e),
+q AS (SELECT *, coalesce(next - us > {QUIET}000000, us // 1000 + {QUIET}000 + 1 < top // 1000) AS down FROM n)
+SELECT user_id, 'DOWN' AS status, us + {QUIET}000000 AS us FROM q WHERE down UNION ALL SELECT user_id, 'UP', next FROM q WHERE down AND next IS NOT NULL""")
+def r07_quiet(s: SparkSession, d: str) -> DataFrame:
+    """Users of whom nothing came for three days, told by timers in keyed state."""
+    path, out, ck = (shared_folder(s, n) for n in ("readings", "silences", "ck"))
+    rows = readings(s, d)
+    mid = rows.agg(F.expr("CAST((unix_micros(min(ts)) + unix_micros(max(ts))) DIV 2 AS LONG)")).first()[0]
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    run = lambda p: streams.drained(stateful.silences(s.readStream.schema(rows.schema).parquet(p), "user_id", "ts", QUIET), ck, write)
+    at = F.unix_micros("ts")
+    arriving(s, rows, [at <= mid, at > mid], run, path)
+    return s.read.parquet(out).select(F.col("key").alias("user_id"), "status", F.unix_micros("at").alias("us"))
+
+
+@query("R02_row_ingest_stream", "SELECT event_type AS channel, count(*) AS n, sum(event_id) AS ids, max(event_id) AS last FROM events GROUP BY 1")
+def r02_stream(s: SparkSession, d: str) -> DataFrame:
+    """Rows in three batches, of which the last sends some again that were written before, and some twice."""
+    path, out, offsets, ck = (shared_folder(s, n) for n in ("rows", "written", "offsets", "ck"))
+    rows = table(s, d, "events").select(F.col("event_type").alias("channel"), F.col("event_id").cast("long").alias("offset"))
+    top = F.col("offset")
+    half = rows.agg(F.expr("CAST(max(offset) DIV 2 AS LONG)")).first()[0]
+    run = lambda: streams.row_ingest_stream(s.readStream.schema(rows.schema).parquet(path), out, offsets, ck)
+    for part in (rows.where(top <= half), rows.where(top > half).unionByName(rows.where(top % 10 == 0)), rows.where(top % 7 == 0)):
+        part.write.mode("append").parquet(path)
+        run()
+    return s.read.parquet(out).groupBy("channel").agg(F.count("*").alias("n"), F.sum("offset").alias("ids"), F.max("offset").alias("last"))

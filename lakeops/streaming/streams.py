@@ -52,14 +52,13 @@ def ingest_rows(batch: DataFrame, offsets: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def row_ingest_stream(rows: DataFrame, target: str, offsets: str, checkpoint: str) -> StreamingQuery:
-    """Rows of channels with offset tokens, exactly once: data and offsets are written under the batch's number."""
+    """Rows of channels with offset tokens, exactly once: a batch's rows are written under its number, and with them the last offset of every channel, a row each; a repeated batch starts from the offsets of the one before."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = read_table(spark, offsets, "channel string, offset long, batch int").where(F.col("batch") < number)
+        before = latest_state(batch.sparkSession, offsets, "channel string, offset long", number - 1)
         fresh, now = ingest_rows(batch, before)
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        now.write.mode("overwrite").parquet(f"{offsets}/batch={number}")
+        _next_state(before.unionByName(now).groupBy("channel").agg(F.max("offset").alias("offset")), offsets, number)
 
     return drained(rows, checkpoint, write)
 

@@ -4,12 +4,14 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lakeops.operators.merge import Clause, merge_into
 from lakeops.sources import files as io
 from lakeops.sources.commits import Commits
 from lakeops.sources.filetable import FileTable
+from lakeops.streaming import stateful, streams
 
 UPSERT = [Clause("delete", "s.v < 0"), Clause("update"), Clause("insert")]
 
@@ -130,3 +132,108 @@ def test_loads_at_once_lose_nothing_and_load_once(spark, tmp_path):
     rows = io.committed(spark, target, ledger)
     assert sorted(r.k for r in rows.collect()) == sorted([n * 10 + i for n in range(6) for i in range(5)] + [77])
     assert len(list((tmp_path / "t").glob("load=*"))) == 2  # what the others wrote is gone
+
+
+# States kept by streams.
+
+FEED = "_action string, _is_update boolean, k int, v string, seq int"
+
+
+def feed(spark, rows, path, n):
+    spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append" if n else "overwrite").parquet(path)
+
+
+def changes_of(r, n):
+    """Changes of keys in order, and the table that they lead to."""
+    state, rows = {}, []
+    for seq in range(n):
+        k = r.randrange(12)
+        if k in state and r.random() < 0.3:
+            rows.append(("DELETE", False, k, state.pop(k), seq))
+        elif k in state:
+            rows.append(("DELETE", True, k, state[k], seq))
+            state[k] = f"v{seq}"
+            rows.append(("INSERT", True, k, state[k], seq))
+        else:
+            state[k] = f"v{seq}"
+            rows.append(("INSERT", False, k, state[k], seq))
+    return rows, sorted(state.items())
+
+
+def test_changes_in_any_order_end_in_one_state(spark, tmp_path):
+    r = random.Random(4)
+    rows, want = changes_of(r, 80)
+    r.shuffle(rows)
+    path, out, ck = (str(tmp_path / n) for n in ("in", "t", "ck"))
+    for n in range(7):  # compactions at every second batch
+        feed(spark, rows[n::7], path, n)
+        stateful.cdc_merge(spark.readStream.schema(FEED).parquet(path), out, "k int, v string", ["k"], "seq", ck, 2)
+    assert content(stateful.merged(spark, out, "k int, v string", ["k"])) == sorted(want, key=repr)
+    assert {p.name for p in (tmp_path / "t").glob("batch=*")} == {"batch=4", "batch=5", "batch=6"}
+
+
+def test_a_stream_that_broke_off_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    """The sink fails after it has written, so the batch comes again; the state store gives what it gave."""
+    r = random.Random(5)
+    rows, want = changes_of(r, 60)
+    path, out, ck = (str(tmp_path / n) for n in ("in", "t", "ck"))
+    run = lambda: stateful.cdc_merge(spark.readStream.schema(FEED).parquet(path), out, "k int, v string", ["k"], "seq", ck, 2)
+    feed(spark, rows[:30], path, 0)
+    run()
+    feed(spark, rows[30:], path, 1)
+    whole = stateful.latest
+    for number in (1, 2):
+        feed(spark, [("INSERT", False, 100 + number, "x", 1000)], path, number)
+
+        def broken(*args, number=number):
+            raise OSError("no more")
+
+        with monkeypatch.context() as m:
+            m.setattr(DataFrameWriter, "parquet", after(DataFrameWriter.parquet, f"{out}/batch={number}", broken))
+            with pytest.raises(Exception, match="no more"):
+                run()
+        run()
+    assert whole is stateful.latest
+    assert content(stateful.merged(spark, out, "k int, v string", ["k"])) == sorted([*want, (101, "x"), (102, "x")], key=repr)
+
+
+def after(write, path, then):
+    def both(self, at, *args, **kwargs):
+        write(self, at, *args, **kwargs)
+        if at == path:
+            then()
+
+    return both
+
+
+def test_windows_of_time_are_updated_and_closed(spark, tmp_path):
+    path, out, ck = (str(tmp_path / n) for n in ("in", "t", "ck"))
+    shape = "sensor string, at timestamp, v int"
+    batches = [
+        [("a", "2024-01-01 00:10:00", 3), ("a", "2024-01-01 00:50:00", 5), ("b", "2024-01-01 01:10:00", None)],
+        [("a", "2024-01-01 00:20:00", 1), ("b", "2024-01-01 05:00:00", 2)],  # the first is late, but not too late
+        [("a", "2024-01-01 00:30:00", 100), ("a", "2024-01-01 05:01:00", 4)],  # the first is too late
+    ]
+    schema = stateful.rolled_schema({"sensor": "string"}, {"v": "long"}, "1 hour")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "sensor string, at string, v int").withColumn("at", F.col("at").cast("timestamp")).write.mode("append" if n else "overwrite").parquet(path)
+        stateful.sensor_rollup(spark.readStream.schema(shape).parquet(path), out, {"sensor": "string"}, {"v": "long"}, ck, "at", "1 hour", "1 hour")
+    got = stateful.latest(spark, out, schema, ["sensor", "window_start", "window_end"])
+    assert sorted((r.sensor, r.window_start.hour, r.n, r.cnt_v, r.sum_v, r.min_v, r.max_v) for r in got.collect()) == [("a", 0, 3, 3, 9, 1, 5), ("a", 5, 1, 1, 4, 4, 4), ("b", 1, 1, 0, None, None, None), ("b", 5, 1, 1, 2, 2, 2)]
+
+
+def test_keys_that_fall_silent_are_told_once(spark, tmp_path):
+    path, out, ck = (str(tmp_path / n) for n in ("in", "t", "ck"))
+    batches = [
+        [("a", 0), ("a", 50), ("b", 10), ("c", 60), (None, 5)],
+        [("a", 400), ("c", 100)],  # a was down from 150 and is back; b is down from 110
+        [("b", 450), ("d", 460)],
+        [("d", 2000)],  # all others are down
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "sensor string, s long").select("sensor", F.timestamp_seconds("s").alias("at")).write.mode("append" if n else "overwrite").parquet(path)
+        stream = stateful.silences(spark.readStream.schema("sensor string, at timestamp").parquet(path), "sensor", "at", 100)
+        streams.drained(stream, ck, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    got = [(r.key, r.status, r.t) for r in spark.read.parquet(out).select("key", "status", F.unix_seconds("at").alias("t")).collect()]
+    want = [("a", "DOWN", 150), ("a", "UP", 400), ("a", "DOWN", 500), ("b", "DOWN", 110), ("b", "UP", 450), ("b", "DOWN", 550), ("c", "DOWN", 200), ("d", "DOWN", 560), ("d", "UP", 2000), (None, "DOWN", 105)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
