@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.operators import cdc, merge
+from lakeops.operators import cdc, merge, views
 from lakeops.operators.stage import shared_folder
 from lakeops.plans.changes import COLS, KEYS, V1, V7, base, c01
 from lakeops.plans.inputs import LOG_SQL, money, orders_log, table
@@ -108,3 +108,36 @@ def r02_stream(s: SparkSession, d: str) -> DataFrame:
         part.write.mode("append").parquet(path)
         run()
     return s.read.parquet(out).groupBy("channel").agg(F.count("*").alias("n"), F.sum("offset").alias("ids"), F.max("offset").alias("last"))
+
+
+# Views refreshed from deltas.
+
+
+def log_table(s: SparkSession, d: str) -> FileTable:
+    """The state at version 1 in files by key, and then the changes up to version 7."""
+    return FileTable.create(base(s, d), shared_folder(s, "orders"), KEYS, 8)
+
+
+@query("I04_chain_from_deltas", f"""WITH {LOG_SQL}, {V7}, t AS (SELECT o_custkey, CAST(sum(price) AS DECIMAL(28,2)) AS total FROM b GROUP BY 1), v AS (SELECT * FROM t WHERE total > 1000000)
+SELECT c_mktsegment, count(*) AS n, CAST(sum(total) AS DECIMAL(28,2)) AS total FROM v JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def i04_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Totals by customer, the large ones, with their segment, by segment: built at version 1, refreshed by what changed since."""
+    orders = log_table(s, d)
+    customers = FileTable.create(table(s, d, "customer").select("c_custkey", "c_mktsegment"), shared_folder(s, "customers"), ["c_custkey"], 4)
+    steps = {
+        "totals": views.Summed("orders", ("o_custkey",), ("price",)),
+        "vip": views.Filtered("totals", "sum_price > 1000000", {"c_custkey": "o_custkey", "total": "CAST(sum_price AS decimal(28,2))"}),
+        "named": views.Joined("vip", "customers", ("c_custkey",)),
+        "dashboard": views.Summed("named", ("c_mktsegment",), ("total",)),
+    }
+    chain = views.Chain(s, shared_folder(s, "chain"), {"orders": orders, "customers": customers}, steps, 4)
+    orders.apply_changes(c01(s, d))
+    chain.refresh()
+    return chain.read("dashboard").select("c_mktsegment", "n", F.col("sum_total").cast("decimal(28,2)").alias("total"))
+
+
+@query("I01_extremes_and_distinct", f"WITH {LOG_SQL}, {V7} SELECT o_orderstatus, count(*) AS n, count(DISTINCT price) AS n_distinct, min(price) AS least, max(price) AS most FROM b GROUP BY 1")
+def i01_extremes(s: SparkSession, d: str) -> DataFrame:
+    view = views.ExtremesView.create(base(s, d), shared_folder(s, "extremes"), ["o_orderstatus"], "price", 4)
+    view.apply(views.signed(c01(s, d)))
+    return view.read()

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,12 @@ from lakeops.operators.stage import stage_result
 from lakeops.sources.commits import Commits
 
 
+def netted(signed: DataFrame) -> DataFrame:
+    """Rows with _sign, each once with the sum of its signs, without those that cancel."""
+    columns = [c for c in signed.columns if c != "_sign"]
+    return signed.groupBy(*columns).agg(F.sum("_sign").alias("_sign")).where("_sign <> 0")
+
+
 @dataclass(frozen=True)
 class Change:
     """What a change did: the version it made (that it found, if it made none), and how many files it kept, rewrote and added."""
@@ -109,22 +115,36 @@ class FileTable:
         nulls = files.where("n_nulls > 0").join(key.where("at IS NULL"), F.lit(True), "left_semi").select("file")
         return held.union(nulls).distinct()
 
-    def touched(self, changed: DataFrame, version: int | None = None) -> DataFrame:
-        """The files that hold at least one of the changed keys; only keys of files in range are read."""
+    def _alike(self, changed: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column]:
+        """The distinct keys of a change under other names, and the condition that a row has them, nulls alike."""
+        mine = changed.select(*(F.col(k).alias(f"_{n}") for n, k in enumerate(on))).distinct()
+        return mine, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(on)))
+
+    def touched(self, changed: DataFrame, version: int | None = None, on: Sequence[str] = ()) -> DataFrame:
+        """The files that hold at least one of the changed keys (or of their first columns, `on`); only keys of files in range are read."""
         files = stage_result(self.in_range(self.files(version), changed), "in_range")
         names = [r.file for r in files.collect()]
         if not names:
             return files
-        mine = changed.select(*(F.col(k).alias(f"_{n}") for n, k in enumerate(self.keys))).distinct()
-        alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(self.keys)))
+        mine, alike = self._alike(changed, on or self.keys)
         found = self.spark.read.schema(self.schema).parquet(*names).select(*self.keys, F.col("_metadata.file_path").alias("file")).join(mine, alike, "left_semi")
         return stage_result(found.select("file").distinct(), "touched")
 
-    def rows_with(self, changed: DataFrame, version: int | None = None) -> DataFrame:
-        """The table's rows that have one of the changed keys, read from the files that hold them."""
-        mine = changed.select(*(F.col(k).alias(f"_{n}") for n, k in enumerate(self.keys))).distinct()
-        alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(self.keys)))
-        return self.rows_of(self.touched(changed, version)).join(mine, alike, "left_semi")
+    def rows_with(self, changed: DataFrame, version: int | None = None, on: Sequence[str] = ()) -> DataFrame:
+        """The table's rows that have one of the changed keys (or of their first columns, `on`), read from the files that hold them."""
+        mine, alike = self._alike(changed, on or self.keys)
+        return self.rows_of(self.touched(changed, version, on)).join(mine, alike, "left_semi")
+
+    def delta(self, old: int, new: int) -> DataFrame:
+        """What came and went between two versions: rows with how many more of each there are (_sign, below 0 for fewer). Only files that one of them hasn't got are read."""
+        a, b = self.files(old).select("file"), self.files(new).select("file")
+        gone, came = self.rows_of(a.join(b, "file", "left_anti")), self.rows_of(b.join(a, "file", "left_anti"))
+        return netted(gone.withColumn("_sign", F.lit(-1).cast("long")).unionByName(came.withColumn("_sign", F.lit(1).cast("long"))))
+
+    def restore(self, version: int) -> None:
+        """Makes an earlier version the last one again."""
+        if not self.commits.put(self.commits.latest() + 1, self.commits.text(version).split("\n")[0] + "\n"):
+            raise RuntimeError(f"another change of {self.path} came first")
 
     def rewrite(self, changed: DataFrame, make: Callable[[DataFrame], DataFrame], note: str = "", tries: int = 5) -> Change:
         """Replaces the files that hold a changed key by what `make` makes of their rows. note: if a commit has it already, nothing is done."""

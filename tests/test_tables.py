@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from lakeops.operators import views
 from lakeops.operators.merge import Clause, merge_into
 from lakeops.sources import files as io
 from lakeops.sources.commits import Commits
@@ -237,3 +238,130 @@ def test_keys_that_fall_silent_are_told_once(spark, tmp_path):
     got = [(r.key, r.status, r.t) for r in spark.read.parquet(out).select("key", "status", F.unix_seconds("at").alias("t")).collect()]
     want = [("a", "DOWN", 150), ("a", "UP", 400), ("a", "DOWN", 500), ("b", "DOWN", 110), ("b", "UP", 450), ("b", "DOWN", 550), ("c", "DOWN", 200), ("d", "DOWN", 560), ("d", "UP", 2000), (None, "DOWN", 105)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+# Views refreshed from deltas.
+
+
+def random_delta(r, rows, n):
+    """Some of the rows taken away and some new ones, and the rows after it."""
+    gone = r.sample(rows, min(len(rows), n))
+    new = [(r.choice(["a", "b", "c", None]), r.choice([None, *range(8)])) for _ in range(n)]
+    left = list(rows)
+    for x in gone:
+        left.remove(x)
+    return [(*x, -1) for x in gone] + [(*x, 1) for x in new], left + new
+
+
+def extremes(rows):
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    out = []
+    for k, vs in groups.items():
+        some = [v for v in vs if v is not None]
+        out.append((k, len(vs), len(set(some)), min(some, default=None), max(some, default=None)))
+    return sorted(out, key=repr)
+
+
+def test_extremes_and_distinct_values_follow_deltas(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(8)])) for _ in range(25)]
+    view = views.ExtremesView.create(spark.createDataFrame(rows, "k string, v int"), str(tmp_path / "v"), ["k"], "v", 2)
+    assert content(view.read()) == extremes(rows)
+    for n in (3, 12, 6):
+        before = content(view.read())
+        changes, rows = random_delta(r, rows, n)
+        delta = view.apply(spark.createDataFrame(changes, "k string, v int, _sign long"))
+        assert content(view.read()) == extremes(rows)
+        signs = {tuple(x[:-1]): x[-1] for x in map(tuple, delta.collect())}
+        assert sorted([x for x in before if signs.get(x) != -1] + [x for x, s in signs.items() if s == 1], key=repr) == extremes(rows)
+    view.apply(spark.createDataFrame([(*x, -1) for x in rows], "k string, v int, _sign long"))
+    assert content(view.read()) == []
+
+
+def test_taking_away_what_is_not_there_is_refused(spark, tmp_path):
+    view = views.ExtremesView.create(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "v"), ["k"], "v")
+    with pytest.raises(Exception, match="taken away more often"):
+        view.apply(spark.createDataFrame([("a", 2, -1)], "k string, v int, _sign long"))
+
+
+def test_only_groups_that_lost_their_extreme_are_read_again(spark, tmp_path, monkeypatch):
+    rows = [(k, v) for k in "abcd" for v in range(10)]
+    view = views.ExtremesView.create(spark.createDataFrame(rows, "k string, v int"), str(tmp_path / "v"), ["k"], "v", 4)
+    again = []
+    whole = FileTable.rows_with
+    monkeypatch.setattr(FileTable, "rows_with", lambda self, changed, version=None, on=(): (again.extend(x.k for x in changed.select("k").collect()) if on else None) or whole(self, changed, version, on))
+    view.apply(spark.createDataFrame([("a", 9, -1), ("b", 5, -1), ("c", 42, 1)], "k string, v int, _sign long"))
+    assert again == ["a"]
+    assert content(view.read()) == [("a", 9, 9, 0, 8), ("b", 9, 9, 0, 9), ("c", 11, 11, 0, 42), ("d", 10, 10, 0, 9)]
+
+
+STEPS = {
+    "sums": views.Summed("orders", ("c",), ("v",)),
+    "large": views.Filtered("sums", "sum_v > 20", {"c": "c", "total": "sum_v"}),
+    "named": views.Joined("large", "customers", ("c",)),
+    "by_city": views.Summed("named", ("city",), ("total",)),
+    "range": views.Extremes("named", ("city",), "total"),
+    "top": views.Computed(("by_city",), lambda t: t.orderBy(F.desc("sum_total"), "city").limit(1), ("city",)),
+}
+
+
+def chain_of(spark, tmp_path, name="chain"):
+    orders = FileTable.create(spark.range(200).select(F.col("id").alias("o"), (F.col("id") % 20).alias("c"), (F.col("id") % 7).cast("int").alias("v")), str(tmp_path / f"{name}-o"), ["o"], 5)
+    customers = FileTable.create(spark.range(20).select(F.col("id").alias("c"), F.concat(F.lit("city "), F.col("id") % 3).alias("city")), str(tmp_path / f"{name}-c"), ["c"], 2)
+    return orders, customers, views.Chain(spark, str(tmp_path / name), {"orders": orders, "customers": customers}, STEPS, 3)
+
+
+def recomputed(orders, customers):
+    """All steps by plain queries."""
+    sums = orders.read().groupBy("c").agg(F.sum("v").alias("total")).where("total > 20")
+    named = sums.join(customers.read(), "c")
+    city = named.groupBy("city").agg(F.count("*").alias("n"), F.sum("total").alias("s"), F.count_distinct("total").alias("d"), F.min("total").alias("lo"), F.max("total").alias("hi"))
+    return sorted((r.city, r.n, r.s, r.d, r.lo, r.hi) for r in city.collect())
+
+
+def kept(chain):
+    sums = {r.city: (r.n, r.sum_total) for r in chain.read("by_city").collect()}
+    ends = {r.city: (r.n_distinct, r.least, r.most) for r in chain.read("range").collect()}
+    assert [tuple(r)[:3] for r in chain.read("top").collect()] == sorted(((c, *x) for c, x in sums.items()), key=lambda x: (-x[2], x[0]))[:1]
+    return sorted((c, *x, *ends[c]) for c, x in sums.items())
+
+
+def test_a_chain_refreshed_from_deltas_equals_recomputation(spark, tmp_path):
+    orders, customers, chain = chain_of(spark, tmp_path)
+    assert kept(chain) == recomputed(orders, customers)
+    orders.merge(spark.createDataFrame([(7, 7, 60), (300, 8, 5), (11, 0, -1)], "o long, c long, v int"), [Clause("delete", "s.v < 0"), Clause("update"), Clause("insert")])
+    customers.merge(spark.createDataFrame([(3, "elsewhere")], "c long, city string"), [Clause("update")])
+    stale = kept(chain)
+    assert stale != recomputed(orders, customers)
+    how = chain.refresh()
+    assert how == {**dict.fromkeys(STEPS, "delta"), "top": "made anew"}
+    assert kept(chain) == recomputed(orders, customers)
+    assert set(chain.refresh().values()) == {"unchanged"}
+
+
+def test_a_refresh_touches_the_files_of_changed_groups_only(spark, tmp_path):
+    orders, _, chain = chain_of(spark, tmp_path)
+    sums = chain.views["sums"].table
+    before = names(sums)
+    orders.merge(spark.createDataFrame([(4, 4, 1)], "o long, c long, v int"), [Clause("update")])
+    chain.refresh()
+    gone = set(before) - set(names(sums))
+    assert len(before) == 3 and [before[f][0] <= 4 <= before[f][1] for f in gone] == [True]
+
+
+def test_a_refresh_that_broke_off_is_begun_anew(spark, tmp_path, monkeypatch):
+    orders, customers, chain = chain_of(spark, tmp_path)
+    orders.merge(spark.createDataFrame([(7, 7, 60)], "o long, c long, v int"), [Clause("update")])
+
+    def broken(self, delta):
+        raise OSError("no more")
+
+    with monkeypatch.context() as m:
+        m.setattr(views.ExtremesView, "apply", broken)
+        with pytest.raises(OSError, match="no more"):
+            chain.refresh()
+    orders.merge(spark.createDataFrame([(8, 8, 70)], "o long, c long, v int"), [Clause("update")])
+    chain.refresh()
+    assert kept(chain) == recomputed(orders, customers)
