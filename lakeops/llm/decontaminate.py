@@ -3,15 +3,18 @@
 Item-sized windows of the texts are embedded by a random walk that reads a string and moves on, or stays, by a random
 bit of each character and step (CGK); strings at a small edit distance then differ in few places. A window is walked
 from the words in it: an item has one walk per word, and a text's walk from a word serves all windows, of whatever
-size, that hold this word at the item's place. Each repetition walks anew and samples a few places as a key; equal keys
-make candidates, and as many repetitions are made as the wanted recall takes for the item with the fewest words.
-Candidates are verified exactly, by the smallest edit distance between the item and any part of its window.
+size, that hold this word at the item's place. In a run of more than _UNSPACED letters, as scripts without spaces have
+them, a walk begins at each letter. Each repetition walks anew and samples a few places as a key; equal keys make
+candidates, and as many repetitions are made as the wanted recall takes for the item of the whole benchmark that has the
+fewest walks. Candidates whose surroundings are unlike the item's at every small shift are left out, and the others are
+verified exactly, by the smallest edit distance between the item and any part of its window.
 
-Texts are compared as words in lower case joined by single spaces. There is no other gate: every word of every text is
-walked. Items too short for a walk are scanned for in every text, bit-parallel, which is exact.
+Texts are compared as words in lower case joined by single spaces; every word of every text is walked. Items too short
+for a walk are scanned for in every text, bit-parallel, which is exact.
 
-The benchmark is taken in blocks of a bounded number of characters; each block is sent to all tasks, and rows pass all
-blocks one after the other, so the result doesn't depend on the blocks.
+The benchmark is taken in blocks of a bounded number of characters. A block is sent to all tasks, and what it leaves is
+written before the next, so that one block is held at a time; all blocks are walked alike, so the result doesn't depend
+on them.
 
 Edge cases: null and empty texts hold nothing; items without words and null items are left out; items that share an id
 are each looked for and reported by it; a document shorter than an item may hold it within the allowed edits; null ids
@@ -32,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import sliced
+from lakeops.llm.common import sliced, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """edits: largest edit distance per character of an item. steps, places: length of a walk, 60 at most, and places sampled per key, one in each equal part of it. agreement, recall: share of the words of a passage, with as many edits as allowed, whose keys agree (measured), and the wanted recall. block_chars: characters of items sent to the tasks at once."""
+    """edits: largest edit distance per character of an item. steps, places: length of a walk, 60 at most, and places sampled per key, one in each equal part of it. agreement, recall: share of the walks of a passage, with as many edits as allowed, whose keys agree (measured, of items of 12 words), and the wanted recall. block_chars: characters of items sent to the tasks at once."""
 
     edits: float = 0.2
-    steps: int = 40
-    places: int = 14
-    agreement: float = 0.06
+    steps: int = 30
+    places: int = 10
+    agreement: float = 0.04
     recall: float = 0.98
     block_chars: int = 4_000_000
     seed: int = 5
@@ -167,6 +170,15 @@ class Walks:
         return key.view(np.uint64), at
 
 
+#: Letters in a row beyond which a walk begins at each, as in scripts without spaces.
+_UNSPACED = 20
+
+#: Characters beside a walk that are compared, how far they may be shifted, and the share of them that must be alike.
+_BESIDE, _SHIFT, _ALIKE = 24, 2, 0.45
+
+#: Bits of a place in a batch of texts.
+_PLACE = 36
+
 #: Starts that are walked together, so that they stay in a core's cache.
 _TOGETHER = 1 << 15
 
@@ -174,7 +186,8 @@ _TOGETHER = 1 << 15
 class Benchmark:
     """Walks of the items of a block, to be met by those of texts."""
 
-    def __init__(self, items: list[tuple[int, str]], settings: Settings):
+    def __init__(self, items: list[tuple[int, str]], settings: Settings, fewest: int | None = None):
+        """fewest: walks of the item of the whole benchmark that has the fewest; of these items by default."""
         self.settings = settings
         self.ids, self.texts, self.short = [], [], []
         for item, text in items:
@@ -187,8 +200,9 @@ class Benchmark:
         of = np.searchsorted(ends, starts, "right") - 1
         words = np.bincount(of, minlength=len(self.texts))
         long = np.array([len(t) >= settings.steps for t in self.texts], bool)  # shorter ones have hardly a walk that ends in them
-        self.short = np.flatnonzero(~long).tolist()
-        self.walks = Walks(settings, settings.repetitions(int(words[long].min())) if long.any() else 0)
+        self.short, self.counts = np.flatnonzero(~long).tolist(), words[long]
+        self.codes, self.begins, self.sizes = codes, ends[:-1] + 1, np.array([len(t) for t in self.texts], np.int64)
+        self.walks = Walks(settings, settings.repetitions(fewest or int(words[long].min())) if long.any() else 0)
         self.tables = []
         for r in range(len(self.walks.rounds)):
             key, last = self.walks.keys(r, codes, starts)
@@ -200,14 +214,43 @@ class Benchmark:
             sieve[self.sifted(key, bits)] = True
             self.tables.append((key, item, offset, sieve, bits))
 
+    def resembles(self, codes: np.ndarray, start: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Which candidates are worth an exact look: on one side of the agreeing walk's start, or beyond it, enough characters are those of the item, at one of a few shifts. Sides of which the item has too little pass."""
+        out = np.zeros(len(start), bool)
+        at = self.begins[item] + offset
+        for side in (-_BESIDE, self.settings.steps // 2):
+            low, high = offset + side, offset + side + _BESIDE
+            short = (low < 0) | (high > self.sizes[item])
+            out |= short & (np.minimum(high, self.sizes[item]) - np.maximum(low, 0) < _BESIDE // 2)
+            todo = np.flatnonzero(~out)
+            for k in range(0, len(todo), 1 << 14):
+                part = todo[k : k + (1 << 14)]
+                wanted = self.codes[np.clip(at[part, None] + side + np.arange(_BESIDE), 0, len(self.codes) - 1)]
+                inside = (np.arange(_BESIDE) + low[part, None] >= 0) & (np.arange(_BESIDE) + low[part, None] < self.sizes[item[part], None])
+                need = _ALIKE * inside.sum(axis=1)
+                text = codes[np.clip(start[part, None] + side - _SHIFT + np.arange(_BESIDE + 2 * _SHIFT), 0, len(codes) - 1)]
+                best = np.zeros(len(part))
+                for shift in range(2 * _SHIFT + 1):
+                    best = np.maximum(best, ((text[:, shift : shift + _BESIDE] == wanted) & inside).sum(axis=1))
+                out[part] |= best >= need
+        return out
+
     @staticmethod
     def sifted(key: np.ndarray, bits: int) -> np.ndarray:
         return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
 
+    @staticmethod
+    def numbers_of_walks(texts: list[str | None], settings: Settings) -> list[int]:
+        """Walks of each text that is long enough for one."""
+        return Benchmark(list(enumerate(texts)), settings, 1 << 30).counts.tolist()
+
     def walked(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One byte per character, 0 for the space, with room for walks past the end; and where words start."""
         codes = np.where(points == 32, 0, points % 255 + 1).astype(np.uint8)
-        starts = np.flatnonzero((codes[1:] != 0) & (codes[:-1] == 0)) + 1
+        gaps = np.flatnonzero(codes == 0)
+        sizes = np.diff(np.r_[gaps, len(codes)]) - 1
+        each = np.where(sizes > _UNSPACED, sizes, np.minimum(sizes, 1))
+        starts = np.repeat(gaps + 1 - (np.cumsum(each) - each), each) + np.arange(each.sum())
         return np.r_[codes, np.zeros(self.settings.steps + 1, np.uint8)], starts
 
     def matches(self, texts: list[str | None], first_only: bool = False) -> list[set[int]]:
@@ -215,7 +258,7 @@ class Benchmark:
         found: list[set[int]] = [set() for _ in texts]
         points, ends = folded(texts)
         codes, starts = self.walked(points)
-        candidates = [np.zeros((0, 3), np.int64)]
+        candidates = [np.zeros(0, np.int64)]
         for k in range(0, len(starts), _TOGETHER):
             part = starts[k : k + _TOGETHER]
             near, shift = codes[part[0] : part[-1] + self.settings.steps + 1], part[0]
@@ -226,9 +269,14 @@ class Benchmark:
                 n = high - low
                 entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                 start = np.repeat(part[hit], n)
-                candidates.append(np.c_[item[entry], np.searchsorted(ends, start, "right") - 1, start - offset[entry]])
-        item, text, begin = np.unique(np.concatenate(candidates), axis=0).T
-        for i, windows in self.joined(text, item, begin):
+                if len(start):
+                    fits = self.resembles(codes, start, item[entry], offset[entry])
+                    start, entry = start[fits], entry[fits]
+                own = ends[np.searchsorted(ends, start, "right") - 1]  # a passage may begin before its text
+                candidates.append((item[entry] << _PLACE) | np.maximum(start - offset[entry], own))
+        met = np.sort(np.concatenate(candidates))
+        item, begin = met >> _PLACE, met & ((1 << _PLACE) - 1)
+        for i, windows in self.joined(np.searchsorted(ends, begin, "right") - 1, item, begin):
             wanted = self.texts[i]
             most = int(self.settings.edits * len(wanted))
             windows = [(t, max(ends[t], a - most), min(ends[t + 1], b + len(wanted) + most)) for t, a, b in windows if not (first_only and found[t])]
@@ -253,23 +301,29 @@ class Benchmark:
             yield int(item[first[a]]), joined[a:b]
 
 
-def _blocks(benchmark: DataFrame, settings: Settings, item_col: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about block_chars characters; one block at a time is held."""
+def _blocks(benchmark: DataFrame, settings: Settings, item_col: str, item_text: str) -> Iterator[tuple[list[tuple[int, str]], int | None, bool]]:
+    """Items in blocks of about block_chars characters, the fewest walks of any item, and whether the block is the last; one block at a time is held."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-size // settings.block_chars)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield pa.record_batch({"n": pa.array(Benchmark.numbers_of_walks(batch["text"].to_pylist(), settings), pa.int64())})
+
+    fewest = items.select("text").mapInArrow(counted, "n long").agg(F.min("n")).first()[0]
     blocked = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, n_blocks))).cast("int"))
     for block in range(n_blocks):
-        yield sorted((r["item"], r["text"]) for r in blocked.where(F.col("block") == block).toLocalIterator())
+        yield sorted((r["item"], r["text"]) for r in blocked.where(F.col("block") == block).toLocalIterator()), fewest, block == n_blocks - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, items) of every row: the ids of the benchmark items that its text holds, in order."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<bigint>").alias("items"))
 
-    def with_block(rows: list[tuple[int, str]], kept: DataFrame) -> DataFrame:
+    def with_block(rows: list[tuple[int, str]], fewest: int | None, kept: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Benchmark(rows, settings)
+            block = Benchmark(rows, settings, fewest)
             for batch in sliced(batches):
                 matches = block.matches(batch.column(1).to_pylist())
                 items = [sorted(m | set(old)) for m, old in zip(matches, batch.column(2).to_pylist(), strict=True)]
@@ -277,23 +331,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
         return kept.mapInArrow(run, kept.schema)
 
-    for rows in _blocks(benchmark, settings, item_col, item_text):
-        kept = with_block(rows, kept)
+    for rows, fewest, last in _blocks(benchmark, settings, item_col, item_text):
+        kept = with_block(rows, fewest, kept)
+        kept = kept if last else written(kept, "block")
     return kept.select(F.col("id").alias(id_col), "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that hold no benchmark item, with all their columns; rows don't leave their task."""
 
-    def without(rows: list[tuple[int, str]], docs: DataFrame) -> DataFrame:
+    def without(rows: list[tuple[int, str]], fewest: int | None, docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Benchmark(rows, settings)
+            block = Benchmark(rows, settings, fewest)
             for batch in sliced(batches):
                 matches = block.matches(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), first_only=True)
                 yield batch.filter(pa.array([not m for m in matches], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 
-    for rows in _blocks(benchmark, settings, item_col, item_text):
-        docs = without(rows, docs)
+    for rows, fewest, last in _blocks(benchmark, settings, item_col, item_text):
+        docs = without(rows, fewest, docs)
+        docs = docs if last else written(docs, "block")
     return docs

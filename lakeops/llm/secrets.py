@@ -15,6 +15,7 @@ its result is, which it replaces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,30 +46,68 @@ RULES_VERSION = "base-1"
 _SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of one rule as an array; a text without the hint isn't taken apart."""
+#: Values of an array that are gone through in one go; characters of a block of text.
+_RUN, _BLOCK = 256, 1000
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once: what a lambda takes from outside is made anew for each element otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of numbers from 0 on, all before it combined (sum, greatest), 0 for the first.
+
+    A fold copies what it has made at each step, so runs of _RUN values are folded, and what is known before each run
+    is folded over the runs: the work is that of n * _RUN copies, not of n * n.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def folded(array: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(array, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    zero = F.lit(0).cast("bigint")
+
+    def cut(all_: Column) -> Column:
+        n_runs = F.ceil(F.size(all_) / _RUN).cast("int")
+        return F.when(n_runs > 0, F.transform(F.sequence(F.lit(0), n_runs - 1), lambda k: F.slice(all_, k * _RUN + 1, F.lit(_RUN)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def scanned(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, zero, combine))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), folded(totals, zero).alias("start")), lambda z: folded(z["run"], z["start"])))
+
+    return bound(bound(values, cut), scanned)
+
+
+_PARTS = "array<struct<gap:bigint,hit:bigint,kept:bigint>>"
+
+
+def _parts(text: Column, rule: Rule) -> Column:
+    """Lengths of the gaps and matches of a rule in turn; a text without the hint isn't taken apart."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(text, rule.pattern, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), kept.alias("kept"))
+    sizes = F.transform(parts, lambda x: F.struct(*(F.coalesce(F.length(x[c]), F.lit(-1 if c == "kept" else 0)).cast("bigint").alias(c) for c in ("gap", "hit", "kept"))))
+    return F.when(text.rlike(rule.hint), sizes).otherwise(F.array().cast(_PARTS))
 
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(F.length(part["kept"]) >= rule.least, F.array(span)).otherwise(F.array().cast(_SPANS))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], more).alias("spans"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(_SPANS))
+def _spans(parts: Column, before: Column, rule: Rule, order: int) -> Column:
+    """Spans of one rule, from its parts and what stands before each."""
+    placed = F.arrays_zip(parts.alias("part"), before.alias("before"))
+    hits = F.filter(placed, lambda z: z["part"]["kept"] >= rule.least)
+    begin = lambda z: (z["before"] + z["part"]["gap"]).cast("int")
+    return F.transform(hits, lambda z: F.struct(begin(z).alias("start"), F.lit(order).alias("ord"), (begin(z) + z["part"]["hit"]).cast("int").alias("end"), F.lit(rule.kind).alias("kind")))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, text) -> (blob, spans), by start and then the order of the rules."""
-    columns = [spans_of(F.col("text"), rule, k).alias(f"spans_{k}") for k, rule in enumerate(rules)]
-    found = blobs.select("blob", *columns)
-    return found.select("blob", F.array_sort(F.concat(*(F.col(f"spans_{k}") for k in range(len(rules))))).alias("spans"))
+    numbers = range(len(rules))
+    parts = blobs.select("blob", *(_parts(F.col("text"), rule).alias(f"parts_{k}") for k, rule in enumerate(rules)))
+    sizes = lambda k: F.transform(f"parts_{k}", lambda x: x["gap"] + x["hit"])
+    placed = parts.select("*", *(running(sizes(k), lambda a, b: a + b).alias(f"before_{k}") for k in numbers))
+    found = placed.select("blob", F.concat(*(_spans(F.col(f"parts_{k}"), F.col(f"before_{k}"), rule, k) for k, rule in enumerate(rules))).alias("spans"))
+    return found.select("blob", F.array_sort("spans").cast(_SPANS).alias("spans"))
 
 
 def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, text_col: str = "text") -> DataFrame:
@@ -105,12 +144,19 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span replaced by a mark; spans that overlap become one."""
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        apart = span["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(apart, out).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, init, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with each span (by start) replaced by a mark; spans that overlap become one. The text is cut into blocks once, so that a piece between two spans is looked for in its own blocks only."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    before = running(F.transform(spans, lambda s: s["end"].cast("bigint")), lambda a, b: F.greatest(a, b))
+
+    def joined(cut: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first, last = F.floor(start / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int")
+            held = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+            return F.when(end > start, F.substring(held, (start - first * _BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+        apart = F.filter(F.arrays_zip(spans.alias("span"), before.alias("before")), lambda z: z["span"]["start"] >= z["before"])
+        kept = F.transform(apart, lambda z: F.concat(piece(z["before"], z["span"]["start"]), F.lit(mark)))
+        done = F.array_max(F.transform(spans, lambda s: s["end"])).cast("bigint")
+        return F.concat(F.array_join(kept, ""), piece(done, F.length(text).cast("bigint")))
+
+    return F.when(F.size(spans) > 0, bound(blocks, joined)).otherwise(text)
