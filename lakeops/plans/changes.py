@@ -137,15 +137,15 @@ def m02(s: SparkSession, d: str) -> DataFrame:
     return merge.many_source_rows(base(s, d), orders_log(s, d).where("version > 1"), KEYS)
 
 
-SCD1 = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 100000, c_mktsegment FROM customer WHERE c_custkey % 11 = 0"
+SCD1 = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -1 - c_custkey, c_mktsegment FROM customer WHERE c_custkey % 11 = 0"
 
 
 def days(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """customer on three days: changed and added on the second, some dropped on the third."""
+    """customer on three days: changed and added (keys below 0, which no customer has) on the second, some dropped on the third."""
     k = F.col("c_custkey")
     day1 = table(s, d, "customer").select("c_custkey", "c_mktsegment")
     changed = day1.withColumn("c_mktsegment", F.when(k % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")))
-    day2 = changed.unionByName(day1.where(k % 11 == 0).select((k + 100000).alias("c_custkey"), "c_mktsegment"))
+    day2 = changed.unionByName(day1.where(k % 11 == 0).select((-1 - k).alias("c_custkey"), "c_mktsegment"))
     return day1, day2, day2.where(k % 8 != 0)
 
 
@@ -168,7 +168,7 @@ def m05(s: SparkSession, d: str) -> DataFrame:
 
 
 SCD2 = """day1 AS (SELECT row_number() OVER (ORDER BY c_custkey) AS surrogate_key, c_custkey, c_mktsegment FROM customer),
-new2 AS (SELECT c_custkey, 'MOVED' AS c_mktsegment FROM customer WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'MOVED' UNION ALL SELECT c_custkey + 100000, c_mktsegment FROM customer WHERE c_custkey % 11 = 0),
+new2 AS (SELECT c_custkey, 'MOVED' AS c_mktsegment FROM customer WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'MOVED' UNION ALL SELECT -1 - c_custkey, c_mktsegment FROM customer WHERE c_custkey % 11 = 0),
 v2 AS (SELECT surrogate_key, c_custkey, c_mktsegment, DATE '2025-01-01' AS effective_from, CASE WHEN c_custkey % 5 = 0 THEN DATE '2025-02-28' ELSE DATE '9999-12-31' END AS effective_to, c_custkey % 5 <> 0 AS is_current FROM day1
  UNION ALL SELECT row_number() OVER (ORDER BY c_custkey) + (SELECT max(surrogate_key) FROM day1), c_custkey, c_mktsegment, DATE '2025-03-01', DATE '9999-12-31', true FROM new2)"""
 
@@ -195,7 +195,7 @@ def m11(s: SparkSession, d: str) -> DataFrame:
     return merge.apply_changes(base(s, d), c01(s, d), KEYS)
 
 
-@query("M12_scd0_insert_only", "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 100000, c_mktsegment FROM customer WHERE c_custkey % 11 = 0")
+@query("M12_scd0_insert_only", "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT -1 - c_custkey, c_mktsegment FROM customer WHERE c_custkey % 11 = 0")
 def m12(s: SparkSession, d: str) -> DataFrame:
     day1, day2, _ = days(s, d)
     return cdc.restore_deleted(day1, day2, ["c_custkey"])
