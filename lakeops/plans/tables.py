@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lakeops.operators import cdc, merge, views
 from lakeops.operators.stage import shared_folder
 from lakeops.plans.changes import COLS, KEYS, V1, V7, base, c01
-from lakeops.plans.inputs import LOG_SQL, money, orders_log, table
+from lakeops.plans.inputs import LOG_SQL, money, orders_log, state_sql, table
 from lakeops.plans.loading import arriving
 from lakeops.plans.registry import query
 from lakeops.sources.filetable import FileTable
+from lakeops.sources.history import History
 from lakeops.streaming import stateful, streams
 
 CUT = "(SELECT max(o_orderkey) * 4 // 5 FROM orders)"
@@ -141,3 +142,35 @@ def i01_extremes(s: SparkSession, d: str) -> DataFrame:
     view = views.ExtremesView.create(base(s, d), shared_folder(s, "extremes"), ["o_orderstatus"], "price", 4)
     view.apply(views.signed(c01(s, d)))
     return view.read()
+
+
+# Past states from snapshots.
+
+
+def history(s: SparkSession, d: str) -> History:
+    """The log of orders in ranges of two versions, as it came in three parts."""
+    log, v = orders_log(s, d), F.col("version")
+    kept = History.create(log, shared_folder(s, "history"), KEYS, COLS, 2, 4)
+    for part in (v <= 3, v.between(4, 5), v > 5):
+        kept.append(log.where(part))
+    return kept
+
+
+@query("C12_as_of_snapshots", f"WITH {LOG_SQL}, {state_sql(5, 'x')} SELECT * FROM x")
+def c12_snapshots(s: SparkSession, d: str) -> DataFrame:
+    kept = history(s, d)
+    return kept.as_of(kept.version_at("2024-01-06 12:00:00"))
+
+
+@query("C13_before_statement_snapshots", f"WITH {LOG_SQL}, {state_sql(3, 'x')} SELECT * FROM x")
+def c13_snapshots(s: SparkSession, d: str) -> DataFrame:
+    kept = history(s, d)
+    return kept.as_of(kept.version_before("Q4"))
+
+
+@query("C19_expired_ranges", f"WITH {LOG_SQL}, {state_sql(4, 'x')} SELECT version, o_orderkey, op FROM log WHERE version > 4 UNION ALL SELECT 4, o_orderkey, 'S' FROM x")
+def c19_expired(s: SparkSession, d: str) -> DataFrame:
+    """What is kept for all states from version 5 on: a snapshot and the ranges after it."""
+    kept = history(s, d)
+    kept.expire(5)
+    return kept.log.select("version", "o_orderkey", "op").unionByName(kept.as_of(4).select(F.lit(4).alias("version"), "o_orderkey", F.lit("S").alias("op")))

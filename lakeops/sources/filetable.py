@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lakeops.operators.aggregates import running_sum
 from lakeops.operators.merge import Clause, merge_into
-from lakeops.operators.stage import stage_result
+from lakeops.operators.stage import drop_folder, stage_result
 from lakeops.sources.commits import Commits
 
 
@@ -141,6 +141,30 @@ class FileTable:
         gone, came = self.rows_of(a.join(b, "file", "left_anti")), self.rows_of(b.join(a, "file", "left_anti"))
         return netted(gone.withColumn("_sign", F.lit(-1).cast("long")).unionByName(came.withColumn("_sign", F.lit(1).cast("long"))))
 
+    def mark(self, note: str) -> None:
+        """A version like the last one, with a note."""
+        last = self.commits.latest()
+        if not self.commits.put(last + 1, self.commits.text(last).split("\n")[0] + f"\n{note}"):
+            raise RuntimeError(f"another change of {self.path} came first")
+
+    def expire(self, version: int) -> int:
+        """Forgets the versions before one, and removes the files that only they have; how many."""
+        numbers = self.commits.numbers()
+        old, new = [n for n in numbers if n < version], [n for n in numbers if n >= version]
+        if not old or not new:
+            return 0
+        union = lambda ns: reduce(DataFrame.unionByName, (self.files(n).select("file") for n in ns)).distinct()
+        gone = [r.file for r in union(old).join(union(new), "file", "left_anti").collect()]
+        kept = {self.commits.text(n).split("\n")[0] for n in new}
+        for n in old:
+            name = self.commits.text(n).split("\n")[0]
+            drop_folder(self.spark, f"{self.path}/commits/{n}")
+            if name not in kept:
+                drop_folder(self.spark, f"{self.path}/manifest/{name}")
+        for file in gone:
+            drop_folder(self.spark, file)
+        return len(gone)
+
     def restore(self, version: int) -> None:
         """Makes an earlier version the last one again."""
         if not self.commits.put(self.commits.latest() + 1, self.commits.text(version).split("\n")[0] + "\n"):

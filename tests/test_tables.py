@@ -1,17 +1,19 @@
 """Tables as sets of files, loads at once, kept states and refreshed chains."""
 
 import random
+import re
 import threading
 
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from lakeops.operators import views
+from lakeops.operators import cdc, views
 from lakeops.operators.merge import Clause, merge_into
 from lakeops.sources import files as io
 from lakeops.sources.commits import Commits
 from lakeops.sources.filetable import FileTable
+from lakeops.sources.history import History
 from lakeops.streaming import stateful, streams
 
 UPSERT = [Clause("delete", "s.v < 0"), Clause("update"), Clause("insert")]
@@ -365,3 +367,45 @@ def test_a_refresh_that_broke_off_is_begun_anew(spark, tmp_path, monkeypatch):
     orders.merge(spark.createDataFrame([(8, 8, 70)], "o long, c long, v int"), [Clause("update")])
     chain.refresh()
     assert kept(chain) == recomputed(orders, customers)
+
+
+# Past states from snapshots.
+
+LOG = "version int, ts timestamp, stmt_id string, op string, k long, v string"
+
+
+def random_log(spark, r, versions):
+    rows, live = [], set()
+    for version in versions:
+        for k in r.sample(range(30), r.choice([0, 1, 6])):
+            op = r.choice("UD") if k in live else "I"
+            (live.discard if op == "D" else live.add)(k)
+            rows.append((version, f"2024-01-{version:02} 00:00:00", f"Q{version}", op, k, f"v{version}"))
+    return spark.createDataFrame(rows, LOG.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_past_states_equal_the_whole_log(spark, tmp_path):
+    log = random_log(spark, random.Random(6), range(1, 18)).cache()
+    kept = History.create(log, str(tmp_path / "h"), ["k"], ["v"], 5, 3)
+    for low, high in ((1, 3), (4, 11), (12, 17)):
+        kept.append(log.where(F.col("version").between(low, high)))
+    assert sorted(kept._marks()) == [0, 5, 10, 15]
+    for version in (0, 1, 4, 5, 6, 10, 13, 15, 17, 99):
+        assert content(kept.as_of(version)) == content(cdc.state_at(log, version, ["k"], ["v"])), version
+    plan = kept.as_of(13)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^]]*range#\d+L? >= 2\), \(range#\d+L? <= 2\)", plan)) == 2  # no range before the snapshot at 10, none after 13
+    with pytest.raises(ValueError, match="comes after"):
+        kept.append(log.where("version = 17"))
+    assert kept.expire(12) == [0, 1]
+    for version in (10, 12, 17):
+        assert content(kept.as_of(version)) == content(cdc.state_at(log, version, ["k"], ["v"]))
+    with pytest.raises(ValueError, match="older than what is kept"):
+        kept.as_of(9)
+    assert kept.expire(12) == []
+
+
+def test_a_file_that_two_versions_share_is_kept(spark, target):
+    target.merge(spark.createDataFrame([(5, 50)], "k long, v long"), UPSERT)
+    target.merge(spark.createDataFrame([(995, 50)], "k long, v long"), UPSERT)
+    rows = content(target.read())
+    assert target.expire(3) == 2 and content(target.read()) == rows and target.commits.numbers() == [3]
