@@ -42,7 +42,7 @@ def accumulating_snapshot(events: DataFrame, key: str, kind: str, ts: str, miles
     return events.groupBy(key).agg(*(F.min(F.when(F.col(kind) == m, F.col(ts))).alias(f"{m}_at") for m in milestones))
 
 
-def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """df in order over ranges, written once so that all that follows sees the same ranges: _p, a range's number, and _m, a row's place in it (with gaps between ranges)."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return stage_result(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranged")
@@ -55,7 +55,7 @@ def _before(sizes: DataFrame, measure: str) -> DataFrame:
 
 def surrogate_key(df: DataFrame, order: Sequence[Column], name: str = "sk", start: int = 1, step: int = 1) -> DataFrame:
     """Dense keys in order: rows are sorted by ranges, numbered within each range, and moved on by the sizes of the ranges before. No task sees all rows."""
-    ordered = _ranged(df, order)
+    ordered = ranged(df, order)
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     offsets = _before(sizes, "_n").select("_p", "_first", "_before")
     return ordered.join(offsets, "_p").withColumn(name, (F.col("_m") - F.col("_first") + F.col("_before")) * step + start).drop("_p", "_m", "_first", "_before")
@@ -63,7 +63,7 @@ def surrogate_key(df: DataFrame, order: Sequence[Column], name: str = "sk", star
 
 def running_sum(df: DataFrame, order: Sequence[Column], measures: Sequence[str]) -> DataFrame:
     """Adds to each measure m the sum of m over this row and all before it, as sum_m: within ranges by a window, over ranges by their sums. The order should end in a tie-break."""
-    ordered = _ranged(df, order)
+    ordered = ranged(df, order)
     sizes = ordered.groupBy("_p").agg(*(F.sum(m).alias(f"_s_{m}") for m in measures))
     for m in measures:
         sizes = _before(sizes, f"_s_{m}").withColumnRenamed("_before", f"_b_{m}").drop(f"_s_{m}")

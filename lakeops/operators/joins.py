@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeops.operators.aggregates import ranged
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Conjunction of null-safe equalities; still an equi-join."""
@@ -49,6 +51,32 @@ def join_as_of(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: s
     return fact.join(d, (fact[key] == d["_key"]) & (fact[ts] >= d[valid_from]) & (fact[ts] < d[valid_to]), how).drop("_key")
 
 
+def join_as_of_sorted(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: str, valid_to: str | None = None, how: str = "left") -> DataFrame:
+    """Each fact row with the dimension's last version of its key that begins at or before ts and, with valid_to, ends after it; without one nulls, or no row if how is inner.
+
+    Both sides stand in one order of key and time, cut into ranges; a version is carried on over the rows that follow
+    it, and over the ranges that its key goes on in. So work grows with the rows of both sides, not with facts times
+    versions of a key, and a key with any number of rows is spread over ranges. Of versions of a key that begin at once
+    the one that ends last counts. A fact without key or time has no version. The dimension's columns but the key are
+    added; their names must not be those of the fact.
+    """
+    added = [c for c in dim.columns if c != key]
+    end = [F.col(valid_to).asc_nulls_first()] if valid_to else []
+    sides = dim.where(F.col(key).isNotNull() & F.col(valid_from).isNotNull()).select(F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.lit(0).alias("_kind"), F.struct(*added).alias("_version"), *([F.col(valid_to).alias("_end")] if end else []))
+    rows = fact.select(F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.struct("*").alias("_fact"))
+    order = [F.col("_key"), F.col("_at"), F.col("_kind"), *([F.col("_end").asc_nulls_first()] if end else [])]
+    ordered = ranged(sides.unionByName(rows, allowMissingColumns=True), order)
+    so_far = Window.partitionBy("_p", "_key").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ordered.withColumn("_version", F.last("_version", ignorenulls=True).over(so_far)).where("_kind = 1")
+    ranges = ordered.groupBy("_key", "_p").agg(F.max_by("_version", F.when(F.col("_kind") == 0, F.col("_m"))).alias("_last"))  # a row for each key, and one more for each range it goes on in
+    earlier = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("_key", "_p", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where("_carried IS NOT NULL")
+    found = inside.join(carried, ["_key", "_p"], "left").withColumn("_version", F.coalesce("_version", "_carried"))
+    holds = F.col("_version").isNotNull() & F.col("_at").isNotNull() & (F.coalesce(F.col("_at") < F.col(f"_version.{valid_to}"), F.col(f"_version.{valid_to}").isNull()) if valid_to else F.lit(True))
+    found = found.withColumn("_version", F.when(holds, F.col("_version")))
+    return (found.where("_version IS NOT NULL") if how == "inner" else found).select("_fact.*", *(F.col(f"_version.{c}").alias(c) for c in added))
+
+
 def preaggregated(fact: DataFrame, dim: DataFrame, key: str, *measures: Column) -> DataFrame:
     """Aggregates the fact to the grain of the join first; the join then moves one row per key."""
     return fact.groupBy(key).agg(*measures).join(dim, key)

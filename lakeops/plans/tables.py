@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.operators import cdc, merge, views
-from lakeops.operators.stage import shared_folder
+from lakeops.operators import cdc, joins, layout, merge, views
+from lakeops.operators.stage import shared_folder, stage_result
 from lakeops.plans.changes import COLS, KEYS, V1, V7, base, c01
 from lakeops.plans.inputs import LOG_SQL, money, orders_log, state_sql, table
 from lakeops.plans.loading import arriving
@@ -174,3 +174,35 @@ def c19_expired(s: SparkSession, d: str) -> DataFrame:
     kept = history(s, d)
     kept.expire(5)
     return kept.log.select("version", "o_orderkey", "op").unionByName(kept.as_of(4).select(F.lit(4).alias("version"), "o_orderkey", F.lit("S").alias("op")))
+
+
+# Joins in order, and layouts by several columns.
+
+
+@query("J10_as_of_sorted", """WITH v AS (SELECT user_id, ts, max(event_id) AS last_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2)
+SELECT e.event_id, v.last_id FROM events e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""")
+def j10_sorted(s: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's last event of one type: as many versions as there are such events."""
+    e = table(s, d, "events")
+    kind = e.agg(F.min("event_type")).first()[0]
+    versions = e.where(F.col("event_type") == kind).groupBy("user_id", F.col("ts").alias("since")).agg(F.max("event_id").alias("last_id"))
+    return joins.join_as_of_sorted(e.select("event_id", "user_id", "ts"), versions, "user_id", "ts", "since").select("event_id", "last_id")
+
+
+@query("L01_interleaved_layout", "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, true AS shallower, true AS reads_fewer FROM lineitem")
+def l01_interleaved(s: SparkSession, d: str) -> DataFrame:
+    """Order lines by part and day in 16 files, in order of both columns one after the other and of both at once: the second column's depth, and the files that a range of it needs."""
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("day"))
+    plain, woven = shared_folder(s, "plain"), shared_folder(s, "woven")
+    lines.repartitionByRange(16, "l_partkey", "day").sortWithinPartitions("l_partkey", "day").write.parquet(plain)
+    layout.cluster_write_interleaved(lines, woven, ["l_partkey", "day"], 16)
+    ends = lines.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    found = {}
+    for path in (plain, woven):
+        zones = stage_result(layout.zone_map(s.read.parquet(path), ["day"]), "zones")
+        depth = layout.clustering_information(zones).select("average_depth")
+        kept = layout.prune_estimate(zones, "day", ends.low, ends.low + (ends.high - ends.low) / 8).select("kept_files")
+        found[path] = depth.crossJoin(kept)  # one row each
+    both = found[plain].select(F.col("average_depth").alias("d1"), F.col("kept_files").alias("k1")).crossJoin(found[woven])
+    sums = s.read.parquet(woven).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    return sums.crossJoin(both).select("n", "keys", (F.col("average_depth") < F.col("d1")).alias("shallower"), (F.col("kept_files") < F.col("k1")).alias("reads_fewer"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from lakeops.operators import cdc, views
+from lakeops.operators import cdc, joins, layout, views
 from lakeops.operators.merge import Clause, merge_into
 from lakeops.sources import files as io
 from lakeops.sources.commits import Commits
@@ -409,3 +409,47 @@ def test_a_file_that_two_versions_share_is_kept(spark, target):
     target.merge(spark.createDataFrame([(995, 50)], "k long, v long"), UPSERT)
     rows = content(target.read())
     assert target.expire(3) == 2 and content(target.read()) == rows and target.commits.numbers() == [3]
+
+
+# Joins in order, and layouts by several columns.
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_as_of_join_equals_brute_force(spark, parts):
+    """One key has most of the rows, so that it goes on over ranges; ties, gaps, nulls, and facts before any version."""
+    r = random.Random(parts)
+    key = lambda: r.choice(["hot"] * 8 + ["a", "b", None])
+    facts = [(n, key(), r.choice([None, *range(60)])) for n in range(300)]
+    dims = [(key(), r.choice([None, *range(60)]), r.choice([None, *range(20, 80)]), n) for n in range(40)]
+    f = spark.createDataFrame(facts, "f int, k string, t int")
+    d = spark.createDataFrame(dims, "k string, since int, until int, v int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = content(joins.join_as_of_sorted(f, d, "k", "t", "since", "until"))
+        kept = content(joins.join_as_of_sorted(f, d, "k", "t", "since", "until", how="inner"))
+        open_ended = content(joins.join_as_of_sorted(f, d.drop("until"), "k", "t", "since").select("f", "since"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = []
+    for n, k, t in facts:
+        mine = [x for x in dims if x[0] == k is not None and x[1] is not None and t is not None and x[1] <= t]
+        last = max((x[1] for x in mine), default=None)
+        ends = {(x[2] is not None, x[2] or 0) for x in mine if x[1] == last}
+        best = [x for x in mine if x[1] == last and (x[2] is not None, x[2] or 0) == max(ends)]
+        want.append((n, k, t, [x[1:] for x in best if x[2] is None or t < x[2]]))
+    assert [x[0] for x in sorted(got)] == [w[0] for w in want]
+    for x, (_, _, _, choices) in zip(sorted(got), want, strict=True):
+        assert x[3:] in choices if choices else x[3:] == (None, None, None)
+    assert kept == [x for x in got if x[5] is not None]
+    assert {n: s for n, s in open_ended} == {n: max((x[1] for x in dims if x[0] == k is not None and x[1] is not None and t is not None and x[1] <= t), default=None) for n, k, t in facts}
+
+
+def test_bits_are_interleaved_by_rank(spark):
+    df = spark.createDataFrame([(a * a * a, b) for a in range(16) for b in range(16)] + [(None, 3)], "a long, b int")
+    got = {(x.a, x.b): x.z for x in df.select("a", "b", layout.interleaved(df, ["a", "b"], 4).alias("z")).collect()}
+    assert got[None, 3] == min(z for (a, b), z in got.items() if b == 3)
+    a_rank = {a: sorted({x for x, _ in got if x is not None}).index(a) for a, _ in got if a is not None}
+    quarter = lambda i, j: [z for (a, b), z in got.items() if a is not None and a_rank[a] // 8 == i and b // 8 == j]
+    assert max(quarter(0, 0)) < min(quarter(1, 1))
+    assert len({z for (a, _), z in got.items() if a is not None}) >= 200
