@@ -114,6 +114,60 @@ def lookup(spark: SparkSession, path: str, values: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("value").isin(list(values)))
 
 
+#: Bits of a bitmap of Spark's bitmap functions.
+_BITS = 32_768
+
+
+def _bloom_places(value: Column, buckets: int, hashes: int) -> tuple[Column, Column]:
+    """The bitmap of a value, and its bits there."""
+    text = value.cast("string")
+    bits = F.array(*(F.pmod(F.xxhash64(F.lit(k), text), F.lit(_BITS)) for k in range(hashes)))
+    return F.pmod(F.xxhash64(F.lit(-1), text), F.lit(buckets)).cast("int"), bits
+
+
+def bloom_index(df: DataFrame, value: Column, file: Column, buckets: int, hashes: int = 5) -> DataFrame:
+    """file, bucket, bits: a Bloom filter of each file's values, as many bitmaps as there are buckets. About 6,000 distinct values a bitmap give one false file in a hundred.
+
+    A filter is an aggregate of bits, so it is made where the rows are, and filters of parts of a file are merged with bitmap_or_agg.
+    """
+    bucket, bits = _bloom_places(value, buckets, hashes)
+    rows = df.where(value.isNotNull()).select(file.alias("file"), bucket.alias("bucket"), F.explode(bits).alias("bit"))
+    return rows.groupBy("file", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def bloom_files(index: DataFrame, values: Sequence[object], buckets: int, hashes: int = 5) -> DataFrame:
+    """value, file: the files that may hold each of some values; none that holds it is missing. Only their bitmaps are read."""
+    bucket, bits = _bloom_places(F.col("value"), buckets, hashes)
+    wanted = index.sparkSession.createDataFrame([(str(v),) for v in dict.fromkeys(values)], "value string").select("value", bucket.alias("bucket"), bits.alias("wanted"))
+    near = index.where(F.col("bucket").isin([r.bucket for r in wanted.select("bucket").distinct().collect()]))  # of the values asked for
+    octet = lambda at: F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = near.join(F.broadcast(wanted), "bucket").where(F.forall("wanted", lambda at: F.getbit(octet(at), (at % 8).cast("int")) == 1))
+    return held.select("value", "file")
+
+
+def extend_bloom(spark: SparkSession, path: str, index_path: str, column: str, buckets: int, hashes: int = 5) -> int:
+    """Adds the files of a Parquet folder that the stored index hasn't got; how many. Files that it has aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
+    local = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    try:
+        files = files.join(spark.read.parquet(index_path).select(local("file").alias("_file")).distinct(), local("file") == F.col("_file"), "left_anti")
+    except Exception as e:  # no index yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    names = [r.file for r in files.collect()]  # Spark's reader takes the names from the driver
+    if names:
+        bloom_index(spark.read.parquet(*names), F.col(column), F.col("_metadata.file_path"), buckets, hashes).sortWithinPartitions("bucket").write.mode("append").parquet(index_path)
+    return len(names)
+
+
+def rows_by_bloom(spark: SparkSession, index_path: str, column: str, values: Sequence[object], buckets: int, hashes: int = 5) -> DataFrame:
+    """The rows that have one of the values, read from the files that may hold it; files that don't give no row."""
+    names = [r.file for r in bloom_files(spark.read.parquet(index_path), values, buckets, hashes).select("file").distinct().collect()]
+    if not names:
+        raise LookupError("no file may hold these values")
+    return spark.read.parquet(*names).where(F.col(column).isin(list(values)))
+
+
 def trigram_index(df: DataFrame, column: str, key: str) -> DataFrame:
     """Access path for LIKE '%x%': which rows hold a run of three characters."""
     text = F.lower(column)

@@ -206,3 +206,15 @@ def l01_interleaved(s: SparkSession, d: str) -> DataFrame:
     both = found[plain].select(F.col("average_depth").alias("d1"), F.col("kept_files").alias("k1")).crossJoin(found[woven])
     sums = s.read.parquet(woven).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
     return sums.crossJoin(both).select("n", "keys", (F.col("average_depth") < F.col("d1")).alias("shallower"), (F.col("kept_files") < F.col("k1")).alias("reads_fewer"))
+
+
+@query("L07_bloom_files", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT min(l_partkey) FROM lineitem UNION ALL SELECT max(l_partkey) FROM lineitem UNION ALL SELECT -5)")
+def l07_bloom(s: SparkSession, d: str) -> DataFrame:
+    """Order lines of three parts, one of which there is not, by Bloom filters of files that came in two loads; the second load's files alone are read for their filters."""
+    path, index = shared_folder(s, "lines"), shared_folder(s, "bloom")
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    ends = lines.agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")).first()
+    for part in (F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 2 == 1):
+        lines.where(part).repartitionByRange(6, "l_partkey").write.mode("append").parquet(path)
+        layout.extend_bloom(s, path, index, "l_partkey", 4)
+    return layout.rows_by_bloom(s, index, "l_partkey", [ends.low, ends.high, -5], 4)

@@ -453,3 +453,25 @@ def test_bits_are_interleaved_by_rank(spark):
     quarter = lambda i, j: [z for (a, b), z in got.items() if a is not None and a_rank[a] // 8 == i and b // 8 == j]
     assert max(quarter(0, 0)) < min(quarter(1, 1))
     assert len({z for (a, _), z in got.items() if a is not None}) >= 200
+
+
+def test_bloom_filters_miss_no_file_and_few_are_wrong(spark, tmp_path):
+    path, index = str(tmp_path / "d"), str(tmp_path / "i")
+    rows = spark.range(4000).select((F.col("id") * 7).alias("v"), F.lit(1).alias("x"))
+    rows.where("v < 14000").repartitionByRange(5, "v").write.parquet(path)
+    assert layout.extend_bloom(spark, path, index, "v", 2) == 5
+    rows.where("v >= 14000").repartitionByRange(5, "v").write.mode("append").parquet(path)
+    assert layout.extend_bloom(spark, path, index, "v", 2) == 5
+    assert layout.extend_bloom(spark, path, index, "v", 2) == 0
+    values = [*range(0, 28000, 700), *range(1, 28000, 700)]  # the first are there, the others aren't
+    found = {}
+    for r in layout.bloom_files(spark.read.parquet(index), values, 2).collect():
+        found.setdefault(int(r.value), set()).add(r.file.rsplit("/", 1)[1])
+    held = {}
+    for r in spark.read.parquet(path).where(F.col("v").isin(values)).select("v", F.input_file_name().alias("f")).collect():
+        held.setdefault(r.v, set()).add(r.f.rsplit("/", 1)[1])
+    assert all(held[v] <= found[v] for v in held) and len(held) == 40
+    assert sum(len(f - held.get(v, set())) for v, f in found.items()) <= 8  # of 80 * 10
+    assert sorted(r.v for r in layout.rows_by_bloom(spark, index, "v", [700, 1401, 27300], 2).collect()) == [700, 27300]
+    merged = spark.read.parquet(index).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("file", F.lit("all"))
+    assert {int(r.value) for r in layout.bloom_files(merged, values, 2).collect()} >= set(held)
