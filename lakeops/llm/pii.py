@@ -178,6 +178,8 @@ def _named(text: str, cut: list[tuple[int, int]], at: int, first: int, last: int
     start, end = cut[first][0], cut[last][1]
     before, after = text[start : cut[at][0]], text[cut[at][1] : end]
     name, domain = before.rstrip(" \t[({<"), after.lstrip(" \t])}>")
+    if before[-1:].isspace() and after[:1].isspace() and re.search(r"\.\s|\s\.", domain):  # a word between words, and the end of a sentence
+        return []
     labels = re.split(r"\s*[\[({<]?\s*(?:\bdot\b|\.)\s*[\])}>]?\s*", domain.lower())
     if not name or len(labels) < 2 or not all(re.fullmatch(r"[a-z0-9-]+", x) for x in labels) or not all(c in _LOCAL for c in name):
         return []

@@ -71,6 +71,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(base, 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
 
 
+def ledger_of_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the documents against one ledger: blobs of each, and how many of them were scanned."""
+    path = scratch(spark, "ledger")
+    first = table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" token=abcdef123"))).otherwise(F.col("text"))
+    rows, before = [], 0
+    for version, docs in enumerate((first, first.withColumn("text", changed)), 1):
+        known = secrets.update_ledger(docs, path).count()
+        rows.append((version, docs.select(F.coalesce("text", F.lit(""))).distinct().count(), known - before))
+        before = known
+    return spark.createDataFrame(rows, "version int, blobs long, scanned long")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(trained_on(F.col("doc_id"))))
@@ -113,6 +126,7 @@ QUERIES = {
     "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_personal_data": op13_personal_data,
+    "ledger_of_versions": ledger_of_versions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,6 +138,11 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
         FROM o""",
+    "ledger_of_versions": """
+        WITH a AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+        b AS (SELECT DISTINCT CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' token=abcdef123' ELSE coalesce(text, '') END AS t FROM documents)
+        SELECT 1 AS version, count(*) AS blobs, count(*) AS scanned FROM a
+        UNION ALL SELECT 2, count(*), count(*) FILTER (t NOT IN (SELECT t FROM a)) FROM b""",
     "op8_secrets": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         r AS (SELECT * FROM (VALUES

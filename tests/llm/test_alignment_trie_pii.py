@@ -284,7 +284,7 @@ def weights(spark):
         ("call me (152) 555-8590 now", "phone:(152) 555-8590"), ("mail bob.smith at mail2 dot example dot com please", "email:bob.smith at mail2 dot example dot com"),
         ("mail bob [at] example.com ok", "email:bob [at] example.com"), ("see 10[.]2[.]3[.]4 here", "ip:10[.]2[.]3[.]4"), ("card 4610.5689.0197.0798 ok", "card:4610.5689.0197.0798"),
         ("card 4610.5689.0197.0799 ok", None), ("on 2024-01-15 at 10:30", None), ("version 1.2.3 of it", None), ("id 1234567890 of it", None), ("we met at noon. it was hot", None), ("pi is 3.14159265", None),
-        ("300[.]2[.]3[.]4 is none", None), ("sum of 1,234,567,890 in all", None),
+        ("300[.]2[.]3[.]4 is none", None), ("we are at erre. Tintea. Of", None), ("see 42.73.240.87 4495589438270767 now", "card:4495589438270767"), ("sum of 1,234,567,890 in all", None),
     ],
 )
 def test_other_ways_to_write(weights, text, span):
@@ -297,7 +297,8 @@ def test_clean_documents_are_left_alone(spark, weights):
     assert len(found) == docs.count()
     for r in found:
         assert [(s.start, s.end, s.kind) for s in r.pii_spans if s.base] == brute_spans(r.text or "")
-    assert sum(not s.base for r in found for s in r.pii_spans) <= 2
+    added = {r.text[s.start : s.end] for r in found for s in r.pii_spans if not s.base}
+    assert added <= {"4465758382889437"}  # twice with a space between, which the base rule takes for one number
 
 
 def test_personal_data_of_a_hostile_table(spark, weights):

@@ -76,3 +76,26 @@ def test_overlapping_spans_become_one_mark(spark):
             at = max(at, b)
         df = spark.createDataFrame([(text, [(a, 0, b, "x") for a, b in spans])], "text string, spans array<struct<start:int,ord:int,end:int,kind:string>>")
         assert df.select(secrets.redacted(F.col("text"), F.col("spans"))).first()[0] == "".join([*out, text[at:]])
+
+
+def test_a_second_version_scans_what_is_new(spark):
+    import duckdb
+
+    from lakeops.llm.queries import ORACLE_SQL, ledger_of_versions
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = sorted(map(tuple, ledger_of_versions(spark, "/root/testdata/sf0.001").collect()))
+    assert got == sorted(con.sql(ORACLE_SQL["ledger_of_versions"]).fetchall()) and 0 < got[1][2] < got[1][1]
+
+
+def test_trie_query_equals_its_sql(spark):
+    import duckdb
+
+    from lakeops.llm.queries import ORACLE_SQL, op12_prefix_trie
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    want = con.sql(ORACLE_SQL["op12_prefix_trie"])
+    got = op12_prefix_trie(spark, "/root/testdata/sf0.01").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
