@@ -46,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: doc_id, n_tokens, ids (little-endian 32-bit)."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = written(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "ids")  # in small batches
     return ids.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), "ids")
 
 
