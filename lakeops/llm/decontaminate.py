@@ -45,7 +45,7 @@ class Settings:
     edits: float = 0.2
     steps: int = 30
     places: int = 10
-    agreement: float = 0.045
+    agreement: float = 0.035
     recall: float = 0.98
     block_chars: int = 4_000_000
     seed: int = 5
@@ -215,14 +215,14 @@ class Benchmark:
             self.tables.append((key, item, offset, sieve, bits))
 
     def resembles(self, codes: np.ndarray, start: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Which candidates are worth an exact look: on one side of the agreeing walk's start, or beyond it, enough characters are those of the item, at one of a few shifts. Sides of which the item has too little pass."""
-        out = np.zeros(len(start), bool)
+        """Which candidates are worth an exact look: on one side of the agreeing walk's start, or beyond it, enough characters are those of the item, at one of a few shifts. A side of which the item has too little says nothing; where both say nothing, a candidate passes."""
+        out, silent = np.zeros(len(start), bool), np.ones(len(start), bool)
         at = self.begins[item] + offset
         for side in (-_BESIDE, self.settings.steps // 2):
             low, high = offset + side, offset + side + _BESIDE
-            short = (low < 0) | (high > self.sizes[item])
-            out |= short & (np.minimum(high, self.sizes[item]) - np.maximum(low, 0) < _BESIDE // 2)
-            todo = np.flatnonzero(~out)
+            says = np.minimum(high, self.sizes[item]) - np.maximum(low, 0) >= _BESIDE // 2
+            silent &= ~says
+            todo = np.flatnonzero(says & ~out)
             for k in range(0, len(todo), 1 << 14):
                 part = todo[k : k + (1 << 14)]
                 wanted = self.codes[np.clip(at[part, None] + side + np.arange(_BESIDE), 0, len(self.codes) - 1)]
@@ -233,7 +233,7 @@ class Benchmark:
                 for shift in range(2 * _SHIFT + 1):
                     best = np.maximum(best, ((text[:, shift : shift + _BESIDE] == wanted) & inside).sum(axis=1))
                 out[part] |= best >= need
-        return out
+        return out | silent
 
     @staticmethod
     def sifted(key: np.ndarray, bits: int) -> np.ndarray:
