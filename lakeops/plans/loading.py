@@ -77,12 +77,15 @@ def s16(s: SparkSession, d: str) -> DataFrame:
     return files.crossJoin(sums(s.read.schema("o_orderkey long, o_custkey long, o_orderstatus string").option("header", "true").csv(path)))
 
 
-@query("S17_right_size", "SELECT 1 AS n_files, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+@query("S17_right_size", "SELECT 4 AS n_files, true AS near_target, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
 def s17(s: SparkSession, d: str) -> DataFrame:
+    """Twelve small files become four of about a quarter of their size each."""
     path, out = shared_folder(s, "small"), shared_folder(s, "right")
     orders(s, d).repartition(12).write.parquet(path)
-    io.right_size(s, path, out)
-    return s.read.parquet(out).agg(F.count_distinct("_metadata.file_path").cast("int").alias("n_files"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    target = io.listing(s, path).agg(F.expr("CAST(sum(length) DIV 4 + 1 AS LONG)")).first()[0]
+    io.right_size(s, path, out, target)
+    sizes = s.read.parquet(out).groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return sizes.agg(F.count("*").cast("int").alias("n_files"), (F.max("file_size") <= 1.5 * target).alias("near_target"), F.sum("n").alias("n"), F.sum("keys").alias("keys"))
 
 
 @query("S18_directory_table", "SELECT o_orderstatus, CAST(1 AS BIGINT) AS n_files, true AS sized FROM orders GROUP BY 1")
