@@ -101,7 +101,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie.measured(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), parts=5, most=9))
+    return prefix_trie.measured(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), parts=5, most=9)).drop("entered", "left")
 
 
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
