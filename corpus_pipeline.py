@@ -19,8 +19,19 @@ from lakeops.llm import bpe, decontaminate, jaccard, secrets, toxicity
 from lakeops.llm.common import fresh_name, table, trained_on, written
 
 
+#: Octets of the batches in which texts go to Python workers, for the session that runs the pipeline: what a worker and
+#: its task hold at once follows from it.
+BATCH_OCTETS = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages whose result is computed when it is written by the caller send texts in small batches, too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_OCTETS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that score 0.5 or more go; the model is learnt from the documents that are there."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(trained_on(F.col("doc_id")))
     return toxicity.accepted(docs, *toxicity.model_of(docs, labels))
 
@@ -32,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that hold a benchmark passage go."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -46,7 +58,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: doc_id, n_tokens, ids (little-endian 32-bit)."""
-    ids = written(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "ids")  # in small batches
+    small_batches(spark)
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), "ids")
 
 
