@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.operators.stage import shared_folder
+from lakeops.operators.stage import drop_folder, shared_folder
 
 #: Fixed value: white space that separates words in every word-based operator here.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -45,12 +46,31 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH_SETTING, before)
 
 
+#: Folders that written() has made inside cleared().
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders that written() makes inside are removed at the end, but for those that are taken out of the list."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            drop_folder(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     schema = df.schema
     with small_batches(spark):
         df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import fresh_name, hashed_words, mixed, partitions, sliced, window_hashes, written
+from lakeops.llm.common import cleared, fresh_name, hashed_words, mixed, partitions, sliced, window_hashes, written
 from lakeops.llm.components import components
 from lakeops.llm.repeats import _rows, _slot, filter_of, packed, passing
 
@@ -367,6 +367,9 @@ def linked_components(docs: DataFrame, s: Similarity = Similarity(), id_col: str
 
 def one_of_each(docs: DataFrame, s: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is their component's; rows without an id stay. Rows that share a kept id stay together."""
-    judged, gone = linked_components(docs, s, id_col, text_col), fresh_name(docs)
-    others = written(judged.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "gone")
+    gone = fresh_name(docs)
+    with cleared(docs.sparkSession) as made:  # only the ids that go are needed after this
+        judged = linked_components(docs, s, id_col, text_col)
+        others = written(judged.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "gone")
+        made.pop()
     return docs.join(others, docs[id_col] == F.col(gone), "left_anti")
