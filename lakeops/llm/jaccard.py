@@ -9,11 +9,10 @@ a prefix with one more than a partner may spoil is indexed; where a set has too
 the units of further ways to deal the classes. Tokens that no other set has count in the prefix but aren't indexed.
 
 Sets that share an entry are each compared exactly with the entry's smallest set, the pivot, which is enough where they
-are all linked. Where they aren't, differences from the pivot stand for the sets: what a set has more and less than the
-pivot bounds its overlap with the pivot's other sets, and linked sets of different components must share so many tokens
-of their differences that short prefixes of these meet. Sets alike in their numbers are one profile, profiles are paired
-first, and a pair is looked at with its smallest common pivot only. The differences of what is left are compared, which
-is as exact as comparing the sets, so no link between different texts is lost. Equal sets are one node from the start.
+are all linked. Where they aren't, differences from the pivot stand for the sets: sets whose difference is too small to
+share enough of it with a linked set of another component are left out, the pivot's other sets are dealt into blocks, and
+each pair of blocks is compared by the tokens that differences share, which is as exact as comparing the sets. Links
+are kept as far as they join components, so none between different texts is lost. Equal sets are one node from the start.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; a null id takes no part and has no component; rows that repeat an
@@ -29,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,8 @@ FREQUENT = 16
 LEAST_PARTS = 512
 #: Ways to deal classes that are tried before a set's tokens are all indexed singly.
 DEALS = 4
+#: Numbers in a block of differences: a pair of blocks is what a task holds at once.
+BLOCK = 1 << 14
 
 
 @lru_cache(maxsize=8)
@@ -300,36 +302,74 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
     return found.mapInArrow(run, _TRIED)
 
 
+def _cross_links(x: pa.StructArray, y: pa.StructArray, same: bool, s: Similarity) -> list[tuple[int, int]]:
+    """Links between the members of two blocks of one pivot, or of one block with itself, that lie in different components: as many as join what the links join, fewer than there are members."""
+    (kx, cx, nx, apart_x, all_x), (ky, cy, ny, apart_y, all_y) = ([m.field(f).to_numpy() for f in ("key", "c", "n", "apart")] + [m.field("tokens")] for m in (x, y))
+    # 100 * both >= percent * union, in terms of how many tokens only one of two sets has
+    least = (100 + s.percent) * (apart_x[:, None] + apart_y[None, :]) - (100 - s.percent) * (nx[:, None] + ny[None, :])
+    open_ = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= s.percent * np.maximum(nx[:, None], ny[None, :]))
+    if not open_.any():
+        return []
+    sides = []
+    for tokens in (all_x, all_y):
+        sides.append((tokens.flatten().to_numpy(), np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy())))
+    held = np.intersect1d(sides[0][0], sides[1][0])
+    both = np.zeros(least.shape, np.float32)
+    for start in range(0, len(held), 2048):
+        some = held[start : start + 2048]
+        marks = []
+        for (tokens, owners), rows in zip(sides, least.shape, strict=True):
+            at = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+            use = some[at] == tokens
+            marks.append(np.zeros((rows, len(some)), np.float32))
+            marks[-1][owners[use], at[use]] = 1
+        both += marks[0] @ marks[1].T
+    linked = open_ & (2 * (100 + s.percent) * both.astype(np.int64) >= least)
+    # a forest: each member is visited once, and only what is new from there is told
+    out, seen = [], [np.zeros(len(kx), bool), np.zeros(len(ky), bool)]
+    if same:
+        seen[1] = seen[0]
+    for root in np.flatnonzero(linked.any(axis=1)):
+        if seen[0][root]:
+            continue
+        seen[0][root] = True
+        todo = [(0, root)]
+        while todo:
+            side, at = todo.pop()
+            there = (linked[at] if side == 0 else linked[:, at]) & ~seen[1 - side]
+            seen[1 - side] |= there
+            for other in np.flatnonzero(there):
+                out.append((int((kx, ky)[side][at]), int((ky, kx)[side][other])))
+                todo.append((1 - side, other))
+    return out
+
+
 def further_links(tried: DataFrame, labels: DataFrame, s: Similarity) -> DataFrame:
-    """Links (a, b) between sets of one pivot that lie in different components.
+    """Links (a, b) that join the components which links between sets of one pivot join.
 
-    Against the pivot a set has `more` tokens, `alone` of which no other set has, and lacks `less`. Two sets share at most
-    the smaller number of more - alone, and of less; what is then left of both is how far they are apart at least.
-    Profiles of sets that are near enough by this are paired, then their sets whose prefixes meet; the tokens that both
-    differences hold tell exactly how far two sets are apart. What holds with one common pivot holds with all, so a pair
-    is looked at once.
+    A pivot's sets are dealt into blocks of about BLOCK numbers, and each pair of blocks is compared in a task, by one
+    product of matrices of the tokens that both hold: a set is told from another by what both have more and less than the
+    pivot, which is as exact as comparing the sets. Every pair of sets is compared, so the work is still the square of a
+    pivot's sets, in products of small matrices; rows are pairs of blocks, and links fewer than a pair of blocks has sets.
     """
-    members = tried.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.struct("n", "more", "less", "alone").alias("profile"), "front", "tokens")
-    members = members.join(labels.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    several = members.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("pivot")
-    pivots = tried.groupBy(F.col("a").alias("key")).agg(F.sort_array(F.collect_set("b")).alias("pivots"))
-    members = written(members.where("front > 0").join(several, "pivot", "left_semi").join(pivots, "key"), "members")
-    profiles = written(members.groupBy("pivot", "profile").agg(F.min("c").alias("low"), F.max("c").alias("high")), "profiles")
-    x, y = (profiles.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("profile", "low", "high"))) for side in "xy")
-    of = lambda name, side: F.col(f"profile_{side}.{name}")
-    sizes = of("n", "x"), of("n", "y")
-    differ = of("more", "x") + of("less", "x") + of("more", "y") + of("less", "y")
-    near = lambda shared: (100 + s.percent) * (differ - 2 * shared) <= (100 - s.percent) * (sizes[0] + sizes[1])
-    at_most = F.least(*(of("more", side) - of("alone", side) for side in "xy")) + F.least(*(of("less", side) for side in "xy"))
-    several = (F.col("low_x") != F.col("high_x")) | (F.col("low_y") != F.col("high_y")) | (F.col("low_x") != F.col("low_y"))
-    close = x.join(y, "pivot").where((F.col("profile_x") <= F.col("profile_y")) & several & near(at_most) & (100 * F.least(*sizes) >= s.percent * F.greatest(*sizes))).select("pivot", "profile_x", "profile_y")
-    left, right = (members.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("profile", "key", "c", "front", "tokens", "pivots"))) for side in "xy")
-    once = (F.col("profile_x") != F.col("profile_y")) | (F.col("key_x") > F.col("key_y"))
-    smallest = F.array_min(F.array_intersect("pivots_x", "pivots_y")) == F.col("pivot")
-    meet = F.arrays_overlap(F.slice("tokens_x", 1, F.col("front_x")), F.slice("tokens_y", 1, F.col("front_y")))
-    alike = near(F.size(F.array_intersect("tokens_x", "tokens_y")))
-    pairs = close.join(left, ["pivot", "profile_x"]).join(right, ["pivot", "profile_y"]).where((F.col("c_x") != F.col("c_y")) & once & smallest & meet & alike)
-    return pairs.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b"))
+    members = tried.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "n", (F.col("more") + F.col("less")).alias("apart"), "front", "tokens")
+    members = members.join(labels.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key")).where("front > 0")
+    per_pivot = members.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.sum(F.size("tokens") + 16) / BLOCK).alias("n_blocks")).where("low <> high")
+    per_pivot = written(per_pivot.select("pivot", "n_blocks"), "pivots")
+    dealt = members.join(per_pivot, "pivot").withColumn("block", F.pmod(F.xxhash64("key"), "n_blocks"))
+    blocks = written(dealt.groupBy("pivot", "block").agg(F.collect_list(F.struct("key", "c", "n", "apart", "tokens")).alias("sets")), "members")
+    first = per_pivot.select("pivot", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("i"))
+    pairs = first.select("pivot", "i", F.explode(F.sequence("i", F.col("n_blocks") - 1)).alias("j"))
+    side = lambda k, name: blocks.select("pivot", F.col("block").alias(k), F.col("sets").alias(name))
+    met = pairs.join(side("i", "x"), ["pivot", "i"]).join(side("j", "y"), ["pivot", "j"]).select("x", "y", (F.col("i") == F.col("j")).alias("same"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, same in zip(*batch.columns, strict=True):
+                found = np.array(_cross_links(x.values, y.values, same.as_py(), s), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def of_one_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeops.llm import bpe, decontaminate, hnsw, jaccard, quality, repeats, secrets, token_files, toxicity, warc
 from lakeops.llm.common import scratch, window_hashes, word_hashes
+from lakeops.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau".split()
@@ -89,6 +90,26 @@ def test_jaccard_join_equals_brute_force(docs, n, percent):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
 
 
+@pytest.mark.parametrize("block", [300, 1 << 14])
+def test_further_links_join_what_all_pairs_join_in_few_rows(spark, monkeypatch, block):
+    """Sets of 100 that differ from their pivot in 40 tokens; pairs that share 29 or more of these are linked at 80 percent."""
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    r, s, n, size = random.Random(5), jaccard.Similarity(4, 80), 120, 100
+    sets = []
+    for k in range(n):
+        kept = r.sample(range(1000 * (k % 4), 1000 * (k % 4) + 40), 40 - r.choice([0, 1, 2, 4, 6, 8, 12, 20]))
+        sets.append(kept + [20_000 + 100 * k + j for j in range(40 - len(kept))])
+    tried = spark.createDataFrame([(k + 1, 0, False, size, 20, 20, 0, 40, t) for k, t in enumerate(sets)], jaccard._TRIED)
+    none = spark.createDataFrame([], "node long, component long")
+    links = [(x.a, x.b) for x in jaccard.further_links(tried, none, s).collect()]
+    near = [(b + 1, a + 1) for a in range(n) for b in range(a + 1, n) if (100 + s.percent) * (80 - 2 * len(set(sets[a]) & set(sets[b]))) <= (100 - s.percent) * 2 * size]
+    assert set(links) <= set(near) and len(near) > 5 * n
+    blocks = -(-n * 56 // block)
+    assert len(links) <= n * (blocks + 1)  # of as many pairs as the square
+    closure = lambda found: {x.node: x.component for x in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert closure(links) == closure(near)
+
+
 def test_jaccard_join_of_many_near_copies(spark):
     """Copies with random changes, so that some pairs of an entry are linked and some aren't, and frequent tokens."""
     r = random.Random(5)
