@@ -128,11 +128,17 @@ def _bloom_places(value: Column, buckets: int, hashes: int) -> tuple[Column, Col
 def bloom_index(df: DataFrame, value: Column, file: Column, buckets: int, hashes: int = 5) -> DataFrame:
     """file, bucket, bits: a Bloom filter of each file's values, as many bitmaps as there are buckets. About 6,000 distinct values a bitmap give one false file in a hundred.
 
-    A filter is an aggregate of bits, so it is made where the rows are, and filters of parts of a file are merged with bitmap_or_agg.
+    A filter is an aggregate of bits, so it is made where the rows are, and filters of parts of a file are merged with
+    bitmap_or_agg. Bits are gathered in words of 64 by a hash aggregate, of 512 words a bitmap at most whatever the rows,
+    where bitmap_construct_agg sorts all rows; the words are then put together in the order of its octets.
     """
     bucket, bits = _bloom_places(value, buckets, hashes)
     rows = df.where(value.isNotNull()).select(file.alias("file"), bucket.alias("bucket"), F.explode(bits).alias("bit"))
-    return rows.groupBy("file", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = F.expr("shiftleft(1L, int(8 * (7 - pmod(bit div 8, 8)) + pmod(bit, 8)))")
+    words = rows.groupBy("file", "bucket", F.expr("int(bit div 64)").alias("word")).agg(F.bit_or(at).alias("bits"))
+    each = words.groupBy("file", "bucket").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    digits = "transform(words, (x, i) -> concat(repeat('0', 16 * (x.word - if(i = 0, 0, words[i - 1].word + 1))), lpad(hex(x.bits), 16, '0')))"
+    return each.select("file", "bucket", F.expr(f"unhex(rpad(array_join({digits}, ''), {_BITS // 4}, '0'))").alias("bits"))
 
 
 def bloom_files(index: DataFrame, values: Sequence[object], buckets: int, hashes: int = 5) -> DataFrame:

@@ -213,8 +213,9 @@ def l07_bloom(s: SparkSession, d: str) -> DataFrame:
     """Order lines of three parts, one of which there is not, by Bloom filters of files that came in two loads; the second load's files alone are read for their filters."""
     path, index = shared_folder(s, "lines"), shared_folder(s, "bloom")
     lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    ends = lines.agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")).first()
+    ends = lines.agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"), F.count("*").alias("n"), F.approx_count_distinct("l_partkey").alias("parts")).first()
+    files = max(6, ends.n // 2_000_000, ends.parts // 24_000)  # four bitmaps tell about 24,000 values
     for part in (F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 2 == 1):
-        lines.where(part).repartitionByRange(6, "l_partkey").write.mode("append").parquet(path)
+        lines.where(part).repartitionByRange(files, "l_partkey").write.mode("append").parquet(path)
         layout.extend_bloom(s, path, index, "l_partkey", 4)
     return layout.rows_by_bloom(s, index, "l_partkey", [ends.low, ends.high, -5], 4)

@@ -475,3 +475,14 @@ def test_bloom_filters_miss_no_file_and_few_are_wrong(spark, tmp_path):
     assert sorted(r.v for r in layout.rows_by_bloom(spark, index, "v", [700, 1401, 27300], 2).collect()) == [700, 27300]
     merged = spark.read.parquet(index).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("file", F.lit("all"))
     assert {int(r.value) for r in layout.bloom_files(merged, values, 2).collect()} >= set(held)
+
+
+@pytest.mark.parametrize("n", [3, 5000])
+def test_bloom_filters_are_made_without_a_sort_of_rows(spark, n):
+    rows = spark.range(n).select("id", (F.col("id") % 3).cast("string").alias("f"))
+    made = layout.bloom_index(rows, F.col("id"), F.col("f"), 2)
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    bucket, bits = layout._bloom_places(F.col("id"), 2, 5)
+    want = rows.select(F.col("f").alias("file"), bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("file", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    both = [{(r.file, r.bucket): bytes(r.bits) for r in x.collect()} for x in (made, want)]
+    assert both[0] == both[1] and both[0]
