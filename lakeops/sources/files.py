@@ -228,10 +228,23 @@ def unload(df: DataFrame, path: str, fmt: str = "parquet", max_file_bytes: int |
 TEXT_TYPES = ("bigint", "double", "date", "timestamp", "boolean")
 
 
+#: What all values of a type look like, before they are cast: a cast of a text that is no number or boolean costs an exception. A date has no time of day.
+_LOOKS = {
+    "bigint": r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$",
+    "boolean": r"(?i)^[\x00-\x20\x7f]*(?:t|true|y|yes|1|f|false|n|no|0)[\x00-\x20\x7f]*$",
+    "date": r"^\s*[0-9-]+\s*$",
+    "double": r"(?i)^[\x00-\x20]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?[fd]?|0x[0-9a-f.]+p[+-]?[0-9]+[fd]?|inf|infinity|nan)[\x00-\x20]*$",
+}
+
+
 def infer_schema(texts: DataFrame) -> DataFrame:
     """ordinal, column_name, type, nullable of text columns: the first of TEXT_TYPES that all values of a column fit, else string; one aggregation over all rows. A column without values is a string."""
     columns = texts.columns
-    as_type = lambda c, t: F.when(F.lit(t != "date") | F.col(f"`{c}`").rlike(r"^\s*[0-9-]+\s*$"), F.col(f"`{c}`").try_cast(t))  # noqa: E731  a date has no time of day
+
+    def as_type(c: str, t: str) -> Column:
+        value = F.col(f"`{c}`")
+        return F.when(value.rlike(_LOOKS[t]), value.try_cast(t)) if t in _LOOKS else value.try_cast(t)
+
     fits = [F.count(as_type(c, t)).alias(f"n{k}_{t}") for k, c in enumerate(columns) for t in TEXT_TYPES]
     counts = texts.agg(F.count("*").alias("rows"), *(F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(columns)), *fits)
 

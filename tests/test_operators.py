@@ -152,6 +152,20 @@ def test_types_of_texts(spark):
     assert got == [("a", "bigint", True), ("b", "double", False), ("c", "date", True), ("d", "timestamp", True), ("e", "boolean", True), ("f", "string", False), ("g", "string", True)]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "boolean"])
+def test_texts_are_looked_at_before_a_cast(spark, kind):
+    texts = ["1", "0", "-12", "+7", " 5\t", "\x7f5\x00", "17.0", " -1.5 ", "5.", ".5", "1e5", "+1E-5", "1d", "2.5F", "Infinity", "-inf", "+INF", "nan", "NaN", "0x1p3", "0x1.8P-1d", "\t7\n"]
+    texts += ["", " ", ".", "+", "e5", "1e", "1995-01-01", "true", " TRUE", "f", "Yes", "no ", "yess", "N", "x", "--1", "1_0", "infinite", "1 2", "0x1", "1dd", "\u0661", "\u00a05"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    looks, cast = F.col("v").rlike(io._LOOKS[kind]), F.col("v").try_cast(kind).isNotNull()
+    assert rows.where(cast).count() >= 7
+    assert rows.where(cast & ~looks).count() == 0  # nothing that fits is left out
+    assert rows.where(looks & ~cast).count() == 0  # nothing else of these comes to the cast
+    plan = io.infer_schema(rows)._jdf.queryExecution().optimizedPlan().toString()
+    casts = [x for x in plan.split("count(")[1:] if f"as {kind}" in x.lower()]
+    assert casts and all("RLIKE" in x for x in casts)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_running_sums_and_dense_keys_over_ranges(spark, parts):
     rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id % 5 AS v").repartition(parts)
