@@ -79,16 +79,33 @@ def state_sql(version: int, name: str) -> str:
       SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) AS rn FROM log WHERE version <= {version}) WHERE rn = 1 AND op <> 'D')"""
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its order's customer and date, and money in decimals."""
+#: Rows of the larger side of a join that a task is given: what it sorts and groups doesn't grow with the table.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt by a join key, in as many parts as a side of so many rows takes; as it is where the planner's own parts are small enough."""
+    if rows <= 4 * TASK_ROWS:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // TASK_ROWS)), key)
+
+
+def star(spark: SparkSession, sf_dir: str, part: DataFrame | None = None) -> DataFrame:
+    """One row per order line with its order's customer and date, and money in decimals; with part, the columns of its row of the table part, too. Rows lie by order, so that sums per order need no further exchange."""
     li = table(spark, sf_dir, "lineitem")
+    n = li.count()  # from the footers
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    more = []
+    if part is not None:
+        li = spread(li, "l_partkey", n).join(spread(part, "p_partkey", n), F.col("l_partkey") == F.col("p_partkey"))
+        more = part.columns
     qty, price = F.col("l_quantity").cast(MONEY), F.col("l_extendedprice").cast(MONEY)
     discount = (F.col("l_discount") * 100).cast("decimal(5,2)")
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+    return spread(li, "l_orderkey", n).join(spread(o, "o_orderkey", n), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderdate",
         qty.alias("quantity"), price.alias("gross"), discount.alias("discount_pct"),
         (price * (F.lit(100).cast("decimal(5,2)") - discount) * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY).alias("net"),
+        *more,
     )
 
 

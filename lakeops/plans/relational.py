@@ -218,8 +218,7 @@ COST_SQL = f"{STAR_SQL}, p AS (SELECT p_partkey, p_brand, p_type, CAST(round(CAS
 
 def costed(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part").select("p_partkey", "p_brand", "p_type", (money("p_retailprice") * F.lit("0.60").cast("decimal(3,2)")).cast(MONEY).alias("cost"))
-    f = star(s, d)
-    return f.join(p, f["l_partkey"] == p["p_partkey"]).withColumn("profit", F.col("net") - (F.col("quantity") * F.col("cost")).cast(MONEY))
+    return star(s, d, p).withColumn("profit", F.col("net") - (F.col("quantity") * F.col("cost")).cast(MONEY))
 
 
 def totals(df: DataFrame, *keys: object) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that write, raise or stream, and properties that SQL doesn't show."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeops.functions import scalar as fn
 from lakeops.operators import cdc, history, joins, layout, merge, model
 from lakeops.operators.aggregates import running_sum, surrogate_key
+from lakeops.plans import inputs, relational
 from lakeops.plans.inputs import orders_log
 from lakeops.sources import files as io
 from lakeops.streaming import streams
@@ -166,6 +168,17 @@ def test_texts_are_looked_at_before_a_cast(spark, kind):
     assert casts and all("RLIKE" in x for x in casts)
 
 
+@pytest.mark.parametrize("name", ["a12", "a13", "a16"])
+def test_joins_of_many_rows_are_dealt_by_rows(spark, monkeypatch, name):
+    query, sf = getattr(relational, name), "/root/testdata/sf0.001"
+    want = sorted(map(str, query(spark, sf).collect()))
+    monkeypatch.setattr(inputs, "TASK_ROWS", 600, raising=False)  # 6,000 lines: 10 tasks
+    df = query(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L, 10\)", plan) and not re.search(r"hashpartitioning\(l_(order|part)key#\d+L,? [^)]*\b4\)", plan)
+    assert sorted(map(str, df.collect())) == want
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_running_sums_and_dense_keys_over_ranges(spark, parts):
     rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id % 5 AS v").repartition(parts)
